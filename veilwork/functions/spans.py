@@ -10,10 +10,12 @@ n^(4/3) instead of n^2.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Generator, Sequence
+
+from typing import Any
 
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, SEP, NEUTRAL = "\u0001", "\u0002", "\u0003"
@@ -26,10 +28,10 @@ FINDING = (
 FINDINGS = f"array<{FINDING}>"
 
 
-_MADE: dict[tuple, Column] = {}
+_MADE: dict[tuple, Any] = {}
 
 
-def memo(make: Callable[[], Column], *key) -> Column:
+def memo(make: Callable[[], Any], *key) -> Any:
     """Make an expression once per session.  ``key`` names it and the columns it reads.
 
     Large expressions take longer to create than to run; they only refer to columns by name.
@@ -177,98 +179,111 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < end_of(b)) & (b["start"] < end_of(a))
 
 
-def islands(sorted_items: Column) -> Column:
-    """Bounds of overlap islands in items sorted by start: ``array<struct<at:int,n:int>>``.
+# --- staged work -----------------------------------------------------------------------------
+#
+# Larger computations are written as stages: a generator yields dictionaries of named columns, each
+# able to read the columns of the ones before.  ``run_stages`` runs several generators side by side,
+# one projection per stage.  This keeps every single expression shallow (the analyzer resolves nested
+# lambdas level by level) and shares intermediate arrays instead of computing them twice.
 
-    Intervals are connected exactly when they fall in one island, so islands are the
-    connected components of the overlap graph.
-    """
+Stages = Generator[dict[str, Column], None, None]
 
-    def with_heads(items: Column, reach: Column) -> Column:
-        flagged = F.transform(items, lambda x, i: F.when(x["start"] >= at(reach, i), i).otherwise(F.lit(-1)))
-        return let(
-            F.filter(flagged, lambda i: i >= 0),
-            lambda hs: F.transform(
-                hs,
-                lambda h, k: F.struct(
-                    h.alias("at"), (F.coalesce(at(hs, k + 1), F.size(items)) - h).alias("n")
-                ),
-            ),
-        )
 
-    return let(
-        sorted_items,
-        lambda items: let(
-            running_max(F.transform(items, lambda x: end_of(x))), lambda reach: with_heads(items, reach)
-        ),
-    )
+def run_stages(df: DataFrame, stages: Sequence[Stages], keep: Sequence[str], out: Sequence[str]) -> DataFrame:
+    live = list(stages)
+    while live:
+        new: dict[str, Column] = {}
+        still = []
+        for g in live:
+            step = next(g, None)
+            if step is not None:
+                new.update(step)
+                still.append(g)
+        live = still
+        if new:
+            df = df.select("*", *[c.alias(n) for n, c in new.items()])
+    return df.select(*keep, *out)
 
 
-def greedy(ordered: Column, item_type: str) -> Column:
-    """Accept items in order unless they overlap an item already accepted."""
-    arr = f"array<{item_type}>"
-    return F.aggregate(
-        ordered,
-        empty(arr),
-        lambda acc, x: F.when(F.exists(acc, lambda a: overlaps(a, x)), acc)
-        .otherwise(F.array_append(acc, x))
-        .cast(arr),
-    )
+def remembered(make: Callable[[], Stages], *key) -> Stages:
+    """The same stages, made once per session (see ``memo``)."""
+    yield from memo(lambda: list(make()), *key)
 
 
-def by_island(items: Column, body: Callable[[Column], Column]) -> Column:
-    """Apply ``body`` to each overlap island of ``items`` and join the results.
+def one_stage(out: str, expression: Column) -> Stages:
+    yield {out: expression}
 
-    Islands of one item skip ``body``'s quadratic work only if ``body`` does so itself.
+
+def island_stages(name: str, items: Column) -> Stages:
+    """Columns ``{name}_x`` (items by start) and ``{name}_b`` (bounds of their overlap islands).
+
+    Intervals are connected exactly when they fall in one island, so islands are the connected
+    components of the overlap graph.
     """
-    return let(
-        F.array_sort(items),
-        lambda xs: F.when(F.size(xs) == 0, xs).otherwise(
-            let(
-                islands(xs),
-                lambda bounds: F.flatten(F.transform(bounds, lambda b: body(F.slice(xs, b["at"] + 1, b["n"])))),
-            )
-        ),
-    )
+    x, r, h = f"{name}_x", f"{name}_r", f"{name}_h"
+    yield {x: F.array_sort(items)}
+    yield {r: running_max(F.transform(x, end_of))}
+    yield {
+        h: F.filter(
+            F.transform(x, lambda v, i: F.when(v["start"] >= F.get(F.col(r), i), i).otherwise(F.lit(-1))),
+            lambda i: i >= 0,
+        )
+    }
+    yield {
+        f"{name}_b": F.transform(
+            h, lambda v, k: F.struct(v.alias("at"), (F.coalesce(F.get(F.col(h), k + 1), F.size(x)) - v).alias("n"))
+        )
+    }
+
 
+def per_island(name: str, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to each island of ``island_stages``, joined."""
+    return F.flatten(F.transform(f"{name}_b", lambda b: body(F.slice(F.col(f"{name}_x"), b["at"] + 1, b["n"]))))
 
-def drop_overlapping(items: Column, guards: Column, item_type: str) -> Column:
-    """In-row interval anti-join: the items that overlap none of the guards (both sorted into islands)."""
-    tagged_type = f"array<struct<start:int,len:int,guard:boolean,item:{item_type}>>"
+
+def drop_overlapping(out: str, items: Column, guards: Column, item_type: str) -> Stages:
+    """Interval anti-join inside the row: the items that overlap none of the guards."""
+    tagged = f"array<struct<start:int,len:int,guard:boolean,item:{item_type}>>"
 
     def tag(arr: Column, guard: bool) -> Column:
+        # guards are worth a look only when there are items
+        some = F.when(F.size(items) == 0, F.slice(arr, 1, 0)).otherwise(arr) if guard else arr
         return F.transform(
-            arr,
-            lambda x: F.struct(x["start"], x["len"], F.lit(guard), F.lit(None) if guard else x),
-        ).cast(tagged_type)
+            some, lambda x: F.struct(x["start"], x["len"], F.lit(guard), F.lit(None) if guard else x)
+        ).cast(tagged)
 
     def keep(part: Column) -> Column:
-        return let(
-            F.filter(part, lambda x: x["guard"]),
-            lambda gs: F.filter(part, lambda x: ~x["guard"] & ~F.exists(gs, lambda g: overlaps(x, g))),
-        )
+        clear = lambda x: ~F.exists(part, lambda g: g["guard"] & overlaps(x, g))
+        return F.filter(part, lambda x: ~x["guard"] & ((F.size(part) == 1) | clear(x)))
+
+    yield from island_stages(out, F.concat(tag(items, False), tag(guards, True)))
+    yield {out: F.transform(per_island(out, keep), lambda x: x["item"])}
 
-    return F.transform(by_island(F.concat(tag(items, False), tag(guards, True)), keep), lambda x: x["item"])
+
+def greedy(ordered: Column, item_type: str) -> Column:
+    """Accept items in order unless they overlap an item already accepted."""
+    arr = f"array<{item_type}>"
+    return F.aggregate(
+        ordered,
+        empty(arr),
+        lambda acc, x: F.when(F.exists(acc, lambda a: overlaps(a, x)), acc).otherwise(F.array_append(acc, x)).cast(arr),
+    )
 
 
-def resolve_in_row(items: Column, item_type: str, strength: Callable[[Column], list[Column]]) -> Column:
-    """Keep the winners of an array of spans: greedy inside each overlap island.
+def resolve_stages(out: str, items: Column, item_type: str, strength: Callable[[Column], list[Column]]) -> Stages:
+    """Winners among overlapping items: greedy inside each overlap island, strongest first.
 
-    ``strength`` gives ascending sort keys, strongest first.
+    ``strength`` gives ascending sort keys.
     """
 
     def choose(part: Column) -> Column:
         ranked = F.array_sort(
             F.transform(part, lambda f: F.struct(F.struct(*strength(f)).alias("k"), f.alias("f")))
         )
-        return F.when(F.size(part) == 1, part).otherwise(
-            greedy(F.transform(ranked, lambda r: r["f"]), item_type)
-        )
+        return F.when(F.size(part) == 1, part).otherwise(greedy(F.transform(ranked, lambda r: r["f"]), item_type))
 
-    return let(
-        items.cast(f"array<{item_type}>"),
-        lambda xs: F.when(F.size(xs) <= 1, xs).otherwise(F.array_sort(by_island(xs, choose))),
-    )
+    yield from island_stages(out, items.cast(f"array<{item_type}>"))
+    yield {out: F.array_sort(per_island(out, choose))}
 
 
 def rewrite(text: Column, edits: Column) -> Column:

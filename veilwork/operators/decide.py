@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.checks import evidence_code  # noqa: F401  (part of the public surface)
-from ..functions.spans import FINDING, empty, let, memo, rewrite, running_max, running_sum
+from ..functions.spans import FINDING, Stages, memo, remembered, rewrite, run_stages, running_max, running_sum
 from ..functions.text import text_sha256
 from .base_rules import explode_findings, scan_arrays
 from .resolve import FINDING_COLS, adjust_context, resolve_overlaps_in_row
@@ -239,7 +239,6 @@ def redact_rows(docs: DataFrame, numbered: DataFrame, keys: list[str], text: str
 # --- in-row form -----------------------------------------------------------------------------
 
 DECIDED = FINDING[:-1] + ",trusted:boolean,disposition:string>"
-_NUMBERED = "struct<start:int,len:int,type_ord:int,canonical:string,first:int,token:string>"
 
 
 def decide_in_row(findings: Column, lists: dict[str, list[str]], settings: dict[str, bool]) -> Column:
@@ -260,92 +259,78 @@ def decide_in_row(findings: Column, lists: dict[str, list[str]], settings: dict[
     return F.transform(findings, one)
 
 
-def number_in_row(decided: Column) -> Column:
+def number_in_row(out: str, decided: str) -> Stages:
     """Edits with placeholders for the protected findings of one document, sorted by start.
 
     Sorting by value finds each value's first place; sorting by first place numbers the values.
     Both steps use prefix scans, so nothing is quadratic in the number of findings.
     """
-    arr = f"array<{_NUMBERED}>"
+    v, h, hm, p, w, c, b, bm = (f"{out}_{k}" for k in ("v", "h", "hm", "p", "w", "c", "b", "bm"))
     protect = F.filter(decided, lambda f: (f["disposition"] == PROTECT) & f["canonical"].isNotNull())
-    base = F.transform(
-        protect,
-        lambda f: F.struct(f["type_ord"], f["canonical"], f["start"], f["len"], f["pii_type"]),
-    )
-
-    def with_first(xs: Column) -> Column:
-        def head(x: Column, i: Column) -> Column:
-            p = F.get(xs, i - 1)
-            same = (i > 0) & (p["type_ord"] == x["type_ord"]) & (p["canonical"] == x["canonical"])
-            return F.when(same, F.lit(-1)).otherwise(i)
-
-        return let(
-            F.transform(xs, head),
-            lambda hs: let(
-                running_max(hs),
-                lambda prev: F.transform(
-                    xs,
-                    lambda x, i: F.struct(
-                        x["type_ord"].alias("type_ord"),
-                        F.get(xs, F.greatest(F.get(prev, i), F.get(hs, i)))["start"].alias("first"),
-                        x["start"].alias("start"),
-                        x["len"].alias("len"),
-                        x["pii_type"].alias("pii_type"),
-                    ),
-                ),
-            ),
-        )
-
-    def numbered(xs: Column) -> Column:
-        new_value = F.transform(
-            xs,
-            lambda x, i: F.when(
-                (i > 0) & (F.get(xs, i - 1)["type_ord"] == x["type_ord"]) & (F.get(xs, i - 1)["first"] == x["first"]), 0
-            ).otherwise(1),
+    by_value = "struct<type_ord:int,canonical:string,start:int,len:int,pii_type:string>"
+    by_first = "struct<type_ord:int,first:int,start:int,len:int,pii_type:string>"
+
+    def same(arr: str, i: Column, x: Column, *fields: str) -> Column:
+        """Whether the item before agrees with this one on the fields."""
+        prev = F.get(F.col(arr), i - 1)
+        out_ = i > 0
+        for f in fields:
+            out_ = out_ & (prev[f] == x[f])
+        return F.coalesce(out_, F.lit(False))
+
+    yield {
+        v: F.array_sort(
+            F.transform(
+                protect, lambda f: F.struct(f["type_ord"], f["canonical"], f["start"], f["len"], f["pii_type"]).cast(by_value)
+            )
         )
-
-        def with_counts(flags: Column, counts: Column) -> Column:
-            # values counted before the first finding of the same type
-            type_base = F.transform(
-                xs,
-                lambda x, i: F.when(
-                    (i > 0) & (F.get(xs, i - 1)["type_ord"] == x["type_ord"]), -1
-                ).otherwise(F.get(counts, i)),
+    }
+    yield {h: F.transform(v, lambda x, i: F.when(same(v, i, x, "type_ord", "canonical"), F.lit(-1)).otherwise(i))}
+    yield {hm: running_max(F.col(h))}
+    yield {
+        p: F.array_sort(
+            F.transform(
+                v,
+                lambda x, i: F.struct(
+                    x["type_ord"],
+                    F.get(F.col(v), F.greatest(F.get(F.col(hm), i), F.get(F.col(h), i)))["start"],
+                    x["start"], x["len"], x["pii_type"],
+                ).cast(by_first),
             )
-            return let(
-                type_base,
-                lambda tb: let(
-                    running_max(tb),
-                    lambda tm: F.transform(
-                        xs,
-                        lambda x, i: F.struct(
-                            x["start"].alias("start"),
-                            x["len"].alias("len"),
-                            dims.alias_token(
-                                x["pii_type"],
-                                F.get(counts, i) + F.get(flags, i) - F.greatest(F.get(tm, i), F.get(tb, i)),
-                            ).alias("token"),
-                        ),
-                    ),
+        )
+    }
+    # w marks the first finding of each value, c counts values so far, b the count where the type starts
+    yield {w: F.transform(p, lambda x, i: F.when(same(p, i, x, "type_ord", "first"), 0).otherwise(1))}
+    yield {c: running_sum(F.col(w))}
+    yield {b: F.transform(p, lambda x, i: F.when(same(p, i, x, "type_ord"), -1).otherwise(F.get(F.col(c), i)))}
+    yield {bm: running_max(F.col(b))}
+    at = lambda name, i: F.get(F.col(name), i)
+    yield {
+        out: F.array_sort(
+            F.transform(
+                p,
+                lambda x, i: F.struct(
+                    x["start"].alias("start"),
+                    x["len"].alias("len"),
+                    dims.alias_token(
+                        x["pii_type"], at(c, i) + at(w, i) - F.greatest(at(bm, i), at(b, i))
+                    ).alias("token"),
                 ),
             )
+        )
+    }
 
-        return let(new_value, lambda flags: let(running_sum(flags), lambda counts: with_counts(flags, counts)))
 
-    edits = let(
-        F.array_sort(base),
-        lambda xs: let(F.array_sort(with_first(xs)), lambda ys: F.array_sort(numbered(ys))),
-    )
-    return F.when(F.size(protect) == 0, empty("array<struct<start:int,len:int,token:string>>")).otherwise(edits)
+def _resolved_stages(text: str, candidates: str, out: str) -> Stages:
+    yield from resolve_overlaps_in_row(f"{out}_w", F.col(candidates))
+    yield from adjust_context(out, text, f"{out}_w")
 
 
 def scan_resolved(docs: DataFrame, rules=None, text: str = "text", out: str = "findings") -> DataFrame:
     """Add the resolved, context-adjusted findings of the base rules as an array column (no shuffle)."""
-    keep = docs.columns
     df = scan_arrays(docs, rules, text, "_cand")
-    won = memo(lambda: resolve_overlaps_in_row(F.col("_cand")), "resolve", "_cand")
-    df = df.select(*keep, won.alias("_won"))
-    return df.select(*keep, memo(lambda: adjust_context(text, F.col("_won")), "adjust", text, "_won").alias(out))
+    stages = remembered(lambda: _resolved_stages(text, "_cand", out), "resolved", text, out)
+    return run_stages(df, [stages], docs.columns, [out])
 
 
 def redact_in_row(docs: DataFrame, policy: Policy | None = None, rules=None, text: str = "text",
@@ -366,12 +351,12 @@ def redact_in_row(docs: DataFrame, policy: Policy | None = None, rules=None, tex
         n(lambda f: f["disposition"] == ASK).alias("n_pending"),
     )
     fire = (F.col("n_protect") > 0) & (F.col("n_pending") == 0)
-    edits = memo(lambda: number_in_row(F.col("findings")), "number", "findings")
-    df = df.select("*", F.when(fire, edits).alias("_edits"))
-    new_text = memo(lambda: rewrite(F.col(text), F.col("_edits")), "rewrite", text, "_edits")
+    cols = df.columns
+    df = df.select("*", F.when(fire, F.col("findings")).otherwise(F.slice("findings", 1, 0)).alias("_fired"))
+    df = run_stages(df, [remembered(lambda: number_in_row("_edits", "_fired"), "numbers")], cols, ["_edits"])
     return df.select(
-        *[c for c in df.columns if c != "_edits"],
-        F.when(fire, new_text).otherwise(F.col(text)).alias("redacted"),
+        *cols,
+        F.when(fire, memo(lambda: rewrite(F.col(text), F.col("_edits")), "rewrite", text)).otherwise(F.col(text)).alias("redacted"),
         doc_status(F.col("n_candidates"), F.col("n_protect"), F.col("n_pending")).alias("status"),
     )
 

@@ -11,7 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..functions.spans import FINDING, clean_markers, empty, end_of, find_all, let, overlaps, resolve_in_row, running_max
+from ..functions.spans import (
+    FINDING,
+    Stages,
+    clean_markers,
+    empty,
+    end_of,
+    find_all,
+    greedy,
+    overlaps,
+    resolve_stages,
+    running_max,
+)
 
 FINDING_COLS = ["start", "len", "type_ord", "pii_type", "detector_id", "canonical", "surface", "risk", "conf", "rank",
                 "evidence", "owner_claim"]
@@ -26,8 +37,8 @@ def overlap_strength(f: Column) -> list[Column]:
     return [-f["risk"], -f["conf"], -f["len"], f["start"], f["type_ord"], f["detector_id"], f["canonical"]]
 
 
-def resolve_overlaps_in_row(candidates: Column) -> Column:
-    return resolve_in_row(candidates, FINDING, overlap_strength)
+def resolve_overlaps_in_row(out: str, candidates: Column) -> Stages:
+    return resolve_stages(out, candidates, FINDING, overlap_strength)
 
 
 def overlap_components(spans: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -55,9 +66,12 @@ def resolve_overlaps(findings: DataFrame, key: str = "doc_id") -> DataFrame:
         overlap_components(findings, key)
         .groupBy(key, "island")
         .agg(F.collect_list(_finding_struct()).alias("items"))
-        .withColumn("items", resolve_overlaps_in_row(F.col("items")))
     )
-    return grouped.select(key, F.inline("items"))
+    ranked = F.array_sort(
+        F.transform("items", lambda f: F.struct(F.struct(*overlap_strength(f)).alias("k"), f.alias("f")))
+    )
+    won = F.when(F.size("items") == 1, F.col("items")).otherwise(greedy(F.transform(ranked, lambda r: r["f"]), FINDING))
+    return grouped.select(key, won.alias("items")).select(key, F.inline("items"))
 
 
 def dedupe_findings(findings: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -207,37 +221,30 @@ def context_markers(text: str) -> Column:
     return F.when(F.col(text).rlike(f"(?iu)(?:{words})"), hits).otherwise(F.array().cast("array<struct<start:int,text:string,groups:array<string>,before:string,after:string>>"))
 
 
-def adjust_context(text: str, findings: Column) -> Column:
+def adjust_context(out: str, text: str, findings: str) -> Stages:
     """Lower confidence one step next to a sample-data word; risk 3, spans and counts stay.
 
     One merged sweep: a finding is near a marker exactly when the furthest marker end among
     markers that start before the right edge of its window passes the left edge.
     """
     event = f"struct<at:int,kind:int,stop:int,f:{FINDING}>"
-
-    def sweep(markers: Column) -> Column:
-        from_markers = F.transform(
-            markers, lambda m: F.struct(m["start"], F.lit(1), m["start"] + F.length(m["text"]), F.lit(None)).cast(event)
-        )
-        from_findings = F.transform(
-            findings, lambda f: F.struct(end_of(f) + CONTEXT_REACH, F.lit(0), F.lit(-1), f).cast(event)
-        )
-
-        def lower(es: Column, reach: Column) -> Column:
-            def one(e: Column, i: Column) -> Column:
-                f = e["f"]
-                near = (f["risk"] < 3) & (F.get(reach, i) > f["start"] - CONTEXT_REACH)
-                conf = F.when(near, F.greatest(f["conf"] - 1, F.lit(1))).otherwise(f["conf"])
-                stepped = f.withField("conf", conf).cast(FINDING)
-                return F.when(e["kind"] == 0, stepped)
-
-            return F.array_sort(F.filter(F.transform(es, one), lambda f: f.isNotNull()))
-
-        return let(
-            F.array_sort(F.concat(from_markers, from_findings)),
-            lambda es: let(running_max(F.transform(es, lambda e: e["stop"])), lambda reach: lower(es, reach)),
-        )
-
-    return F.when(F.size(findings) == 0, findings).otherwise(
-        let(context_markers(text), lambda ms: F.when(F.size(ms) == 0, findings).otherwise(sweep(ms)))
+    found, marks, events, reach = F.col(findings), f"{out}_m", f"{out}_e", f"{out}_r"
+    yield {marks: F.when(F.size(found) > 0, context_markers(text))}
+    from_markers = F.transform(
+        marks, lambda m: F.struct(m["start"], F.lit(1), m["start"] + F.length(m["text"]), F.lit(None)).cast(event)
+    )
+    from_findings = F.transform(
+        found, lambda f: F.struct(end_of(f) + CONTEXT_REACH, F.lit(0), F.lit(-1), f).cast(event)
     )
+    merged = F.array_sort(F.concat(from_markers, from_findings))
+    yield {events: F.when(F.size(marks) > 0, merged).otherwise(empty(f"array<{event}>"))}
+    yield {reach: running_max(F.transform(events, lambda e: e["stop"]))}
+
+    def one(e: Column, i: Column) -> Column:
+        f = e["f"]
+        near = (f["risk"] < 3) & (F.get(F.col(reach), i) > f["start"] - CONTEXT_REACH)
+        conf = F.when(near, F.greatest(f["conf"] - 1, F.lit(1))).otherwise(f["conf"])
+        return F.when(e["kind"] == 0, f.withField("conf", conf).cast(FINDING))
+
+    lowered = F.array_sort(F.filter(F.transform(events, one), lambda f: f.isNotNull()))
+    yield {out: F.when(F.size(events) > 0, lowered).otherwise(found)}
