@@ -19,7 +19,10 @@ from ..functions.spans import (
     end_of,
     find_all,
     greedy,
+    island_stages,
+    let,
     overlaps,
+    per_island,
     resolve_stages,
     running_max,
 )
@@ -105,10 +108,10 @@ _KEY = "struct<a:int,b:int,c:int,d:int,e:int,v:string>"
 _KEYED = f"struct<k:{_KEY},start:int,len:int,f:{FINDING}>"
 
 
-def _domain_key(domain: Column) -> Column:
+def _domain_key(domain: Column, f: Column | None = None) -> Column:
     """Sort key of a finding under its component's domain, strongest first."""
     zero, none = F.lit(0), F.lit("")
-    c = F.col
+    c = F.col if f is None else (lambda n: f[n])
     legacy = F.struct(-c("risk"), -c("conf"), -c("len"), c("start"), c("type_ord"), c("canonical"))
     contract = F.struct(-c("risk"), -c("evidence"), -c("len"), c("rank"), zero, none)
     mixed = F.struct(-c("risk"), -c("len"), c("rank"), zero, zero, none)
@@ -119,6 +122,37 @@ def _domain_key(domain: Column) -> Column:
     )
 
 
+def resolve_candidates_in_row(out: str, candidates: Column) -> Stages:
+    """Column form of ``resolve_candidates``: the winners, or NULL when an overlap cannot be decided."""
+    keyed = f"array<{_KEYED}>"
+
+    def choose(part: Column) -> Column:
+        legacy = F.exists(part, lambda f: dims.is_legacy(f["detector_id"]))
+        contract = F.exists(part, lambda f: ~dims.is_legacy(f["detector_id"]))
+        domain = F.when(legacy & contract, "mixed").when(legacy, "legacy").otherwise("contract")
+        ranked = let(
+            domain,
+            lambda d: F.array_sort(
+                F.transform(part, lambda f: F.struct(_domain_key(d, f), f["start"], f["len"], f)).cast(keyed)
+            ),
+        )
+
+        def decide(xs: Column) -> Column:
+            tie = F.exists(
+                F.transform(xs, lambda x, i: F.exists(F.slice(xs, i + 2, F.size(xs)), lambda y: (y["k"] == x["k"]) & overlaps(x, y))),
+                lambda t: t,
+            )
+            won = F.transform(_accept(xs), lambda x: x["f"])
+            return F.when(tie, F.array(F.lit(None).cast(FINDING))).otherwise(won)
+
+        return F.when(F.size(part) == 1, part).otherwise(let(ranked, decide))
+
+    yield {f"{out}_u": F.array_distinct(candidates)}
+    yield from island_stages(out, F.col(f"{out}_u"))
+    yield {f"{out}_a": per_island(out, choose)}
+    yield {out: F.when(F.exists(f"{out}_a", lambda f: f.isNull()), F.lit(None)).otherwise(F.array_sort(f"{out}_a"))}
+
+
 def resolved_components(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per overlap component: its domain, its findings strongest first, and the accepted ones.
 
