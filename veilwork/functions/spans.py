@@ -205,6 +205,15 @@ def run_stages(df: DataFrame, stages: Sequence[Stages], keep: Sequence[str], out
     return df.select(*keep, *out)
 
 
+def fence(df: DataFrame, keep: Sequence[str], computed: Sequence[str]) -> DataFrame:
+    """Keep filters on computed columns above the projections that compute them.
+
+    The optimizer moves a filter below a projection by writing the whole expression into it, once per
+    stage, which multiplies the work (and the plan) of every stage.  A one-row generator stops that.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*computed))))
+
+
 def remembered(make: Callable[[], Stages], *key) -> Stages:
     """The same stages, made once per session (see ``memo``)."""
     yield from memo(lambda: list(make()), *key)

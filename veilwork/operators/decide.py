@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.checks import evidence_code  # noqa: F401  (part of the public surface)
-from ..functions.spans import FINDING, Stages, memo, remembered, rewrite, run_stages, running_max, running_sum
+from ..functions.spans import FINDING, Stages, fence, memo, remembered, rewrite, run_stages, running_max, running_sum
 from ..functions.text import text_sha256
 from .base_rules import explode_findings, scan_arrays
 from .resolve import FINDING_COLS, adjust_context, resolve_overlaps_in_row
@@ -330,7 +330,7 @@ def scan_resolved(docs: DataFrame, rules=None, text: str = "text", out: str = "f
     """Add the resolved, context-adjusted findings of the base rules as an array column (no shuffle)."""
     df = scan_arrays(docs, rules, text, "_cand")
     stages = remembered(lambda: _resolved_stages(text, "_cand", out), "resolved", text, out)
-    return run_stages(df, [stages], docs.columns, [out])
+    return fence(run_stages(df, [stages], docs.columns, [out]), docs.columns, [out])
 
 
 def redact_in_row(docs: DataFrame, policy: Policy | None = None, rules=None, text: str = "text",
@@ -354,11 +354,14 @@ def redact_in_row(docs: DataFrame, policy: Policy | None = None, rules=None, tex
     cols = df.columns
     df = df.select("*", F.when(fire, F.col("findings")).otherwise(F.slice("findings", 1, 0)).alias("_fired"))
     df = run_stages(df, [remembered(lambda: number_in_row("_edits", "_fired"), "numbers")], cols, ["_edits"])
-    return df.select(
+    new_text = memo(lambda: rewrite(F.col(text), F.col("_edits")), "rewrite", text)
+    computed = [c for c in cols if c not in keep]
+    df = df.select(
         *cols,
-        F.when(fire, memo(lambda: rewrite(F.col(text), F.col("_edits")), "rewrite", text)).otherwise(F.col(text)).alias("redacted"),
+        F.when(fire, new_text).otherwise(F.col(text)).alias("redacted"),
         doc_status(F.col("n_candidates"), F.col("n_protect"), F.col("n_pending")).alias("status"),
     )
+    return fence(df, keep, [*computed, "redacted", "status"])
 
 
 def redact_corpus(docs: DataFrame, policy: Policy | None = None, rules=None, key: str = "doc_id",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import FINDINGS, empty, remembered, run_stages
+from ..functions.spans import FINDINGS, empty, fence, remembered, run_stages
 from ..operators import resolve as R
 from ..operators.base_rules import explode_findings, scan_arrays
 from ..operators.decide import Policy, assign_aliases_over, decide_rows, redact_rows, scan_resolved
@@ -38,7 +38,8 @@ def scan_resolved_us(docs: DataFrame, lists: RefLists | None = None, detectors=N
     df = run_stages(df, [resolved], keep, ["_w"])
     df = df.select(*keep, F.col("_w").isNull().alias("ambiguous"), F.coalesce("_w", empty(FINDINGS)).alias("_w"))
     context = remembered(lambda: R.adjust_context("findings", text, "_w"), "us_context", text)
-    return run_stages(df, [context], [*keep, "ambiguous"], ["findings"])
+    df = run_stages(df, [context], [*keep, "ambiguous"], ["findings"])
+    return fence(df, keep, ["ambiguous", "findings"])
 
 
 def scan_findings_us(docs: DataFrame, lists: RefLists | None = None, detectors=None, key: str = "doc_id",

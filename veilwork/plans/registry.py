@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["base_queries", "us_queries", "decision_queries"]
+MODULES = ["base_queries", "us_queries", "decision_queries", "list_queries"]
 
 
 def _collect(attribute: str) -> dict:
