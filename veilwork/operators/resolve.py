@@ -138,10 +138,7 @@ def resolve_candidates_in_row(out: str, candidates: Column) -> Stages:
         )
 
         def decide(xs: Column) -> Column:
-            tie = F.exists(
-                F.transform(xs, lambda x, i: F.exists(F.slice(xs, i + 2, F.size(xs)), lambda y: (y["k"] == x["k"]) & overlaps(x, y))),
-                lambda t: t,
-            )
+            tie = _tied(xs)
             won = F.transform(_accept(xs), lambda x: x["f"])
             return F.when(tie, F.array(F.lit(None).cast(FINDING))).otherwise(won)
 
@@ -240,10 +237,22 @@ def suppression_audit(components: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, "domain", "loser", "winner", reason(F.col("loser"), F.col("winner")).alias("reason"))
 
 
+def _tied(items: Column) -> Column:
+    """Whether two overlapping items of a component agree on every key."""
+    return F.exists(
+        F.transform(
+            items,
+            lambda x, i: F.exists(F.slice(items, i + 2, F.size(items)), lambda y: (y["k"] == x["k"]) & overlaps(x, y)),
+        ),
+        lambda t: t,
+    )
+
+
 def resolve_candidates(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     """Winners by domain rules; documents with an unresolvable tie give no rows (see ``ambiguous_ties``)."""
-    parts = resolved_components(findings, key)
-    return winners(parts, key).join(ambiguous_ties(parts, key).select(key), key, "left_anti")
+    parts = resolved_components(findings, key).withColumn("_tied", (F.size("items") > 1) & _tied(F.col("items")))
+    clear = parts.withColumn("_any", F.max("_tied").over(Window.partitionBy(key))).where("not _any")
+    return winners(clear, key)
 
 
 # --- context ---------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from ..sources import sinks
 from . import flagship
 from . import oracle as O
 from .base_queries import SQL as BASE_SQL
+from .shape import spread
 from .texts import case, documents, pad, sql_over, table, text_rows
 
 QUERIES, SQL = {}, {}
@@ -415,7 +416,7 @@ def pii_inventory(spark, sf):
 
 def _with_values(spark, sf):
     """Conversation turns with a phone number (shared by turns of one parity) and an address of the turn."""
-    return table(spark, sf, "conversations").selectExpr(
+    return spread(table(spark, sf, "conversations"), "conv_id", "turn").selectExpr(
         "conv_id", "turn", "concat('call 010-1234-', lpad(cast(turn % 2 as string), 4, '0'), ' or u', cast(turn % 3 as string), '@mail.kr ', text) as text")
 
 

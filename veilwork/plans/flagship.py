@@ -10,6 +10,7 @@ from ..operators import resolve as R
 from ..operators.base_rules import explode_findings, scan_arrays
 from ..operators.decide import Policy, assign_aliases_over, decide_rows, redact_rows, scan_resolved
 from ..operators.us_rules import RefLists, scan_us_arrays
+from .shape import materialize
 
 
 def scan_findings(docs: DataFrame, rules=None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,7 +52,8 @@ def scan_findings_us(docs: DataFrame, lists: RefLists | None = None, detectors=N
 def decided_conversations(turns: DataFrame, policy: Policy | None = None, rules=None) -> DataFrame:
     """Numbered finding rows of conversations: a value keeps its number across all turns of its conversation."""
     rows = explode_findings(scan_resolved(turns, rules), "findings", "conv_id", "turn")
-    return assign_aliases_over(decide_rows(rows, policy or Policy()), "conv_id", "turn")
+    # numbering reads the rows three times; the texts must be scanned once
+    return assign_aliases_over(materialize(decide_rows(rows, policy or Policy())), "conv_id", "turn")
 
 
 def redact_conversations(turns: DataFrame, policy: Policy | None = None, rules=None) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shape import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -40,8 +42,9 @@ def letter(expr: str) -> str:
 
 def text_rows(spark: SparkSession, sf_dir: str, name: str, key: str, text: str) -> DataFrame:
     """``(doc_id, text)`` from one SQL expression over a table."""
-    return sql_over(spark, sf_dir, name, f"cast({key} as bigint) as doc_id", f"{text} as text")
+    rows = spread(table(spark, sf_dir, name))
+    return rows.selectExpr(f"cast({key} as bigint) as doc_id", f"{text} as text")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
