@@ -1,6 +1,7 @@
 """Sources, sinks, list checks and streams."""
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,9 +91,14 @@ def test_status_stream_equals_batch_history(spark, tmp_path):
     names = [None, "Success", None, "WriteRejected", None, "UnauthorizedTarget", "ProcessingException", None, "NoActionRequired"]
     rows = [("s", i, i // 2 if i != 7 else 0, n) for i, n in enumerate(names)]
     events = spark.createDataFrame(rows, "source string, seq long, attempt_id long, terminal string")
-    q = jobs.status_stream(_stream(spark, tmp_path, events.coalesce(1), "status")).writeStream.format("memory").queryName("status_out").outputMode(
-        "append").trigger(availableNow=True).start()
-    q.awaitTermination(180)
+    # a timeout needs running triggers, so this stream is stopped by hand
+    q = jobs.status_stream(_stream(spark, tmp_path, events, "status")).writeStream.format("memory").queryName("status_out").outputMode(
+        "append").trigger(processingTime="1 second").start()
+    for _ in range(60):
+        if spark.table("status_out").where("seq = 8").count():
+            break
+        time.sleep(1)
+    q.stop()
     got = sorted((r.seq, r.status) for r in spark.table("status_out").where("seq >= 0").collect())
     history = reports.status_history(events)
     assert got == sorted((r.seq, r.status) for r in history.collect())
