@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, near_dedup, piece_codec, quality, secrets
+from . import chunk_dedup, fm_index, near_dedup, piece_codec, quality, secrets, token_store
+from .common import shared_path
 from .oracles import SQL  # noqa: F401  re-exported for the registry
 
 
@@ -22,6 +23,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(",", F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"]))).alias("removal"))
 
 
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk_dedup.repeated_passages(docs).withColumnRenamed("id", "doc_id")
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_codec.encode(docs).withColumnRenamed("id", "doc_id")
@@ -32,6 +38,13 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(docs, keep=["doc_id"])
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = shared_path(spark, "tokens")
+    token_store.write_tokens(docs, path)
+    return token_store.read_tokens(spark, path, with_ids=False).withColumnRenamed("id", "doc_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     scored = quality.score(docs, keep=["doc_id"])
@@ -44,4 +57,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(docs).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_pieces": op5_pieces, "op6_secrets": op6_secrets, "op8_quality": op8_quality, "op10_near_dedup": op10_near_dedup}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_chunk_dedup": op3_chunk_dedup, "op5_pieces": op5_pieces, "op6_secrets": op6_secrets, "op7_token_store": op7_token_store, "op8_quality": op8_quality, "op10_near_dedup": op10_near_dedup}
