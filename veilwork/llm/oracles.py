@@ -110,5 +110,16 @@ select doc_id, cast(n as bigint) as n_words, cast(coalesce(list_sum(list_transfo
 from far
 """
 
+OP2 = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+f as (select h, min(page_id) as r from p group by 1),
+d as (select page_id, p.h, r, list_aggregate(list_transform(range(1, 41),
+        lambda i: right('0000' || bin(('0x' || substr(sha1(encode(p.h)), i, 1))::integer), 4)), 'string_agg', '') as b from p join f on p.h = f.h)
+select page_id, cast(octet_length(encode(h)) as bigint) as payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + list_sum(list_transform(range(1, 6), lambda k: substr(b, 5 * i + k, 1)::integer * (1 << (5 - k))))::integer, 1)), 'string_agg', '') as payload_digest,
+       case when page_id = r then 'response' else 'revisit' end as record_type, case when page_id = r then null else r end as refers_to
+from d
+"""
 
-SQL = {"op1_decontaminate": OP1, "op8_quality": _op8(), "op10_near_dedup": OP10}
+SQL = {"op1_decontaminate": OP1, "op2_warc": OP2, "op8_quality": _op8(), "op10_near_dedup": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, fm_index, near_dedup, piece_codec, quality, secrets, token_store
+from . import chat_repair, chunk_dedup, fm_index, near_dedup, piece_codec, quality, sanitize, secrets, token_store, warc
 from .common import shared_path
 from .oracles import SQL  # noqa: F401  re-exported for the registry
 
@@ -23,11 +23,19 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(",", F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"]))).alias("removal"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return chunk_dedup.repeated_passages(docs).withColumnRenamed("id", "doc_id")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_codec.encode(docs).withColumnRenamed("id", "doc_id")
@@ -52,9 +60,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
+def op9_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sanitize.report(docs).withColumnRenamed("id", "doc_id")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.near_duplicates(docs).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_chunk_dedup": op3_chunk_dedup, "op5_pieces": op5_pieces, "op6_secrets": op6_secrets, "op7_token_store": op7_token_store, "op8_quality": op8_quality, "op10_near_dedup": op10_near_dedup}
+QUERIES = {f.__name__: f for f in (
+    op1_decontaminate, op2_warc, op3_chunk_dedup, op4_chat, op5_pieces, op6_secrets, op7_token_store, op8_quality, op9_sanitize,
+    op10_near_dedup)}
