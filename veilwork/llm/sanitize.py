@@ -42,7 +42,7 @@ class DisclosureRules:
     min_letters: int = 3
     min_contexts: int = 3
     min_posterior: float = 0.5
-    min_bits: float = 4.0
+    min_bits: float = 3.0
 
 
 def _digits(x: Column) -> Column:
