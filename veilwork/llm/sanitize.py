@@ -100,14 +100,15 @@ def revealing_terms(docs: DataFrame, base: DataFrame, rules: DisclosureRules, te
     entities = contexts.select("entity", "id", "version").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).select(
         "id", F.xxhash64("text").alias("version"), F.explode(F.array_distinct(F.split(F.lower("text"), NOT_WORD))).alias("term"))
-    # the size of the candidate list decides how Spark joins it
-    standing = stored(words.join(pairs.select("term").distinct(), "term").distinct(), "standing")
+    # the whole vocabulary is counted before it meets the candidates, so common words never fan out
+    frequency = words.groupBy("term").agg(F.count("*").alias("n_term"))
     documents = base.select("id", "version").distinct().count()
-    scored = pairs.join(standing.groupBy("term").agg(F.count("*").alias("n_term")), "term").join(entities, "entity").select(
+    scored = pairs.join(frequency, "term").join(entities, "entity").select(
         "term", "entity", (F.col("both") / F.col("n_term")).alias("posterior"),
         F.log2(F.col("both") * F.lit(float(documents)) / (F.col("n_term") * F.col("n_entity"))).alias("bits"))
     flagged = stored(scored.filter((F.col("posterior") >= rules.min_posterior) & (F.col("bits") >= rules.min_bits)), "flagged")
-    return flagged, standing.join(flagged.select("term").distinct(), "term", "left_semi")
+    # few terms are left; the size of their table decides how Spark joins it
+    return flagged, words.join(flagged.select("term").distinct(), "term", "left_semi")
 
 
 def sanitize(docs: DataFrame, rules: DisclosureRules = DisclosureRules(), key: str = "doc_id", text: str = "text") -> DataFrame:
