@@ -91,6 +91,8 @@ def repeated_runs(docs: DataFrame, rules: ChunkRules, key: str, text: str) -> Da
     # one row for each task and digest, so a digest that half the documents share is no hot group
     first = rows.groupBy("digest").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1").select(
         "digest", F.col("first.id").alias("first_id"), F.col("first.place").alias("first_place"))
+    # from its files, the join shuffles both sides for itself and Spark can split a digest that very many chunks share
+    first = stored(first, "first")
     again = rows.join(first, "digest").filter((F.col("id") != F.col("first_id")) | (F.col("place") != F.col("first_place")))
     again = again.select("id", F.shiftright("place", 20).alias("k"), F.col("place").bitwiseAND((1 << 20) - 1).alias("words"), "first_id")
     again = again.dropDuplicates(["id", "k"])  # rows that share an id
