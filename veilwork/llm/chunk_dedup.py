@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORDS, BYTE_VALUE, add_columns, byte_runs, fresh, range_hashes, stored
+from .common import BLANK_WORDS, BYTE_VALUE, add_columns, bounded_batches, byte_runs, fresh, range_hashes, stored
 
 GEAR = (BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
 
@@ -67,6 +67,7 @@ def chunk_rows(column: pa.Array, rules: ChunkRules):
 
 def chunks(docs: DataFrame, rules: ChunkRules, key: str, text: str) -> DataFrame:
     """``(digest, id, place)``; a place packs the chunk's number and its words."""
+    bounded_batches(docs.sparkSession)
     named = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).filter("id is not null")
     kind = named.schema["id"].dataType.simpleString()
 

@@ -39,6 +39,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send rows to Python in batches of a few megabytes, so that a task's memory does not follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def fresh(columns: Sequence[str], *names: str) -> list[str]:
     """``names`` with a suffix where needed, so that none equals a column (case is ignored) that is there already."""
     taken = {c.lower() for c in columns}
@@ -59,6 +64,7 @@ def add_columns(df: DataFrame, inputs: Sequence[str], outputs: Sequence[tuple[st
     ``make`` gets the input columns of each batch in turn and yields the output columns of each.  With ``where`` it
     yields one more, a mask of the rows that stay.  ``keep``: the input columns that are passed through (all).
     """
+    bounded_batches(df.sparkSession)
     keep = list(df.columns if keep is None else keep)
     made = T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in outputs)) if outputs else T.StructType()
     schema = T.StructType([df.schema[c] for c in keep] + list(made.fields))

@@ -34,7 +34,7 @@ from .common import add_columns, fresh, stored, texts
 BLANK = "▁"
 SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 NONE = -(1 << 60)
-CACHE = 800_000
+CACHE = 300_000
 TOGETHER = 32  # segments of up to so many characters are searched together with others of their length
 _ROLL = np.uint64(0x5851F42D4C957F2D)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, byte_runs, fresh, texts
+from .common import add_columns, bounded_batches, byte_runs, fresh, texts
 
 #: Character classes by byte; a lead byte of UTF-8 stands for its character, continuation bytes do not count.
 CLASS_BYTES = [
@@ -34,7 +34,7 @@ _CLASS = np.full(256, len(CLASS_BYTES), np.int64)
 for _i, (_chars, _) in enumerate(CLASS_BYTES):
     _CLASS[list(_chars)] = _i
 _CLASS[0x80:0xC0] = N_CLASSES  # continuation bytes
-FLUSH_WORDS = 300_000
+FLUSH_WORDS = 200_000  # different words a task holds for all languages together
 
 
 @dataclass(frozen=True)
@@ -62,6 +62,7 @@ def references(docs: DataFrame, rules: QualityRules, lang: str, text: str) -> di
 
     Two jobs count over all documents; only languages and words above their shares reach the driver, which bounds it.
     """
+    bounded_batches(docs.sparkSession)
     pairs = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text}`").alias("text"))
 
     def class_counts(batches):
@@ -101,8 +102,8 @@ def references(docs: DataFrame, rules: QualityRules, lang: str, text: str) -> di
             for k, x in zip(b.column(0).to_pylist(), texts(b.column(1))):
                 if k in seen:
                     seen[k].update(x.encode().lower().split())
-                    if len(seen[k]) > FLUSH_WORDS:
-                        yield from out()
+            if sum(map(len, seen.values())) > FLUSH_WORDS:
+                yield from out()
         yield from out()
 
     least = F.create_map(*(F.lit(x) for k, n in n_words.items() for x in (k, rules.word_share * n)))

@@ -28,7 +28,8 @@ from .common import add_columns, byte_runs, stored
 BITS = 20  # the frequencies of a table sum to 2**BITS
 LOW = np.uint64(1 << 31)
 _32, _BITS = np.uint64(32), np.uint64(BITS)
-RUN_BYTES = 1 << 24
+RUN_BYTES = 1 << 22
+CACHE = 600_000  # pieces a task remembers before it starts anew
 
 
 @dataclass(frozen=True)
@@ -58,27 +59,67 @@ def piece_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     p = p[ok]
     row = np.searchsorted(at, p, "right") - 1
     p = p[(p - at[row] >= 2) & (at[row + 1] - p >= 2)]  # both neighbours are in the same row
-    return np.union1d(p, at[:-1][at[1:] > at[:-1]])
-
-
-def token_rows(column: pa.Array, tokenizer, end_id: int) -> Iterator[np.ndarray]:
-    """Ids of each row with the end id.  Each distinct piece of a run of rows goes through the tokenizer once."""
-    for _, raw, at in byte_runs(column, RUN_BYTES):
-        starts = piece_starts(raw, at)
-        offsets = np.append(starts, len(raw)).astype(np.int64)
-        pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
-        coded = pieces.dictionary_encode()
-        known = tokenizer.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False) if len(starts) else []
-        ids = [x.ids for x in known] + [[end_id]]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([i for x in ids for i in x], np.uint32)
-        first = np.cumsum(sizes) - sizes
-        row_end = np.searchsorted(starts, at[1:])
-        which = np.insert(coded.indices.to_numpy().astype(np.int64), row_end, len(ids) - 1)
-        n = sizes[which]
-        out = flat[np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        ends = np.cumsum(n)[row_end + np.arange(len(row_end))]
-        yield from np.split(out, ends[:-1])
+    first = np.zeros(len(raw), bool)
+    first[p] = True
+    first[at[:-1][at[1:] > at[:-1]]] = True
+    return np.flatnonzero(first)
+
+
+class PieceIds:
+    """Ids of pieces met so far.  New ones go through the tokenizer many at a time: a piece that is one blank and visible
+    characters can be joined with others of its kind, and its ids begin where a token with a blank in front stands."""
+
+    def __init__(self, tokenizer, end_id: int):
+        self.tokenizer, self.end_id = tokenizer, end_id
+        self.blank = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.blank[[i for t, i in tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True  # how this format writes a blank
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sizes, self.flat = np.ones(1, np.int64), np.array([self.end_id], np.uint32)  # number 0: the end id
+
+    def _encode(self, many: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(many, add_special_tokens=False)]
+
+    def learn(self, pieces: list[str]) -> None:
+        new = [p for p in pieces if p not in self.known]
+        plain = [p[0] == " " and p[1:].split() == [p[1:]] for p in new]
+        simple, other = [p for p, x in zip(new, plain) if x], [p for p, x in zip(new, plain) if not x]
+        sizes, flat = [self.sizes], [self.flat]
+        for k in range(0, len(simple), 4096):
+            part = simple[k:k + 4096]
+            for i, ids in zip(range(0, len(part), 512), self._encode(["".join(part[i:i + 512]) for i in range(0, len(part), 512)])):
+                first = np.flatnonzero(self.blank[ids])
+                if len(first) != len(part[i:i + 512]):
+                    raise ValueError("a blank inside a token")
+                sizes.append(np.diff(np.append(first, len(ids))))
+                flat.append(ids)
+        for k in range(0, len(other), 1024):
+            found = self._encode(other[k:k + 1024])
+            sizes.append(np.array([len(x) for x in found], np.int64))
+            flat += found
+        for p in simple + other:
+            self.known[p] = len(self.known) + 1
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
+
+    def rows(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each row with the end id."""
+        for _, raw, at in byte_runs(column, RUN_BYTES):
+            starts = piece_starts(raw, at)
+            offsets = np.append(starts, len(raw)).astype(np.int64)
+            coded = pa.Array.from_buffers(pa.large_string(), len(starts), [
+                None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+            pieces = coded.dictionary.to_pylist()
+            if len(self.known) + len(pieces) > CACHE:
+                self.clear()
+            self.learn(pieces)
+            number = np.array([self.known[p] for p in pieces], np.int64)
+            row_end = np.searchsorted(starts, at[1:])
+            which = np.insert(number[coded.indices.to_numpy()] if len(pieces) else number, row_end, 0)
+            first, n = np.cumsum(self.sizes) - self.sizes, self.sizes[which]
+            out = self.flat[np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            yield from np.split(out, np.cumsum(n)[row_end + np.arange(len(row_end))][:-1])
 
 
 def tokenize(docs: DataFrame, rules: StoreRules, key: str, text: str) -> DataFrame:
@@ -92,9 +133,9 @@ def tokenize(docs: DataFrame, rules: StoreRules, key: str, text: str) -> DataFra
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(model.value)
+        pieces = PieceIds(Tokenizer.from_str(model.value), rules.end_id)
         for (column,) in batches:
-            yield [pa.array([x.astype("<u4").tobytes() for x in token_rows(column, tokenizer, rules.end_id)], pa.binary())]
+            yield [pa.array([x.astype("<u4").tobytes() for x in pieces.rows(column)], pa.binary())]
 
     named = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     return add_columns(named, ["text"], [("ids", "binary")], make, ["id"])
