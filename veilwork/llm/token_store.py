@@ -122,10 +122,18 @@ class PieceIds:
             yield from np.split(out, np.cumsum(n)[row_end + np.arange(len(row_end))][:-1])
 
 
+def width(rules: StoreRules) -> str:
+    """Ids between tokenizing and coding take two bytes if the vocabulary allows it."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(rules.tokenizer).get_vocab_size() - 1, rules.end_id) < 1 << 16 else "<u4"
+
+
 def tokenize(docs: DataFrame, rules: StoreRules, key: str, text: str) -> DataFrame:
-    """``(id, ids)``: little-endian unsigned 32-bit ids with the end id."""
+    """``(id, ids)``: little-endian unsigned ids of ``width(rules)`` with the end id."""
     with open(rules.tokenizer, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # a fixed file of about 1.5 MB
+    kind = width(rules)
 
     def make(batches):
         import os
@@ -135,7 +143,7 @@ def tokenize(docs: DataFrame, rules: StoreRules, key: str, text: str) -> DataFra
 
         pieces = PieceIds(Tokenizer.from_str(model.value), rules.end_id)
         for (column,) in batches:
-            yield [pa.array([x.astype("<u4").tobytes() for x in pieces.rows(column)], pa.binary())]
+            yield [pa.array([x.astype(kind).tobytes() for x in pieces.rows(column)], pa.binary())]
 
     named = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     return add_columns(named, ["text"], [("ids", "binary")], make, ["id"])
@@ -228,13 +236,13 @@ def _table(rows: pa.Table) -> Frequencies:
 def write_tokens(docs: DataFrame, path: str, rules: StoreRules = StoreRules(), key: str = "doc_id", text: str = "text") -> None:
     """Tokenize and write a store.  Ids are written once in between, because the table needs them all."""
     spark = docs.sparkSession
-    tokens = stored(tokenize(docs, rules, key, text), "ids")
+    tokens, kind_of_id = stored(tokenize(docs, rules, key, text), "ids"), width(rules)
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0):
-                n = np.bincount(np.frombuffer(x.as_buffer(), "<u4"), minlength=len(total))
+                n = np.bincount(np.frombuffer(x.as_buffer(), kind_of_id), minlength=len(total))
                 n[:len(total)] += total
                 total = n
         at = np.flatnonzero(total)
@@ -264,7 +272,7 @@ def write_tokens(docs: DataFrame, path: str, rules: StoreRules = StoreRules(), k
         for b in batches:
             key_type = b.column(0).type
             for i, x in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.frombuffer(x.as_buffer(), "<u4").copy()
+                ids = np.frombuffer(x.as_buffer(), kind_of_id).astype(np.uint32)
                 waiting.append((i, ids))
                 size += len(ids)
                 if size >= rules.block_ids:
