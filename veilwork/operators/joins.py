@@ -187,7 +187,9 @@ def overlap_anti_join(spans: DataFrame, guards: DataFrame, key: str = "doc_id")
     w = Window.partitionBy(key).orderBy("start", F.col("_g").desc())
     is_guard = F.col("_g") == 1
     reach = F.max(F.when(is_guard, F.col("start") + F.col("len"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.min(F.when(is_guard, F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # the same order backwards: a frame that only grows is aggregated once, one that shrinks anew for every row
+    back = Window.partitionBy(key).orderBy(F.col("start").desc(), "_g")
+    following = F.min(F.when(is_guard, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     clear = F.coalesce(reach <= F.col("start"), F.lit(True)) & F.coalesce(
         following >= F.col("start") + F.col("len"), F.lit(True)
     )
