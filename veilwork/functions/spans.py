@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Generator, Sequence
 
 from typing import Any
+from weakref import WeakKeyDictionary
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,8 @@ FINDING = (
 FINDINGS = f"array<{FINDING}>"
 
 
-_MADE: dict[tuple, Any] = {}
+# goes with its context: after a restart nothing of the old one is found again
+_MADE: WeakKeyDictionary[SparkContext, dict[tuple, Any]] = WeakKeyDictionary()
 
 
 def memo(make: Callable[[], Any], *key) -> Any:
@@ -36,10 +38,10 @@ def memo(make: Callable[[], Any], *key) -> Any:
 
     Large expressions take longer to create than to run; they only refer to columns by name.
     """
-    full = (id(SparkContext._active_spark_context), *key)
-    if full not in _MADE:
-        _MADE[full] = make()
-    return _MADE[full]
+    made = _MADE.setdefault(SparkContext._active_spark_context, {})
+    if key not in made:
+        made[key] = make()
+    return made[key]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
