@@ -25,17 +25,25 @@ def stream_source(spark: SparkSession, path: str, schema: StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def unescape_entities(s: Column) -> Column:
-    """The entities of published tables; the ampersand last, so that nothing is unescaped twice."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        s = F.regexp_replace(s, entity, char)
-    return s
+# The entities of published tables.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "nbsp": " ", "amp": "&"}
 
 
 def cell_text(markup: Column) -> Column:
-    """Cell text: tags become blanks, blanks collapse."""
-    plain = unescape_entities(F.regexp_replace(markup, "<[^>]+>", " "))
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    """Text of a piece of markup: a tag counts as a blank, entities are read once, runs of white space are one blank.
+
+    The markup is cut before every entity; a piece then begins with at most one, so nothing is read twice.
+    """
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    bare = F.regexp_replace(markup, "<[^<>]*+>", " ")
+
+    def read(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^&(#?[0-9a-z]+);", 1)
+        rest = F.substring(piece, F.length(name) + 3, F.length(piece))
+        return F.coalesce(F.concat(named[name], rest), piece)
+
+    words = F.split(F.array_join(F.transform(F.split(bare, "(?=&)"), read), ""), r"\s+")
+    return F.array_join(F.filter(words, lambda w: w != ""), " ")
 
 
 def html_cells(df: DataFrame, key: str, html: str, tags: list[str] = ("td", "th")) -> DataFrame:
@@ -49,12 +57,19 @@ def html_cells(df: DataFrame, key: str, html: str, tags: list[str] = ("td", "th"
 
 
 def html_table_rows(df: DataFrame, key: str, html: str, index: int) -> DataFrame:
-    """Rows of the ``index``-th table of a page, each as an array of cell texts."""
-    tables = F.regexp_extract_all(F.col(html), F.lit("(?s)<table.*?</table>"), F.lit(0))
-    rows = F.regexp_extract_all(F.get(tables, F.lit(index)), F.lit("(?s)<tr.*?</tr>"), F.lit(0))
-    out = df.select(key, F.posexplode_outer(rows).alias("row", "markup")).where(F.col("row").isNotNull())
-    cells = F.regexp_extract_all(F.col("markup"), F.lit("(?s)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1))
-    return out.select(key, "row", F.transform(cells, cell_text).alias("cells"))
+    """Rows of the ``index``-th table of a page, each as an array of cell texts; other columns are dropped.
+
+    Pages are cut at the tags that open a table, a row and a cell; what follows the closing tag is left out.
+    A page without that table gives no rows.
+    """
+    def inside(markup: Column, tag: str) -> Column:
+        parts = F.split(markup, rf"(?i)<{tag}(?=[\s>])[^>]*+>")
+        return F.transform(
+            F.slice(parts, 2, F.size(parts)), lambda p: F.get(F.split(p, rf"(?i)</{tag}\s*+>", 2), F.lit(0))
+        )
+
+    rows = df.select(key, F.posexplode(inside(F.get(inside(F.col(html), "table"), F.lit(index)), "tr")).alias("row", "_r"))
+    return rows.select(key, "row", F.transform(inside(F.col("_r"), "t[dh]"), cell_text).alias("cells"))
 
 
 # --- reference lists -------------------------------------------------------------------------
@@ -235,7 +250,8 @@ def first_violation(invalid: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def require_detectors(required: list[str], ready: DataFrame) -> None:
     """Fail before the scan when a required detector is not ready; a smaller scan never looks clean."""
-    names = [r["detector_id"] for r in ready.where("state = 'Ready'").select("detector_id").distinct().limit(1000).collect()]
-    missing = sorted(set(required) - set(names))
+    wanted = ready.sparkSession.createDataFrame([(d,) for d in required], "detector_id string")
+    absent = wanted.join(ready.where("state = 'Ready'"), "detector_id", "left_anti")
+    missing = sorted({r["detector_id"] for r in absent.collect()})  # at most the detectors asked for
     if missing:
         raise ValueError("required detectors are not ready: " + ", ".join(missing))
