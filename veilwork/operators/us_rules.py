@@ -68,14 +68,28 @@ MBI_POSITIONS = "1LADLADLLDD"
 
 @dataclass
 class RefLists:
-    """Reference lists for phone and address.  Records are short codes; their number is bounded by the code space."""
+    """Reference lists for phone and address.  Records are short codes; their number is bounded by the code space.
 
-    area_codes: list[str] | None = None
-    suffixes: list[str] = field(default_factory=lambda: list(dims.STREET_SUFFIXES))
-    states: list[str] = field(default_factory=lambda: list(dims.STATE_CODES))
+    Without area codes the phone detector is not ready, without suffixes and states the address detector.
+    """
+
+    area_codes: list[str] = field(default_factory=list)
+    suffixes: list[str] = field(default_factory=list)
+    states: list[str] = field(default_factory=list)
 
     MAX_RECORDS = 10_000
 
+    def not_ready(self) -> set[str]:
+        phone = set() if self.area_codes else {"us.phone"}
+        return phone | (set() if self.suffixes and self.states else {"us.address"})
+
+    @classmethod
+    def stand_in(cls) -> "RefLists":
+        """Codes by the numbering-plan rule and a short list of suffixes, to be chosen knowingly where no lists exist:
+        with it foreign area codes are taken for US ones and rare suffixes are missed."""
+        codes = [f"{n}" for n in range(200, 1000) if n // 10 % 10 != 9 and n % 100 != 11]
+        return cls(codes, list(dims.STREET_SUFFIXES), list(dims.STATE_CODES))
+
     @classmethod
     def from_table(cls, ref_lists: DataFrame) -> "RefLists":
         """From ``ref_lists(list_id, record)``; an area-code record may carry a jurisdiction after the code."""
@@ -622,17 +636,14 @@ def phone_pattern(compact: bool) -> str:
     return rf"{phone_forms(compact)}(?: ?(?i:extension|ext|x) ?([0-9]++){bound}|{bound})"
 
 
-def us_phone(out: str, text: str, fields: str, area_codes: list[str] | None) -> Stages:
-    known = lambda n: F.lit(True) if area_codes is None else F.substring(n, 1, 3).isin(area_codes)
-    rule = r"^[2-9](?:[0-8]0|[0-8][2-9]|[02-8]1)"  # numbering-plan rule, when no list is given
+def us_phone(out: str, text: str, fields: str, area_codes: list[str]) -> Stages:
     def national(number: Column) -> Column:
         return F.right(F.regexp_replace(number, "[^0-9]", ""), F.lit(10))
 
     def make(start: Column, whole: Column, number: Column, extension: Column, evidence: int) -> Column:
         n = national(number)
         canonical = F.when(extension != "", F.concat(n, F.lit("x"), extension)).otherwise(n)
-        ok = known(n) if area_codes is not None else n.rlike(rule)
-        return F.when(ok, us_finding("us.phone", start, F.length(whole), canonical, whole, evidence, 2))
+        return F.when(F.substring(n, 1, 3).isin(area_codes), us_finding("us.phone", start, F.length(whole), canonical, whole, evidence, 2))
 
     def labelled(f: Column) -> Column:
         v, p = trimmed(f), "^" + phone_pattern(True)
@@ -771,11 +782,15 @@ def scan_us_arrays(docs: DataFrame, detectors: list[str] | None = None, lists: R
                    text: str = "text", single: bool = False) -> DataFrame:
     """Add ``us_findings`` and ``us_attempts`` (numbers with an audit of rejections) as array columns.
 
-    ``single`` evaluates each tax detector on its own instead of as a family.
+    ``single`` evaluates each tax detector on its own instead of as a family.  Detectors whose lists are missing are left
+    out (``RefLists.not_ready``); asking for one of them by name is an error.
     """
-    chosen = detectors or dims.US_DETECTORS
-    chosen = [d for d in chosen if d in dims.US_DETECTORS and dims.DETECTOR_TYPE[d]]
     lists = lists or RefLists()
+    unready = lists.not_ready()
+    if unready & set(detectors or ()):
+        raise ValueError("required detectors are not ready: " + ", ".join(sorted(unready & set(detectors))))
+    chosen = detectors or [d for d in dims.US_DETECTORS if d not in unready]
+    chosen = [d for d in chosen if d in dims.US_DETECTORS and dims.DETECTOR_TYPE[d]]
     keep = docs.columns
     inputs = {}
     if any(d in TAX for d in chosen):

@@ -184,7 +184,7 @@ _ph_text = case(_k, [
 ])
 QUERIES["scan_us_phone"] = lambda spark, sf: us_rows(
     text_rows(spark, sf, "orders", f"-1 - {_k}", _ph_text).unionByName(documents(spark, sf).select("doc_id", "text")),
-    "us.phone").select(*OUT)
+    "us.phone", lists=RefLists.stand_in()).select(*OUT)
 SQL["scan_us_phone"] = rows_sql("orders", _k, [
     (5, 12, _nat, 2, "true", 2, 3), (7, 10, _nat, 5, "true", 2, 3), (0, 17, _nat, 2, "true", 2, 3),
     (5, 19, f"{_nat} || 'x42'", 5, "true", 2, 3), None, None, (0, 12, _nat, 2, "true", 2, 3), None,
@@ -207,7 +207,7 @@ _addr_text = case(_k, [
     f"'at ' || {_street} || ' Ste 9 Reno NV ' || {_zip} || '-1234'",
 ])
 QUERIES["scan_us_address"] = lambda spark, sf: us_rows(
-    text_rows(spark, sf, "orders", _k, _addr_text), "us.address").select(*OUT)
+    text_rows(spark, sf, "orders", _k, _addr_text), "us.address", lists=RefLists.stand_in()).select(*OUT)
 SQL["scan_us_address"] = rows_sql("orders", _k, [
     (8, f"length({_full})", _full, 4, "true", 2, 3), (9, f"length({_street}) + 7", f"{_street} || ' Apt 5B'", 5, "true", 2, 3),
     (17, f"length({_no}) + 7", f"'PO Box ' || {_no}", 5, "true", 2, 3), None, None, None,
