@@ -1,8 +1,10 @@
 """Known inputs with the findings they must give."""
 
 from veilwork.operators.base_rules import explode_findings, scan_arrays
-from veilwork.operators.decide import Policy, redact_corpus
-from veilwork.operators.us_rules import scan_us_arrays
+import pytest
+
+from veilwork.operators.decide import Policy, finding_rows, redact_corpus, redact_rows, scan_marked
+from veilwork.operators.us_rules import RefLists, scan_us_arrays
 from veilwork.plans import flagship
 
 # text -> detector|canonical|start:len|confidence, in detector order
@@ -137,7 +139,7 @@ def test_base_rules(docs):
 
 
 def test_us_rules(docs):
-    got = rows_of(scan_us_arrays(docs([t for t, _ in US])), "us_findings")
+    got = rows_of(scan_us_arrays(docs([t for t, _ in US]), lists=RefLists.stand_in()), "us_findings")
     for i, (text, want) in enumerate(US):
         found = [f"{f.detector_id}|{f.evidence}|{f.start}:{f.len}|{f.canonical}" for f in got[i]]
         assert found == ([want] if want else []), text
@@ -174,6 +176,44 @@ def test_redaction(docs):
     assert (got[3].redacted, got[3].status) == ("none", "no_findings")
 
 
+def test_redaction_with_the_us_pack(spark, docs):
+    texts = ["SSN: 321-54-9876 and Phone: 212-555-1212", "Phone: 212-555-1212", "Phone: 416-555-1212", "none", None]
+    lists = RefLists(area_codes=["212"])
+    trust = Policy(trusted=spark.createDataFrame([("Phone", "none")], "pii_type string, value string"))
+    for policy in (Policy(), trust):  # inside the row, and with a joined list
+        got = {r.doc_id: r for r in redact_corpus(docs(texts), policy, us=lists).collect()}
+        assert (got[0].redacted, got[0].status) == (texts[0], "needs_decision")
+        assert (got[1].redacted, got[1].status) == ("Phone: [전화번호1]", "protected")
+        assert [got[i].status for i in (2, 3, 4)] == ["no_findings"] * 3 and got[4].redacted is None
+
+
+def test_address_needs_its_lists(docs):
+    texts = ["at 12 Oak Grove Cv, Reno, NV 89501", "at 12 Oak Xing, Reno, NV 89501"]
+    with pytest.raises(ValueError, match="us.address"):
+        scan_us_arrays(docs(texts), ["us.address"])
+    lists = RefLists(suffixes=["CV", "XING"], states=["NV"])
+    got = rows_of(scan_us_arrays(docs(texts), ["us.address"], lists), "us_findings")
+    assert [len(got[i]) for i in (0, 1)] == [1, 1]
+
+
+def test_unsafe_edits_leave_the_text(spark, docs):
+    found = "doc_id long, start int, len int, disposition string, alias string"
+    texts = ["abc 010-1 def", "abc 010-1 def", "abc 010-1 def", "abc 010-1 def"]
+    rows = spark.createDataFrame(
+        [(0, 4, 5, "Protect", None), (1, 4, 5, "Protect", "[A1]"), (1, 6, 5, "Protect", "[A2]"), (2, 9, 50, "Protect", "[A1]"),
+         (3, 4, 5, "Protect", "[A1]")], found)
+    got = {r.doc_id: r for r in redact_rows(docs(texts), rows, ["doc_id"]).collect()}
+    assert [(got[i].redacted, got[i].status) for i in (0, 1, 2)] == [(texts[0], "error")] * 3
+    assert (got[3].redacted, got[3].status) == ("abc [A1] def", "protected")
+
+
+def test_ambiguous_document_is_kept_back(docs):
+    df = scan_marked(docs(["a@b.co", "x"])).selectExpr("doc_id", "text", "findings", "doc_id = 1 as ambiguous")
+    rows = finding_rows(df, "doc_id").selectExpr("*", "'Protect' as disposition", "'[A1]' as alias")
+    got = {r.doc_id: r for r in redact_rows(docs(["a@b.co", "x"]), rows.where("start is not null or ambiguous"), ["doc_id"]).collect()}
+    assert (got[0].redacted, got[1].redacted, got[1].n_candidates, got[1].status) == ("[A1]", "x", 0, "ambiguous")
+
+
 def test_us_pack_tie_is_held_back(docs):
     rows = {r.doc_id: r for r in flagship.scan_resolved_us(docs(["SSN: 321-54-9876", "plain"])).collect()}
     assert [f.detector_id for f in rows[0].findings] == ["us.ssn"] and not rows[0].ambiguous

@@ -37,6 +37,9 @@ def test_html_table_rows(spark):
     page = "<table><tr><td>x</td></tr></table><table><tr><th>Name</th><th>Code</th></tr><tr><td>A &amp; <b>B</b></td><td>AB</td></tr></table>"
     rows = S.html_table_rows(spark.createDataFrame([(1, page)], "id int, html string"), "id", "html", 1).collect()
     assert [r.cells for r in rows] == [["Name", "Code"], ["A & B", "AB"]]
+    odd = "<TABLE><TR><TD class='x'>&amp;lt; &nbsp;y &copy;</TD><td></td></TR></TABLE>"
+    rows = S.html_table_rows(spark.createDataFrame([(1, odd), (2, None), (3, "")], "id int, html string"), "id", "html", 0).collect()
+    assert [(r.id, r.cells) for r in rows] == [(1, ["&lt; y &copy;", ""])]
 
 
 def test_required_detectors(spark):

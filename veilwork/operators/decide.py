@@ -1,7 +1,11 @@
 """Decisions per finding: trust lists, policy, placeholders and the rewritten text.
 
-Lists are ordinary tables ``(pii_type, value)``.  A list is inlined into the row plan only after
-its size was checked; larger lists go through joins on finding rows.
+Lists are ordinary tables ``(pii_type, value)`` of any size and are joined to finding rows.  A policy
+without lists needs no join and stays inside the row.
+
+A text is rewritten only when that is safe: every protected value has a placeholder and the spans are
+disjoint and inside the text.  Otherwise the text stays as it is, with status ``error``.  A text whose
+findings cannot be told apart (US pack) stays as it is, with status ``ambiguous``.
 """
 
 from __future__ import annotations
@@ -13,12 +17,24 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.checks import evidence_code  # noqa: F401  (part of the public surface)
-from ..functions.spans import FINDING, Stages, fence, memo, remembered, rewrite, run_stages, running_max, running_sum
+from ..functions.spans import (
+    FINDING,
+    FINDINGS,
+    Stages,
+    empty,
+    end_of,
+    fence,
+    memo,
+    remembered,
+    rewrite,
+    run_stages,
+    running_max,
+    running_sum,
+)
 from ..functions.text import text_sha256
-from .base_rules import explode_findings, scan_arrays
-from .resolve import FINDING_COLS, adjust_context, resolve_overlaps_in_row
-
-INLINE_LIMIT = 1000
+from .base_rules import scan_arrays
+from .resolve import FINDING_COLS, adjust_context, resolve_candidates_in_row, resolve_overlaps_in_row
+from .us_rules import RefLists, scan_us_arrays
 
 # Category switches; every other type is always on.
 CATEGORIES = {"Phone": "phone", "Email": "email", "Name": "name", "Address": "address"}
@@ -36,25 +52,8 @@ class Policy:
     user_exceptions: DataFrame | None = None
     settings: dict[str, bool] = field(default_factory=lambda: dict(ALL_ON))
 
-    def lists(self) -> dict[str, DataFrame | None]:
-        return {"trusted": self.trusted, "exceptions": self.exceptions, "user_exceptions": self.user_exceptions}
-
-
-def inline_lists(policy: Policy) -> dict[str, list[str]] | None:
-    """The lists as literals, or None when one of them is longer than ``INLINE_LIMIT``."""
-    out = {}
-    for name, df in policy.lists().items():
-        rows = [] if df is None else df.select(_entry_key().alias("k")).distinct().limit(INLINE_LIMIT + 1).collect()
-        if len(rows) > INLINE_LIMIT:
-            return None
-        out[name] = [r["k"] for r in rows]
-    return out
-
-
-def _entry_key(pii_type: Column | None = None, value: Column | None = None) -> Column:
-    t = F.col("pii_type") if pii_type is None else pii_type
-    v = F.col("value") if value is None else value
-    return F.concat(t, F.lit("|"), v)
+    def has_lists(self) -> bool:
+        return any(df is not None for df in (self.trusted, self.exceptions, self.user_exceptions))
 
 
 # --- single expressions ----------------------------------------------------------------------
@@ -214,26 +213,50 @@ def strictest_disposition(decided: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def safe_edits(text: Column, edits: Column, n_protect: Column) -> Column:
+    """Whether sorted edits may be applied: one for each protected finding, all with a token, disjoint, inside the text."""
+    inside = F.forall(
+        edits,
+        lambda e: e["token"].isNotNull() & (e["start"] >= 0) & (e["len"] > 0) & (end_of(e) <= F.length(text)),
+    )
+    apart = F.forall(
+        F.transform(edits, lambda e, i: (i == 0) | (end_of(F.get(edits, i - 1)) <= e["start"])), lambda ok: ok
+    )
+    return F.coalesce((F.size(edits) == n_protect) & inside & apart, F.lit(False))
+
+
 def redact_rows(docs: DataFrame, numbered: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Rewrite texts from numbered finding rows.  Documents without findings pass through.
 
-    Only the edits travel to the join; the texts are shuffled on the document key once.
+    Only the edits travel to the join; the texts are shuffled on the document key once.  Rows may carry
+    ``ambiguous`` (see ``finding_rows``).
     """
-    edit = F.struct("start", "len", F.col("alias").alias("token"))
+    c = F.col
+    edit = F.struct("start", "len", c("alias").alias("token"))
+    tied = c("ambiguous") if "ambiguous" in numbered.columns else F.lit(False)
     per_doc = (
         numbered.groupBy(*keys)
         .agg(
-            F.array_sort(F.collect_list(F.when(F.col("disposition") == PROTECT, edit))).alias("_edits"),
-            F.count("*").cast("int").alias("n_candidates"),
-            F.count_if(F.col("disposition") == PROTECT).cast("int").alias("n_protect"),
-            F.count_if(F.col("disposition") == ASK).cast("int").alias("n_pending"),
+            F.array_sort(F.collect_list(F.when(c("disposition") == PROTECT, edit))).alias("_edits"),
+            F.count("start").cast("int").alias("n_candidates"),
+            F.count_if(c("disposition") == PROTECT).cast("int").alias("n_protect"),
+            F.count_if(c("disposition") == ASK).cast("int").alias("n_pending"),
+            F.max(tied).alias("_tied"),
         )
     )
     counts = ["n_candidates", "n_protect", "n_pending"]
-    joined = docs.join(per_doc, keys, "left").fillna(0, counts)
-    fire = (F.col("n_protect") > 0) & (F.col("n_pending") == 0)
-    return joined.withColumn("redacted", F.when(fire, rewrite(F.col(text), F.col("_edits"))).otherwise(F.col(text))) \
-        .withColumn("status", doc_status(*[F.col(c) for c in counts])).drop("_edits")
+    joined = docs.join(per_doc, keys, "left").fillna(0, counts).fillna(False, "_tied")
+    due = (c("n_protect") > 0) & (c("n_pending") == 0)
+    safe = safe_edits(c(text), c("_edits"), c("n_protect"))
+    return (
+        joined.withColumn("redacted", F.when(due & safe, rewrite(c(text), c("_edits"))).otherwise(c(text)))
+        .withColumn("status", _status(c("_tied"), due & ~safe, *[c(n) for n in counts]))
+        .drop("_edits", "_tied")
+    )
+
+
+def _status(ambiguous: Column, unsafe: Column, *counts: Column) -> Column:
+    return F.when(ambiguous, "ambiguous").when(unsafe, "error").otherwise(doc_status(*counts))
 
 
 # --- in-row form -----------------------------------------------------------------------------
@@ -241,20 +264,13 @@ def redact_rows(docs: DataFrame, numbered: DataFrame, keys: list[str], text: str
 DECIDED = FINDING[:-1] + ",trusted:boolean,disposition:string>"
 
 
-def decide_in_row(findings: Column, lists: dict[str, list[str]], settings: dict[str, bool]) -> Column:
-    """Decisions inside the row, with the (checked, short) lists as literals."""
-
-    def listed(f: Column, name: str) -> Column:
-        if not lists[name]:
-            return F.lit(False)
-        return F.coalesce(_entry_key(f["pii_type"], f["canonical"]).isin(lists[name]), F.lit(False))
+def decide_in_row(findings: Column, settings: dict[str, bool]) -> Column:
+    """Decisions inside the row, for a policy without lists."""
 
     def one(f: Column) -> Column:
-        trusted = F.when(f["risk"] == 1, listed(f, "exceptions")).when(f["risk"] == 2, listed(f, "trusted"))
-        trusted = trusted.otherwise(F.lit(False))
-        policy = apply_category_settings(f["pii_type"], f["risk"], decide(f["risk"], f["conf"], trusted), settings)
-        final = apply_user_exception(policy, listed(f, "user_exceptions"))
-        return F.struct(*[f[c] for c in FINDING_COLS], trusted, final).cast(DECIDED)
+        chosen = decide(f["risk"], f["conf"], F.lit(False))
+        final = apply_category_settings(f["pii_type"], f["risk"], chosen, settings)
+        return F.struct(*[f[c] for c in FINDING_COLS], F.lit(False), final).cast(DECIDED)
 
     return F.transform(findings, one)
 
@@ -333,16 +349,44 @@ def scan_resolved(docs: DataFrame, rules=None, text: str = "text", out: str = "f
     return fence(run_stages(df, [stages], docs.columns, [out]), docs.columns, [out])
 
 
-def redact_in_row(docs: DataFrame, policy: Policy | None = None, rules=None, text: str = "text",
-                  lists: dict[str, list[str]] | None = None) -> DataFrame:
-    """Scan, decide and rewrite in one narrow pass over the texts; needs short lists."""
-    policy = policy or Policy()
-    lists = lists if lists is not None else inline_lists(policy)
-    if lists is None:
-        raise ValueError("a policy list is too long to inline; use redact_corpus")
+def scan_resolved_us(docs: DataFrame, lists: RefLists | None = None, detectors=None, text: str = "text",
+                     rules=None) -> DataFrame:
+    """Add ``findings`` and ``ambiguous`` with the US pack on, all inside the row.
+
+    A document with an unresolvable tie has no findings and is marked, so that callers hold its text back.
+    """
+    keep = docs.columns
+    df = scan_us_arrays(scan_arrays(docs, rules, text), detectors, lists, text)
+    df = df.select(*keep, F.concat("candidates", "us_findings").alias("_both"))
+    resolved = remembered(lambda: resolve_candidates_in_row("_w", F.col("_both")), "us_resolved")
+    df = run_stages(df, [resolved], keep, ["_w"])
+    # a null text has no candidates and is not a tie
+    tied = F.col("_w").isNull() & F.col(text).isNotNull()
+    df = df.select(*keep, tied.alias("ambiguous"), F.coalesce("_w", empty(FINDINGS)).alias("_w"))
+    context = remembered(lambda: adjust_context("findings", text, "_w"), "us_context", text)
+    df = run_stages(df, [context], [*keep, "ambiguous"], ["findings"])
+    return fence(df, keep, ["ambiguous", "findings"])
+
+
+def scan_marked(docs: DataFrame, rules=None, us: RefLists | None = None, text: str = "text") -> DataFrame:
+    """Add ``findings`` and ``ambiguous``: the base rules, and the US pack when its lists are given."""
+    if us is None:
+        return scan_resolved(docs, rules, text).withColumn("ambiguous", F.lit(False))
+    return scan_resolved_us(docs, us, None, text, rules)
+
+
+def finding_rows(scanned: DataFrame, *keys: str) -> DataFrame:
+    """Finding rows of ``scan_marked``; an ambiguous document gives one row without a finding, so that it is not lost."""
+    rows = scanned.select(*keys, "ambiguous", F.inline_outer("findings"))
+    return rows.where(F.col("start").isNotNull() | F.col("ambiguous"))
+
+
+def redact_in_row(docs: DataFrame, settings: dict[str, bool] | None = None, rules=None, text: str = "text",
+                  us: RefLists | None = None) -> DataFrame:
+    """Scan, decide and rewrite in one narrow pass over the texts, for a policy without lists."""
     keep = docs.columns
-    df = scan_resolved(docs, rules, text, "_f")
-    df = df.select(*keep, decide_in_row(F.col("_f"), lists, policy.settings).alias("findings"))
+    scanned = scan_marked(docs, rules, us, text).withColumnsRenamed({"findings": "_f", "ambiguous": "_tied"})
+    df = scanned.select(*keep, "_tied", decide_in_row(F.col("_f"), settings or ALL_ON).alias("findings"))
     n = lambda cond: F.size(F.filter("findings", cond))
     df = df.select(
         "*",
@@ -350,29 +394,33 @@ def redact_in_row(docs: DataFrame, policy: Policy | None = None, rules=None, tex
         n(lambda f: f["disposition"] == PROTECT).alias("n_protect"),
         n(lambda f: f["disposition"] == ASK).alias("n_pending"),
     )
-    fire = (F.col("n_protect") > 0) & (F.col("n_pending") == 0)
+    due = (F.col("n_protect") > 0) & (F.col("n_pending") == 0)
     cols = df.columns
-    df = df.select("*", F.when(fire, F.col("findings")).otherwise(F.slice("findings", 1, 0)).alias("_fired"))
+    df = df.select("*", F.when(due, F.col("findings")).otherwise(F.slice("findings", 1, 0)).alias("_fired"))
     df = run_stages(df, [remembered(lambda: number_in_row("_edits", "_fired"), "numbers")], cols, ["_edits"])
+    df = df.select("*", (due & safe_edits(F.col(text), F.col("_edits"), F.col("n_protect"))).alias("_fire"))
     new_text = memo(lambda: rewrite(F.col(text), F.col("_edits")), "rewrite", text)
-    computed = [c for c in cols if c not in keep]
+    computed = [c for c in cols if c not in keep and c != "_tied"]
+    counts = [F.col(c) for c in ("n_candidates", "n_protect", "n_pending")]
     df = df.select(
-        *cols,
-        F.when(fire, new_text).otherwise(F.col(text)).alias("redacted"),
-        doc_status(F.col("n_candidates"), F.col("n_protect"), F.col("n_pending")).alias("status"),
+        *[c for c in cols if c != "_tied"],
+        F.when(F.col("_fire"), new_text).otherwise(F.col(text)).alias("redacted"),
+        _status(F.col("_tied"), due & ~F.col("_fire"), *counts).alias("status"),
     )
     return fence(df, keep, [*computed, "redacted", "status"])
 
 
 def redact_corpus(docs: DataFrame, policy: Policy | None = None, rules=None, key: str = "doc_id",
-                  text: str = "text") -> DataFrame:
-    """Redact a corpus.  Short lists keep the whole chain in the row; longer ones are joined to finding rows."""
+                  text: str = "text", us: RefLists | None = None) -> DataFrame:
+    """Redact a corpus; ``us`` turns the US pack on.
+
+    Without lists the whole chain stays in the row; lists of any size are joined to finding rows.
+    """
     policy = policy or Policy()
-    lists = inline_lists(policy)
     cols = docs.columns + ["redacted", "n_candidates", "n_protect", "n_pending", "status"]
-    if lists is not None:
-        return redact_in_row(docs, policy, rules, text, lists).select(*cols)
-    rows = explode_findings(scan_resolved(docs, rules, text), "findings", key)
+    if not policy.has_lists():
+        return redact_in_row(docs, policy.settings, rules, text, us).select(*cols)
+    rows = finding_rows(scan_marked(docs, rules, us, text), key)
     numbered = assign_aliases(decide_rows(rows, policy), key)
     return redact_rows(docs, numbered, [key], text).select(*cols)
 

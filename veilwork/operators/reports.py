@@ -97,9 +97,11 @@ def status_history(attempts: DataFrame, source: str = "source", order: str = "se
     """Status after each event of a source.
 
     ``attempts(source, seq, attempt_id, terminal)``; a null terminal starts a scan.  Events of an older
-    attempt are dropped; a failure sticks through unscanned events until the next completed scan.
+    attempt and events of an unknown name are dropped; a failure sticks through unscanned events until the next
+    completed scan.
     """
-    live = carry(attempts, [source], F.col(order), {"_newest": ("max_before", F.col("attempt_id"))})
+    known = F.col("terminal").isNull() | F.col("terminal").isin([*COMPLETED, *FAILED, *UNSCANNED])
+    live = carry(attempts.where(known), [source], F.col(order), {"_newest": ("max_before", F.col("attempt_id"))})
     live = live.where("_newest is null or attempt_id >= _newest").drop("_newest")
     completed = dims.lookup(COMPLETED, F.col("terminal"), "string")
     failed = dims.lookup(FAILED, F.col("terminal"), "string")
@@ -124,9 +126,10 @@ def warning_notify(history: DataFrame, source: str = "source", order: str = "seq
     return df.where(F.col("status").isin(WARNINGS) & fresh).drop("_before")
 
 
-def pii_inventory(findings: DataFrame, docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Findings by source, language and type, with how many sit in good or toxic documents."""
-    facts = findings.join(docs.select(key, "source", "lang"), key).join(labels, key, "left")
+def pii_inventory(findings: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Findings (with their document's source and language) by source, language and type, with how many sit in good
+    or toxic documents."""
+    facts = findings.join(labels, key, "left")
     return facts.groupBy("source", "lang", "pii_type").agg(
         F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("n_good"),
         F.count_if(F.col("toxic") == 1).alias("n_toxic"),

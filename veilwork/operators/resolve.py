@@ -185,22 +185,25 @@ def ambiguous_ties(components: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Such a document has no defined result; callers keep it out of every output.
     """
+    def pair(x: Column, y: Column) -> Column:
+        return F.when(
+            (x["k"] == y["k"]) & overlaps(x, y),
+            F.struct(
+                y["start"].alias("overlap_start"),
+                (F.least(end_of(x), end_of(y)) - y["start"]).alias("overlap_len"),
+                F.least(x["text"], y["text"]).alias("low"),
+                F.greatest(x["text"], y["text"]).alias("high"),
+            ),
+        )
+
     def pairs(items: Column) -> Column:
-        # equal keys are neighbours in the sorted list, so each item only looks at its own run
-        return F.flatten(
-            F.transform(
-                items,
-                lambda x, i: F.transform(
-                    F.filter(F.slice(items, i + 2, F.size(items)), lambda y: (y["k"] == x["k"]) & overlaps(x, y)),
-                    lambda y: F.struct(
-                        F.greatest(x["start"], y["start"]).alias("overlap_start"),
-                        (F.least(end_of(x), end_of(y)) - F.greatest(x["start"], y["start"])).alias("overlap_len"),
-                        F.least(finding_key_text(x["f"]), finding_key_text(y["f"])).alias("low"),
-                        F.greatest(finding_key_text(x["f"]), finding_key_text(y["f"])).alias("high"),
-                    ),
-                ),
-            )
+        # Equal keys have equal lengths and stand in start order, so the first overlap of a run is one of neighbours;
+        # on one span they stand in text order, which gives the least pair.
+        named = F.array_sort(
+            F.transform(items, lambda x: F.struct(x["k"], x["start"], x["len"], finding_key_text(x["f"]).alias("text")))
         )
+        return let(named, lambda xs: F.filter(
+            F.transform(xs, lambda x, i: F.when(i > 0, pair(F.get(xs, i - 1), x))), lambda p: p.isNotNull()))
 
     tied = components.where(F.size("items") > 1).select(key, "domain", F.inline_outer(pairs(F.col("items"))))
     first = F.min(F.struct("overlap_start", "overlap_len", "low", "high", "domain"))
@@ -238,14 +241,12 @@ def suppression_audit(components: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def _tied(items: Column) -> Column:
-    """Whether two overlapping items of a component agree on every key."""
-    return F.exists(
-        F.transform(
-            items,
-            lambda x, i: F.exists(F.slice(items, i + 2, F.size(items)), lambda y: (y["k"] == x["k"]) & overlaps(x, y)),
-        ),
-        lambda t: t,
-    )
+    """Whether two overlapping items of a component agree on every key; if any do, neighbours in the sorted list do."""
+    def with_previous(x: Column, i: Column) -> Column:
+        before = F.get(items, i - 1)
+        return F.coalesce((i > 0) & (before["k"] == x["k"]) & overlaps(before, x), F.lit(False))
+
+    return F.exists(F.transform(items, with_previous), lambda t: t)
 
 
 def resolve_candidates(findings: DataFrame, key: str = "doc_id") -> DataFrame:

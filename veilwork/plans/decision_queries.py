@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..functions.spans import FINDING
+from ..functions.spans import FINDING, run_stages
 from ..operators import decide as J
-from ..operators import joins, reports
+from ..operators import joins, reports, us_rules
 from ..operators import resolve as R
 from ..operators.base_rules import explode_findings, scan_arrays, scan_rule
 from ..sources import sinks
@@ -107,12 +107,57 @@ def resolve_overlaps(spark, sf):
     return R.resolve_overlaps(made_findings(spark, sf, False)).select("doc_id", "start", "len", "detector_id", "canonical")
 
 
-@query("resolve_candidates")
+# The same walk under the domain rules: components by island, one order for each domain, and the ties.
+_ct = "[" + ", ".join(f"'{d}'" for d in _CONTRACT) + "]"
+_domain_rows = ", ".join(
+    f"('{d}', {dims.TYPE_ORD[dims.DETECTOR_TYPE[d]]}, {dims.RANK[d]}, {d in _LEGACY})" for d in _LEGACY + _CONTRACT)
+_keys = "k1, k2, k3, k4, k5, k6"
+
+
+def _domain_sql(final: str) -> str:
+    order = "partition by doc_id order by start, len, ln"
+    return f"""
+  with recursive t(detector_id, type_ord, rank, legacy) as (values {_domain_rows}),
+  m as (select l_orderkey as doc_id, l_linenumber as ln, {O.ints(start='l_partkey % 200', len='l_quantity', risk='l_partkey % 3 + 1',
+        conf='l_suppkey % 3 + 1', evidence='l_suppkey % 6 + 1')}, cast(l_partkey as varchar) as canonical,
+      case when l_orderkey % 3 = 0 or (l_orderkey % 3 = 2 and l_linenumber % 2 = 1) then ({_lg})[l_linenumber] else ({_ct})[l_linenumber] end as detector_id
+    from lineitem),
+  i as (select *, case when start >= max(start + len) over ({order} rows between unbounded preceding and 1 preceding) then 1
+      when row_number() over ({order}) = 1 then 1 else 0 end as fresh from m join t using (detector_id)),
+  j as (select *, sum(fresh) over ({order}) as island from i),
+  d as (select *, case when bool_or(legacy) over w and bool_or(not legacy) over w then 'mixed' when bool_or(legacy) over w then 'legacy' else 'contract' end as domain
+    from j window w as (partition by doc_id, island)),
+  k as (select *, -risk as k1, case domain when 'legacy' then -conf when 'contract' then -evidence else -len end as k2,
+      case domain when 'mixed' then rank else -len end as k3, case domain when 'legacy' then start when 'contract' then rank else 0 end as k4,
+      case domain when 'legacy' then type_ord else 0 end as k5, case domain when 'legacy' then canonical else '' end as k6 from d),
+  c as (select *, row_number() over (partition by doc_id order by island, {_keys}, start, len, type_ord) as r from k),
+  walk as (
+    select doc_id, 0::bigint as r, []::struct(s integer, e integer, r bigint)[] as acc from (select distinct doc_id from c)
+    union all
+    select w.doc_id, c.r, case when len(list_filter(w.acc, lambda a: a.s < c.start + c.len and c.start < a.e)) > 0 then w.acc
+      else list_append(w.acc, {{'s': c.start, 'e': c.start + c.len, 'r': c.r}}) end
+    from walk w join c on c.doc_id = w.doc_id and c.r = w.r + 1),
+  fin as (select doc_id, arg_max(acc, r) as acc from walk group by doc_id),
+  won as (select c.* from (select doc_id, unnest(acc).r as r from fin) join c using (doc_id, r)),
+  tied as (select a.doc_id from c a join c b on a.doc_id = b.doc_id and a.island = b.island and a.r < b.r and ({', '.join('a.' + k for k in _keys.split(', '))})
+      = ({', '.join('b.' + k for k in _keys.split(', '))}) and a.start < b.start + b.len and b.start < a.start + a.len)
+  {final}"""
+
+
+@query("resolve_candidates", _domain_sql(
+    "select doc_id, start, len, detector_id, canonical from won where doc_id not in (select doc_id from tied)"))
 def resolve_candidates(spark, sf):
     return R.resolve_candidates(made_findings(spark, sf, True)).select("doc_id", "start", "len", "detector_id", "canonical")
 
 
-@query("suppression_audit")
+@query("suppression_audit", _domain_sql("""
+  select l.doc_id, l.domain, l.start, l.detector_id as loser, w.detector_id as winner,
+    case when l.risk <> w.risk then 'LowerLevel' when l.domain = 'contract' and l.evidence <> w.evidence then 'WeakerEvidence'
+      when l.domain = 'legacy' and l.conf <> w.conf then 'LowerConfidence' when l.len <> w.len then 'ShorterOverlappingSpan'
+      when l.domain <> 'legacy' and l.rank <> w.rank then 'HigherNumericRank' else 'LegacyCompatibilityOrder' end as reason
+  from (select * from c anti join won using (doc_id, r)) l
+  join won w on w.doc_id = l.doc_id and w.start < l.start + l.len and l.start < w.start + w.len
+  qualify row_number() over (partition by l.doc_id, l.r order by w.r) = 1"""))
 def suppression_audit(spark, sf):
     audit = R.suppression_audit(R.resolved_components(made_findings(spark, sf, True)))
     return audit.select("doc_id", "domain", F.col("loser.start").alias("start"), F.col("loser.detector_id").alias("loser"),
@@ -152,8 +197,14 @@ def dedupe_findings(spark, sf):
 
 @query("first_per_span", "select l_orderkey as doc_id, cast(l_partkey % 10 as integer) as start, cast(min(l_linenumber) as integer) as pass from lineitem group by 1, 2")
 def first_per_span(spark, sf):
-    df = sql_over(spark, sf, "lineitem", "l_orderkey as doc_id", "cast(l_partkey % 10 as int) as start", "l_linenumber as pass")
-    return df.groupBy("doc_id", "start").agg(F.min("pass").alias("pass"))
+    """The lines of an order as two arrays of spans; the first three lines are preferred."""
+    item = "struct<start:int,len:int,pass:int>"
+    lines = sql_over(spark, sf, "lineitem", "l_orderkey as doc_id", "l_linenumber <= 3 as first",
+                     "struct(cast(l_partkey % 10 as int) as start, 1 as len, cast(l_linenumber as int) as pass) as x")
+    arrays = lines.groupBy("doc_id").agg(
+        F.collect_list(F.when(F.col("first"), F.col("x"))).alias("a"), F.collect_list(F.when(~F.col("first"), F.col("x"))).alias("b"))
+    out = run_stages(arrays, [us_rules.first_per_span("o", F.col("a"), F.col("b"), item)], ["doc_id"], ["o"])
+    return out.select("doc_id", F.inline("o")).drop("len")
 
 
 @query("finding_sort_key", f"""select doc_id, detector_id || '|' || t.pii_type || '|' || start || '|' || len || '|' || risk || '|' || evidence || '|' || conf || '|' || rank || '|' ||
@@ -410,8 +461,8 @@ def diff_pipelines(spark, sf):
 @query("pii_inventory", f"""select source, lang, pii_type, count(*) as n, count(*) filter (where quality = 1) as n_good, count(*) filter (where toxic = 1) as n_toxic
    from {_adjusted_sql} join documents using (doc_id) left join labels using (doc_id) group by source, lang, pii_type""")
 def pii_inventory(spark, sf):
-    docs = documents(spark, sf)
-    return reports.pii_inventory(flagship.scan_findings(docs), docs, table(spark, sf, "labels"))
+    rows = explode_findings(J.scan_resolved(documents(spark, sf)), "findings", "doc_id", "source", "lang")
+    return reports.pii_inventory(rows, table(spark, sf, "labels"))
 
 
 def _with_values(spark, sf):

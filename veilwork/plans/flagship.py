@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import FINDINGS, empty, fence, remembered, run_stages
-from ..operators import resolve as R
 from ..operators.base_rules import explode_findings, scan_arrays
-from ..operators.decide import Policy, assign_aliases_over, decide_rows, redact_rows, scan_resolved
+from ..operators.decide import (
+    Policy,
+    assign_aliases_over,
+    decide_rows,
+    finding_rows,
+    redact_rows,
+    scan_marked,
+    scan_resolved,
+    scan_resolved_us,
+)
 from ..operators.us_rules import RefLists, scan_us_arrays
 from .shape import materialize
 
@@ -27,34 +34,26 @@ def us_candidate_rows(docs: DataFrame, lists: RefLists | None = None, detectors=
     )
 
 
-def scan_resolved_us(docs: DataFrame, lists: RefLists | None = None, detectors=None, text: str = "text") -> DataFrame:
-    """Add ``findings`` and ``ambiguous`` with the US pack on, all inside the row.
-
-    A document with an unresolvable tie has no findings and is marked, so that callers hold its text back.
-    """
-    keep = docs.columns
-    df = scan_us_arrays(scan_arrays(docs, None, text), detectors, lists, text)
-    df = df.select(*keep, F.concat("candidates", "us_findings").alias("_both"))
-    resolved = remembered(lambda: R.resolve_candidates_in_row("_w", F.col("_both")), "us_resolved")
-    df = run_stages(df, [resolved], keep, ["_w"])
-    df = df.select(*keep, F.col("_w").isNull().alias("ambiguous"), F.coalesce("_w", empty(FINDINGS)).alias("_w"))
-    context = remembered(lambda: R.adjust_context("findings", text, "_w"), "us_context", text)
-    df = run_stages(df, [context], [*keep, "ambiguous"], ["findings"])
-    return fence(df, keep, ["ambiguous", "findings"])
-
-
 def scan_findings_us(docs: DataFrame, lists: RefLists | None = None, detectors=None, key: str = "doc_id",
                      text: str = "text") -> DataFrame:
-    """Finding rows with the US pack on."""
+    """Finding rows with the US pack on.  Documents held back for a tie are in ``held_back_us``."""
     return explode_findings(scan_resolved_us(docs, lists, detectors, text), "findings", key)
 
 
-def decided_conversations(turns: DataFrame, policy: Policy | None = None, rules=None) -> DataFrame:
+def held_back_us(docs: DataFrame, lists: RefLists | None = None, detectors=None, key: str = "doc_id",
+                 text: str = "text") -> DataFrame:
+    """Keys of documents whose findings cannot be told apart; they give no finding rows and are not clean."""
+    return scan_resolved_us(docs, lists, detectors, text).where("ambiguous").select(key)
+
+
+def decided_conversations(turns: DataFrame, policy: Policy | None = None, rules=None,
+                          us: RefLists | None = None) -> DataFrame:
     """Numbered finding rows of conversations: a value keeps its number across all turns of its conversation."""
-    rows = explode_findings(scan_resolved(turns, rules), "findings", "conv_id", "turn")
-    # numbering reads the rows three times; the texts must be scanned once
-    return assign_aliases_over(materialize(decide_rows(rows, policy or Policy())), "conv_id", "turn")
+    rows = finding_rows(scan_marked(turns, rules, us), "conv_id", "turn")
+    # numbering reads the rows three times; the texts must be scanned once, and raw surfaces are not written
+    return assign_aliases_over(materialize(decide_rows(rows, policy or Policy()).drop("surface")), "conv_id", "turn")
 
 
-def redact_conversations(turns: DataFrame, policy: Policy | None = None, rules=None) -> DataFrame:
-    return redact_rows(turns, decided_conversations(turns, policy, rules), ["conv_id", "turn"])
+def redact_conversations(turns: DataFrame, policy: Policy | None = None, rules=None,
+                         us: RefLists | None = None) -> DataFrame:
+    return redact_rows(turns, decided_conversations(turns, policy, rules, us), ["conv_id", "turn"])

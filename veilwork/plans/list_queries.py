@@ -11,6 +11,7 @@ from ..operators.base_rules import gps_labelled_sides, nearest_pairs
 from ..sources import sinks
 from ..sources import tables as S
 from ..streaming import jobs
+from ..operators.us_rules import RefLists
 from . import flagship
 from . import oracle as O
 from .decision_queries import SQL as DECISION_SQL
@@ -341,4 +342,17 @@ _us_docs = _us_phone[_us_phone.rindex(" union all ") + 11:]
 @query("scan_findings_us", f"""select doc_id, start, len, canonical, risk, pii_type from {_adjusted_sql}
    union all select doc_id, start, len, canonical, risk, 'Phone' as pii_type from ({_us_docs})""")
 def scan_findings_us(spark, sf):
-    return flagship.scan_findings_us(documents(spark, sf)).select("doc_id", "start", "len", "canonical", "risk", "pii_type")
+    rows = flagship.scan_findings_us(documents(spark, sf), RefLists.stand_in())
+    return rows.select("doc_id", "start", "len", "canonical", "risk", "pii_type")
+
+
+_both_packs = f"""(select doc_id, start, len, canonical, risk, pii_type from {_adjusted_sql}
+   union all select doc_id, start, len, canonical, risk, 'Phone' as pii_type from ({_us_docs}))"""
+
+
+@query("redact_corpus_us", DECISION_SQL["redact_corpus"].replace(_adjusted_sql, _both_packs))
+def redact_corpus_us(spark, sf):
+    from ..operators.decide import redact_corpus
+
+    out = redact_corpus(documents(spark, sf), us=RefLists.stand_in())
+    return out.select("doc_id", F.md5("redacted").alias("redacted_md5"), "n_candidates", "n_protect", "n_pending", "status")

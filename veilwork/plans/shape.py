@@ -22,9 +22,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """Compute once what several branches of a plan read; survives the loss of executors.
 
-    Uses the shared checkpoint folder of the cluster; a session without one (a local run) gets its own.
+    Uses the shared checkpoint folder of the cluster.  Without one only a local session, whose executors are the
+    driver itself, gets a folder of its own; a cluster session is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilwork-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veilwork-"))
     return df.checkpoint()

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.text import text_sha256
 from ..operators import reports
 from ..operators.decide import Policy, redact_corpus
+from ..operators.us_rules import RefLists
 from ..sources import sinks
 
 SCAN_TIMEOUT_MS = 30_000
@@ -93,8 +94,9 @@ def status_stream(events: DataFrame, order: str = "seq", timeout_ms: int = SCAN_
                 elif terminal in reports.FAILED:
                     failure = reports.FAILED[terminal]
                     move(int(seq), failure)
-                else:
+                elif terminal in reports.UNSCANNED:
                     move(int(seq), failure or "Ready")
+                # any other name leaves the state alone
         state.update((attempt, status, failure))
         if status == "Scanning":
             state.setTimeoutDuration(timeout_ms)
@@ -106,16 +108,16 @@ def status_stream(events: DataFrame, order: str = "seq", timeout_ms: int = SCAN_
 
 
 def scan_batch(changes: DataFrame, policy: Policy | None = None, own_writes: DataFrame | None = None,
-               key: str = "doc_id", order: str = "seq") -> DataFrame:
+               key: str = "doc_id", order: str = "seq", us: RefLists | None = None) -> DataFrame:
     """One micro-batch: newest change per key, without our own rewrites, through the whole chain."""
     newest = reports.latest_wins(changes, key, order)
     if own_writes is not None:
         newest = reports.self_write_filter(newest, own_writes, key)
-    return redact_corpus(newest, policy, key=key)
+    return redact_corpus(newest, policy, key=key, us=us)
 
 
 def stream_scan(changes: DataFrame, out: str, checkpoint: str, policy: Policy | None = None, key: str = "doc_id",
-                order: str = "seq", once: bool = False):
+                order: str = "seq", once: bool = False, us: RefLists | None = None):
     """Start the scan of a stream of changes; the sink holds each (key, order) once, also after a replay."""
 
     def write(batch: DataFrame, _: int) -> None:
@@ -126,8 +128,8 @@ def stream_scan(changes: DataFrame, out: str, checkpoint: str, policy: Policy |
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        done = scan_batch(batch, policy, own, key, order)
-        rows = done.where("n_protect > 0 and n_pending = 0").select(
+        done = scan_batch(batch, policy, own, key, order, us)
+        rows = done.where("status in ('protected', 'partly_kept')").select(
             key, order, F.col("redacted").alias("text"), text_sha256(F.col("redacted")).alias("text_sha256"), "n_protect"
         )
         sinks.write_once(rows, out, [key, order])
