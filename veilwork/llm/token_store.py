@@ -122,6 +122,20 @@ class PieceIds:
             yield from np.split(out, np.cumsum(n)[row_end + np.arange(len(row_end))][:-1])
 
 
+_WORKER: dict[tuple[str, int], PieceIds] = {}
+
+
+def worker_pieces(model: str, end_id: int) -> PieceIds:
+    """The pieces of this Python worker: Spark gives a worker one task after another, so neither the tokenizer nor the
+    pieces met so far (at most ``CACHE``) are made anew for each task."""
+    if (model, end_id) not in _WORKER:
+        from tokenizers import Tokenizer
+
+        _WORKER.clear()
+        _WORKER[model, end_id] = PieceIds(Tokenizer.from_str(model), end_id)
+    return _WORKER[model, end_id]
+
+
 def width(rules: StoreRules) -> str:
     """Ids between tokenizing and coding take two bytes if the vocabulary allows it."""
     from tokenizers import Tokenizer
@@ -139,9 +153,7 @@ def tokenize(docs: DataFrame, rules: StoreRules, key: str, text: str) -> DataFra
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        pieces = PieceIds(Tokenizer.from_str(model.value), rules.end_id)
+        pieces = worker_pieces(model.value, rules.end_id)
         for (column,) in batches:
             yield [pa.array([x.astype(kind).tobytes() for x in pieces.rows(column)], pa.binary())]
 
