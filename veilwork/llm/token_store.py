@@ -29,7 +29,7 @@ BITS = 20  # the frequencies of a table sum to 2**BITS
 LOW = np.uint64(1 << 31)
 _32, _BITS = np.uint64(32), np.uint64(BITS)
 RUN_BYTES = 1 << 22
-CACHE = 600_000  # pieces a task remembers before it starts anew
+CACHE = 600_000  # pieces a worker remembers before it forgets the rarer half
 
 
 @dataclass(frozen=True)
@@ -47,12 +47,17 @@ _SOLID = np.zeros(256, bool)  # bytes that start a visible character: ASCII, or
 _SOLID[0x21:0x7F] = _SOLID[0xC3:0xE0] = True
 _TAIL = np.zeros(256, bool)
 _TAIL[0x80:0xC0] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_MARK = _SOLID & ~_LETTER  # ASCII marks but the apostrophe, which may belong to a contraction
+_MARK[0x30:0x3A] = _MARK[0x27] = _MARK[0x80:] = False
 
 
 def piece_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Places where a text may be cut without changing its byte-level ids: before a single blank between two visible
-    characters, because no pre-token goes on across such a blank."""
-    p = np.flatnonzero(raw == 0x20)
+    """Places where a text may be cut without changing its byte-level ids, because no pre-token goes on across them:
+    before a single blank, on both sides of a single line end (each between two visible characters), and between an ASCII
+    letter and a mark."""
+    p = np.flatnonzero((raw == 0x20) | (raw == 0x0A))
     p = p[(p > 1) & (p < len(raw) - 1)]
     before, lead = raw[p - 1], raw[p - 2]
     ok = _SOLID[raw[p + 1]] & ((_SOLID[before] & (before < 0x80)) | (_TAIL[before] & _SOLID[lead] & (lead >= 0x80)))
@@ -61,47 +66,92 @@ def piece_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     p = p[(p - at[row] >= 2) & (at[row + 1] - p >= 2)]  # both neighbours are in the same row
     first = np.zeros(len(raw), bool)
     first[p] = True
+    first[p[raw[p] == 0x0A] + 1] = True
+    first[1:] |= _LETTER[raw[:-1]] & _MARK[raw[1:]]  # where a row begins in between, it is a start as well
     first[at[:-1][at[1:] > at[:-1]]] = True
     return np.flatnonzero(first)
 
 
 class PieceIds:
     """Ids of pieces met so far.  New ones go through the tokenizer many at a time: a piece that is one blank and visible
-    characters can be joined with others of its kind, and its ids begin where a token with a blank in front stands."""
+    characters can be joined with others of its kind, and its ids begin where a token with a blank in front stands; a piece
+    of visible characters alone is joined with its kind by line ends, whose ids are left out."""
 
     def __init__(self, tokenizer, end_id: int):
         self.tokenizer, self.end_id = tokenizer, end_id
         self.blank = np.zeros(tokenizer.get_vocab_size(), bool)
         self.blank[[i for t, i in tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True  # how this format writes a blank
+        self.line_end, = tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.sizes, self.flat = np.ones(1, np.int64), np.array([self.end_id], np.uint32)  # number 0: the end id
+        self.met = np.zeros(1, np.int32)
 
     def _encode(self, many: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(many, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        plain = [p[0] == " " and p[1:].split() == [p[1:]] for p in new]
-        simple, other = [p for p, x in zip(new, plain) if x], [p for p, x in zip(new, plain) if not x]
+    def _joined(self, pieces: list[str], mark: str) -> list[tuple[list[str], np.ndarray]]:
+        """Groups of 512 pieces, each with the ids of their text with ``mark`` in between."""
+        groups = [pieces[k:k + 512] for k in range(0, len(pieces), 512)]
+        return [x for k in range(0, len(groups), 8) for x in zip(groups[k:k + 8], self._encode([mark.join(g) for g in groups[k:k + 8]]))]
+
+    def learn(self, new: list[str]) -> None:
+        """Add the ids of pieces that are not known yet."""
+        kinds: tuple[list[str], ...] = ([], [], [])
+        for p in new:
+            visible = p[1:] if p[0] == " " else p
+            kinds[2 if visible.split() != [visible] else visible is p].append(p)
+        led, bare, other = kinds
         sizes, flat = [self.sizes], [self.flat]
-        for k in range(0, len(simple), 4096):
-            part = simple[k:k + 4096]
-            for i, ids in zip(range(0, len(part), 512), self._encode(["".join(part[i:i + 512]) for i in range(0, len(part), 512)])):
-                first = np.flatnonzero(self.blank[ids])
-                if len(first) != len(part[i:i + 512]):
-                    raise ValueError("a blank inside a token")
-                sizes.append(np.diff(np.append(first, len(ids))))
-                flat.append(ids)
+        for group, ids in self._joined(led, ""):
+            first = np.flatnonzero(self.blank[ids])
+            if len(first) != len(group):
+                raise ValueError("a blank inside a token")
+            sizes.append(np.diff(np.append(first, len(ids))))
+            flat.append(ids)
+        for group, ids in self._joined(bare, "\n"):
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            if len(ends) != len(group):
+                raise ValueError("a line end inside a token")
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            flat.append(ids[ids != self.line_end])
         for k in range(0, len(other), 1024):
             found = self._encode(other[k:k + 1024])
             sizes.append(np.array([len(x) for x in found], np.int64))
             flat += found
-        for p in simple + other:
-            self.known[p] = len(self.known) + 1
+        self.known.update(zip(led + bare + other, range(len(self.known) + 1, len(self.known) + len(new) + 1)))
         self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
+        self.met = np.append(self.met, np.zeros(len(new), np.int32))
+
+    def forget(self) -> None:
+        """Keep the half of the cache that was met in the most runs."""
+        keep = np.sort(np.argsort(-self.met[1:], kind="stable")[:CACHE // 2]) + 1
+        at, names = np.append(0, keep), list(self.known)
+        ends, n = np.cumsum(self.sizes)[at], self.sizes[at]
+        self.flat = self.flat[np.repeat(ends - np.cumsum(n), n) + np.arange(n.sum())]
+        self.sizes, self.met = n, self.met[at]
+        self.known = {names[k - 1]: i for i, k in enumerate(keep.tolist(), 1)}
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """The number of each of these different pieces."""
+        look = self.known.get
+        out = np.array([look(p, -1) for p in pieces], np.int64)
+        new = np.flatnonzero(out < 0)
+        if len(self.known) + len(new) > CACHE:
+            self.forget()
+            return self.numbers(pieces) if len(self.known) + len(pieces) <= CACHE else self.afresh(pieces)
+        self.learn([pieces[k] for k in new])
+        out[new] = [look(pieces[k]) for k in new]
+        self.met[out] += 1
+        return out
+
+    def afresh(self, pieces: list[str]) -> np.ndarray:
+        """A run that alone has more pieces than fit beside the kept half."""
+        self.clear()
+        self.learn(pieces)
+        return np.array([self.known[p] for p in pieces], np.int64)
 
     def rows(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each row with the end id."""
@@ -110,13 +160,9 @@ class PieceIds:
             offsets = np.append(starts, len(raw)).astype(np.int64)
             coded = pa.Array.from_buffers(pa.large_string(), len(starts), [
                 None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
-            pieces = coded.dictionary.to_pylist()
-            if len(self.known) + len(pieces) > CACHE:
-                self.clear()
-            self.learn(pieces)
-            number = np.array([self.known[p] for p in pieces], np.int64)
+            number = self.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
             row_end = np.searchsorted(starts, at[1:])
-            which = np.insert(number[coded.indices.to_numpy()] if len(pieces) else number, row_end, 0)
+            which = np.insert(number[coded.indices.to_numpy()] if len(number) else number, row_end, 0)
             first, n = np.cumsum(self.sizes) - self.sizes, self.sizes[which]
             out = self.flat[np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             yield from np.split(out, np.cumsum(n)[row_end + np.arange(len(row_end))][:-1])
