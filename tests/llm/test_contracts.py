@@ -377,7 +377,7 @@ def test_pieces_have_the_ids_of_their_texts(monkeypatch, cache):
     tokenizer, rng = Tokenizer.from_file(token_store.StoreRules().tokenizer), random.Random(5)
     known = token_store.PieceIds(tokenizer, 0)
     letters = "abAB'sé.,!;(1_\n\n  \t\r\x1c\x85\u0301\u3000가漢"
-    texts = AWKWARD + ["\n", "a\n", "\na", "a'll\nb's", prose(3, 400)] + ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts = AWKWARD + ["x<|endoftext|>y <|endoftext|>, a|b <|endoftext", "|> c|<|endoftext|>", "\n", "a\n", "\na", "a'll\nb's", prose(3, 400)] + ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)]
     got = [x for k in range(0, len(texts), 100) for x in known.rows(pa.array(texts[k:k + 100], pa.string()))]
     want = tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)
     assert [x.tolist() for x in got] == [[*x.ids, 0] for x in want]

@@ -53,10 +53,10 @@ _MARK = _SOLID & ~_LETTER  # ASCII marks but the apostrophe, which may belong to
 _MARK[0x30:0x3A] = _MARK[0x27] = _MARK[0x80:] = False
 
 
-def piece_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+def piece_starts(raw: np.ndarray, at: np.ndarray, added: list[bytes]) -> np.ndarray:
     """Places where a text may be cut without changing its byte-level ids, because no pre-token goes on across them:
     before a single blank, on both sides of a single line end (each between two visible characters), and between an ASCII
-    letter and a mark."""
+    letter and a mark.  A token ``added`` to the vocabulary is never cut."""
     p = np.flatnonzero((raw == 0x20) | (raw == 0x0A))
     p = p[(p > 1) & (p < len(raw) - 1)]
     before, lead = raw[p - 1], raw[p - 2]
@@ -68,6 +68,12 @@ def piece_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     first[p] = True
     first[p[raw[p] == 0x0A] + 1] = True
     first[1:] |= _LETTER[raw[:-1]] & _MARK[raw[1:]]  # where a row begins in between, it is a start as well
+    joined = raw.tobytes()
+    for token in added:
+        k = joined.find(token)
+        while k >= 0:
+            first[k + 1:k + len(token)] = False
+            k = joined.find(token, k + 1)
     first[at[:-1][at[1:] > at[:-1]]] = True
     return np.flatnonzero(first)
 
@@ -81,6 +87,7 @@ class PieceIds:
         self.tokenizer, self.end_id = tokenizer, end_id
         self.blank = np.zeros(tokenizer.get_vocab_size(), bool)
         self.blank[[i for t, i in tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True  # how this format writes a blank
+        self.added = [x.content.encode() for x in tokenizer.get_added_tokens_decoder().values()]
         self.line_end, = tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear()
 
@@ -156,7 +163,7 @@ class PieceIds:
     def rows(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each row with the end id."""
         for _, raw, at in byte_runs(column, RUN_BYTES):
-            starts = piece_starts(raw, at)
+            starts = piece_starts(raw, at, self.added)
             offsets = np.append(starts, len(raw)).astype(np.int64)
             coded = pa.Array.from_buffers(pa.large_string(), len(starts), [
                 None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
