@@ -64,3 +64,20 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == corpus_pipeline.COLUMNS
+
+
+def test_near_copies_of_four_fifths_go(spark):
+    words = [f"w{i}" for i in range(204)]
+    near = words[:20] + ["x"] + words[21:60] + ["y"] + words[61:100] + ["z"] + words[101:140] + ["v"] + words[141:]  # 180 of 220 shingles
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate([words, near])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [0]
+
+
+def test_near_dedup_stage_against_sql_at_80(spark, con):
+    """test_pipeline above holds the stage to op10's own 85, which keeps documents 145 and 177 (0.833 and 0.830 to others)."""
+    sql = queries.SQL["op10_near_dedup"].replace(">= 85 *", ">= 80 *")
+    want = {d for d, kept in con.execute(f"select doc_id, kept from ({sql})").fetchall() if kept}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == want
+    assert not {145, 177} & want
