@@ -327,6 +327,17 @@ def test_lexer_propagates_constants():
     assert secrets.redact("ab token=abcdefghijklmnop", secrets.scan("ab token=abcdefghijklmnop", secrets.SecretRules())[1], "[x]") == "ab [x]"
 
 
+def literals(text):
+    return [text[a:b] for a, k, b in secrets.scan(text, secrets.SecretRules())[1] if k == 3]
+
+
+@pytest.mark.parametrize("name", ["api_access", "apiSigning", "encryption_signing", "session_access"])
+def test_hint_lets_every_sensitive_name_pass(name):
+    value = "Xy7Qw8Zr-9pLm3Nk2_vB5"
+    assert secrets.name_weight(name) >= 0.5 and literals(f'{name} = "{value}"') == [value]
+    assert all(secrets._HINT.search(x) for x in secrets.SENSITIVE)
+
+
 def test_lexer_is_linear_on_long_runs():
     import time
 
