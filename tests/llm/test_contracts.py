@@ -338,6 +338,18 @@ def test_hint_lets_every_sensitive_name_pass(name):
     assert all(secrets._HINT.search(x) for x in secrets.SENSITIVE)
 
 
+@pytest.mark.parametrize("name", ["password_of_the_db_user", "token_for_ci_deploy_bot", "secretForProdDbUser"])
+def test_every_part_of_a_name_counts(name):
+    assert literals(f'{name} = "Xy7Qw8Zr-9pLm3Nk2_vB5"') == ["Xy7Qw8Zr-9pLm3Nk2_vB5"]
+
+
+@pytest.mark.parametrize("n", [9, 5000])
+def test_constants_are_followed_to_the_end(n):
+    chain = "\n".join(f"constant_{k + 1} = constant_{k}" for k in range(n))
+    assert literals(f'constant_0 = "Xy7Qw8Zr9pLm3Nk2"\n{chain}\npassword = constant_{n}') == ["Xy7Qw8Zr9pLm3Nk2"]
+    assert literals("circle_9X = circle_8Y\ncircle_8Y = circle_9X\npassword = circle_8Y + circle_9X + 'Xy7Qw8Zr9pLm'")[-1] == "Xy7Qw8Zr9pLm"
+
+
 def test_lexer_is_linear_on_long_runs():
     import time
 
