@@ -448,6 +448,15 @@ def test_quality_divergence(frame):
     assert all(rows[k]["kept"] for k in range(60)) and not rows[60]["kept"] and not rows[60]["base_failed"]
 
 
+def test_small_languages_are_judged_too(spark):
+    words = lambda w, k: " ".join(w + x for x in prose(k, 200).split())
+    rows = [(k, "xx", prose(k, 200)) for k in range(20)] + [(20, "xx", words("#$%&#$%&#$%&", 20))]
+    rows += [(100 + k, "en", prose(k, 20_000)) for k in range(50)]  # xx has under 1/200 of all words
+    rows = rows_of(quality.score(spark.createDataFrame(rows, "doc_id long, lang string, text string")))
+    assert all(rows[k]["kept"] and rows[k]["class_distance"] is not None for k in range(20))
+    assert not rows[20]["kept"] and not rows[20]["base_failed"]
+
+
 # --- sanitisation ---------------------------------------------------------------------------------------------------
 
 PRIVATE = [

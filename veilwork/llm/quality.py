@@ -2,7 +2,8 @@
 
 The references are the corpus itself, by language: a histogram of character classes and one of common words, counted
 over every document.  A document is rejected when the Jensen-Shannon distance of its histogram to that of its language
-is beyond a threshold; short documents and languages of too small a share are not judged (guards).
+is beyond a threshold; short documents are not judged (guards).  Every language has a reference, however small its
+share; references stay a table that is joined by language.
 
 Defined results: a null text has no words (``n_words`` 0, so ``base_failed``); a null language is a language of its
 own; repeated rows are judged each on its own; an empty table gives an empty result; other columns pass through.
@@ -10,16 +11,17 @@ own; repeated rows are judged each on its own; an empty table gives an empty res
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, bounded_batches, byte_runs, fresh, texts
+from .common import add_columns, bounded_batches, byte_runs, fresh, stored, texts
 
 #: Character classes by byte; a lead byte of UTF-8 stands for its character, continuation bytes do not count.
 CLASS_BYTES = [
@@ -35,11 +37,12 @@ for _i, (_chars, _) in enumerate(CLASS_BYTES):
     _CLASS[list(_chars)] = _i
 _CLASS[0x80:0xC0] = N_CLASSES  # continuation bytes
 FLUSH_WORDS = 200_000  # different words a task holds for all languages together
+HELD_LANGUAGES = 64  # references a task holds
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Thresholds.  The shares bound the references: at most 1/share languages with 1/share words each."""
+    """Thresholds.  ``word_share`` bounds a reference to 1/share words."""
 
     min_words: int = 10
     max_repeat_percent: int = 20
@@ -49,7 +52,6 @@ class QualityRules:
     max_class_distance: float = 0.33
     max_word_distance: float = 0.5
     word_share: float = 1 / 500
-    language_share: float = 1 / 200
 
 
 def _classes(raw: np.ndarray) -> np.ndarray:
@@ -57,13 +59,15 @@ def _classes(raw: np.ndarray) -> np.ndarray:
     return np.bincount(_CLASS, np.bincount(raw, minlength=256), N_CLASSES + 1)[:N_CLASSES]
 
 
-def references(docs: DataFrame, rules: QualityRules, lang: str, text: str) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """By language: class shares, common words with their places, and their shares (the last is all other words).
+def _language(lang: str) -> Column:
+    return F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(""))
 
-    Two jobs count over all documents; only languages and words above their shares reach the driver, which bounds it.
-    """
+
+def references(docs: DataFrame, rules: QualityRules, lang: str, text: str) -> DataFrame:
+    """``(lang, classes, n_words, common)`` of each language with a word: character counts by class, and the common words
+    with their counts.  Nothing of it is collected."""
     bounded_batches(docs.sparkSession)
-    pairs = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text}`").alias("text"))
+    pairs = docs.select(_language(lang).alias("lang"), F.col(f"`{text}`").alias("text"))
 
     def class_counts(batches):
         for b in batches:
@@ -80,44 +84,49 @@ def references(docs: DataFrame, rules: QualityRules, lang: str, text: str) -> di
 
     counts = pairs.mapInArrow(class_counts, "lang string, n array<long>")
     by_lang = counts.groupBy("lang").agg(*(F.sum(F.col("n")[i]).alias(f"c{i}") for i in range(N_CLASSES + 1)))
-    words_at = f"c{N_CLASSES}"
-    total = by_lang.agg(F.sum(words_at)).first()[0] or 0
-    rows = by_lang.filter(F.col(words_at) >= max(1.0, rules.language_share * total)).collect()
-    if not rows:
-        return {}
-    n_words = {r["lang"]: r[words_at] for r in rows}
+    by_lang = stored(by_lang.filter(F.col(f"c{N_CLASSES}") >= 1).select(
+        "lang", F.array(*(f"c{i}" for i in range(N_CLASSES))).alias("classes"), F.col(f"c{N_CLASSES}").alias("n_words")), "languages")
 
     def word_counts(batches):
-        seen: dict[str, Counter] = {k: Counter() for k in n_words}
+        seen: dict[str, Counter] = {}
 
         def out():
             for k, c in seen.items():
-                if c:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k] * len(c), pa.string()), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())],
-                        names=["lang", "word", "n"])
-                    c.clear()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k] * len(c), pa.string()), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())],
+                    names=["lang", "word", "n"])
+            seen.clear()
 
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), texts(b.column(1))):
-                if k in seen:
-                    seen[k].update(x.encode().lower().split())
+                seen.setdefault(k, Counter()).update(x.encode().lower().split())
             if sum(map(len, seen.values())) > FLUSH_WORDS:
                 yield from out()
         yield from out()
 
-    least = F.create_map(*(F.lit(x) for k, n in n_words.items() for x in (k, rules.word_share * n)))
     common = (
-        pairs.mapInArrow(word_counts, "lang string, word binary, n long")
-        .groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least[F.col("lang")]).collect()
+        pairs.mapInArrow(word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        .join(by_lang.select("lang", "n_words"), "lang").filter(F.col("n") >= F.lit(rules.word_share) * F.col("n_words"))
+        .groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("common"))
     )
-    out = {}
-    for r in rows:
-        mine = sorted((bytes(x["word"]), x["n"]) for x in common if x["lang"] == r["lang"])
-        shares = np.array([n for _, n in mine] + [r[words_at] - sum(n for _, n in mine)], float)
-        classes = np.array([r[f"c{i}"] for i in range(N_CLASSES)], float)
-        out[r["lang"]] = (classes / max(1.0, classes.sum()), {w: i for i, (w, _) in enumerate(mine)}, shares / max(1.0, shares.sum()))
-    return out
+    return by_lang.join(common, "lang", "left")
+
+
+def packed(refs: DataFrame) -> DataFrame:
+    """``(lang, ref)``: each reference as the bytes of class shares, common words with their places, and their shares
+    (the last is all other words)."""
+
+    def make(batches):
+        for b in batches:
+            out = []
+            for r in b.select([1, 2, 3]).to_pylist():
+                mine = sorted((bytes(x["word"]), x["n"]) for x in r["common"] or [])
+                shares = np.array([n for _, n in mine] + [r["n_words"] - sum(n for _, n in mine)], float)
+                classes = np.array(r["classes"], float)
+                out.append(pickle.dumps((classes / max(1.0, classes.sum()), {w: i for i, (w, _) in enumerate(mine)}, shares / max(1.0, shares.sum()))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["lang", "ref"])
+
+    return stored(refs.mapInArrow(make, "lang string, ref binary"), "references")
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -177,19 +186,28 @@ def judge(text: str, ref, rules: QualityRules) -> tuple:
 def score(docs: DataFrame, rules: QualityRules = QualityRules(), lang: str = "lang", text: str = "text",
           keep: list[str] | None = None, only_kept: bool = False) -> DataFrame:
     """Add the counts, distances and the verdict to each row; with ``only_kept`` drop rejected rows and the new columns."""
-    refs = references(docs, rules, lang, text)
+    refs = packed(references(docs, rules, lang, text))
+    mine, ref = fresh(docs.columns, "lang", "ref")
+    joined = docs.join(refs.toDF(mine, ref), _language(lang) == F.col(mine), "left")
     named = [] if only_kept else list(zip(fresh(docs.columns if keep is None else keep, *(n for n, _ in OUT)), (t for _, t in OUT)))
     arrow = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
     def make(batches) -> Iterator[list]:
-        for langs, column in batches:
-            rows = [judge(x, refs.get("" if k is None else str(k)), rules) for k, x in zip(langs.to_pylist(), texts(column))]
+        known: dict[str | None, tuple | None] = {}
+        for langs, column, packs in batches:
+            rows = []
+            for i, (k, x) in enumerate(zip(langs.to_pylist(), texts(column))):
+                if k not in known:
+                    if len(known) >= HELD_LANGUAGES:
+                        known.clear()
+                    known[k] = pickle.loads(packs[i].as_py()) if packs[i].is_valid else None
+                rows.append(judge(x, known[k], rules))
             if only_kept:
                 yield [[r[-1] for r in rows]]
             else:
                 yield [pa.array([r[i] for r in rows], arrow[t]) for i, (_, t) in enumerate(OUT)]
 
-    return add_columns(docs, [lang, text], named, make, keep, where=only_kept)
+    return add_columns(joined, [mine, text, ref], named, make, docs.columns if keep is None else keep, where=only_kept)
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
