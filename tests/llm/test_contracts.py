@@ -504,6 +504,17 @@ def test_revealing_terms_are_found_and_removed(frame):
     assert clean[len(texts) - 1].text is None and clean[0].version == "v" and len(clean) == len(texts)
 
 
+def test_terms_far_from_their_entity_are_found(frame):
+    texts = [f"Zanzibarius, {prose(k, 30)} Regards zan@corp.example {prose(k + 200, 30)} Quillonby" for k in range(6)]
+    # near in three texts, far in the others
+    texts += [f"{'Mirrowan' if k < 3 else ''} mir@corp.example {prose(k + 300, 30)} {'' if k < 3 else 'Mirrowan'}" for k in range(9)]
+    texts += [f"{prose(k + 20, 40)} regards corp example" for k in range(100)]
+    rows = rows_of(sanitize.report(frame(texts)), "id")
+    found = lambda d: {texts[d][int(a):int(b)] for k, a, b in (x.split(":") for x in rows[d]["spans"].split(",")) if k == "term"}
+    assert all({"Zanzibarius", "Quillonby"} <= found(d) for d in range(6)) and all("Mirrowan" in found(d) for d in range(6, 15))
+    assert not any("zan" in found(d) for d in range(6)) and sum(rows[d]["n_term"] for d in range(15, 115)) < 20
+
+
 # --- near-duplicates ------------------------------------------------------------------------------------------------
 
 

@@ -1,10 +1,11 @@
 """Personal data with information-theoretic sanitisation, on DataFrame functions only.
 
 Base patterns find e-mail addresses, IP addresses, cards and phones; their values are the protected entities.  The corpus
-then tells which other terms give an entity away: terms near an entity are counted with it, and every candidate term is
-counted over all documents.  A term exceeds the disclosure thresholds when, in at least ``min_contexts`` different
-contexts of one entity, the chance of the entity given the term is ``min_posterior`` or more, and knowing the term
-raises it by ``min_bits`` bits.  Such terms are spans of kind ``term`` wherever they stand.
+then tells which other terms give an entity away: the terms of a document, wherever they stand, are counted with each of
+its entities, and over all documents.  A term exceeds the disclosure thresholds when it is with one entity in at least
+``min_contexts`` different texts (or different surroundings of ``reach`` characters, which only add evidence), the
+chance of the entity given the term is ``min_posterior`` or more, and knowing the term raises it by ``min_bits`` bits.
+Such terms are spans of kind ``term`` wherever they stand.  The parts of found values are no terms of their documents.
 
 Texts are not shuffled, but those of documents that hold such a term.  Counts are pre-aggregated, so that an entity or
 a term that many documents share is no hot group.
@@ -38,7 +39,7 @@ SPAN = "struct<start:int,kind:int,end:int>"
 
 @dataclass(frozen=True)
 class DisclosureRules:
-    reach: int = 80  # characters on either side of an entity
+    reach: int = 80  # characters on either side of an entity that are its surroundings
     min_letters: int = 3
     min_contexts: int = 3
     min_posterior: float = 0.5
@@ -68,7 +69,8 @@ def base_hits(text: str) -> Column:
 
 
 def scan_base(docs: DataFrame, rules: DisclosureRules, key: str, text: str) -> DataFrame:
-    """``(id, version, base, contexts)``; a context is an entity with the terms near it."""
+    """``(id, version, base, contexts, terms)``; a context is an entity with the terms near it.  ``terms`` are those of
+    the whole text outside the found values, of texts with an entity only."""
     named = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     found = named.selectExpr("id", "xxhash64(text) as version", f"{clean_markers('text')} as text").withColumn("hits", base_hits("text"))
 
@@ -82,27 +84,45 @@ def scan_base(docs: DataFrame, rules: DisclosureRules, key: str, text: str) -> D
         return F.struct(F.concat_ws(":", h["kind"], h["value"]).alias("entity"),
                         F.array_distinct(F.filter(words, lambda w: F.length(w) >= rules.min_letters)).alias("terms"))
 
+    state = "struct<out:array<string>,done:int>"
+    outside = F.aggregate(
+        F.col("hits"), F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("done")).cast(state),
+        lambda s, h: F.struct(
+            F.when(h["start"] > s["done"], F.array_append(s["out"], F.substring(F.col("text"), s["done"] + 1, h["start"] - s["done"]))).otherwise(s["out"]).alias("out"),
+            F.greatest(s["done"], h["end"]).alias("done")).cast(state),
+        lambda s: F.concat_ws(" ", s["out"], F.substring(F.col("text"), s["done"] + 1, F.length("text"))))
+    words = F.array_distinct(F.filter(F.split(F.lower(outside), NOT_WORD), lambda w: F.length(w) >= rules.min_letters))
     return found.select(
         "id", "version", F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["kind"].alias("kind"), h["end"].alias("end"))).cast(f"array<{SPAN}>").alias("base"),
-        F.transform("hits", context).alias("contexts"))
+        F.transform("hits", context).alias("contexts"), F.when(F.size("hits") > 0, words).alias("terms"))
 
 
 def revealing_terms(docs: DataFrame, base: DataFrame, rules: DisclosureRules, text: str, key: str) -> tuple[DataFrame, DataFrame]:
     """``(term, entity, posterior, bits)`` beyond the thresholds, and the documents ``(id, version, term)`` they stand in."""
     contexts = base.select("id", "version", F.explode("contexts").alias("c")).select(
         "id", "version", "c.entity", "c.terms", F.xxhash64(F.array_sort("c.terms")).alias("context"))
-    near = contexts.select("id", "version", "entity", "context", F.explode("terms").alias("term"))
-    # equal contexts count once for support, so copies of one text support nothing; documents count for the odds
-    different = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(
-        F.col("contexts") >= rules.min_contexts)
-    together = near.select("entity", "term", "id", "version").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    pairs = stored(different.join(together, ["entity", "term"]), "pairs")
-    entities = contexts.select("entity", "id", "version").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    documents = base.select("id", "version").distinct().count()
+    # bits = log2(both * documents / (n_term * n_entity)) and both is at most the smaller count, so neither count can be larger
+    most = documents / 2.0 ** rules.min_bits
+    entities = contexts.groupBy("entity", "id", "version").agg(F.count("*").alias("m")).groupBy("entity").agg(
+        F.count("*").alias("n_entity"), F.sum("m").alias("mentions"))
+    # with fewer mentions than contexts are asked for there is no support
+    entities = stored(entities.filter((F.col("n_entity") <= most) & (F.col("mentions") >= rules.min_contexts)).select("entity", "n_entity"), "entities")
     words = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).select(
         "id", F.xxhash64("text").alias("version"), F.explode(F.array_distinct(F.split(F.lower("text"), NOT_WORD))).alias("term"))
     # the whole vocabulary is counted before it meets the candidates, so common words never fan out
-    frequency = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    documents = base.select("id", "version").distinct().count()
+    frequency = stored(words.groupBy("term").agg(F.count("*").alias("n_term")), "frequency")
+    common = stored(frequency.filter(F.col("n_term") > most).select("term"), "common")  # at most 2 ** min_bits times the words of a text
+    near = contexts.join(entities.select("entity"), "entity").select("entity", "id", "version", "context", F.explode("terms").alias("term"))
+    whole = base.filter("terms is not null").select("id", "version", "terms", F.explode(F.array_distinct("contexts.entity")).alias("entity")).join(
+        entities.select("entity"), "entity").select("entity", "id", "version", F.explode("terms").alias("term"))
+    # equal texts and equal surroundings count once for support, so copies of one text support nothing; documents count for the odds
+    together = near.drop("context").unionByName(whole).join(common, "term", "left_anti").distinct().groupBy("entity", "term", "version").agg(
+        F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
+    different = stored(near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(
+        F.col("contexts") >= rules.min_contexts), "different")
+    pairs = stored(together.join(different, ["entity", "term"], "left").filter(
+        (F.col("texts") >= rules.min_contexts) | F.col("contexts").isNotNull()).select("entity", "term", "both"), "pairs")
     scored = pairs.join(frequency, "term").join(entities, "entity").select(
         "term", "entity", (F.col("both") / F.col("n_term")).alias("posterior"),
         F.log2(F.col("both") * F.lit(float(documents)) / (F.col("n_term") * F.col("n_entity"))).alias("bits"))
