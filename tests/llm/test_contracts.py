@@ -457,6 +457,17 @@ def test_small_languages_are_judged_too(spark):
     assert not rows[20]["kept"] and not rows[20]["base_failed"]
 
 
+def test_a_wrong_language_goes(spark):
+    def text(seed, common):
+        rng = random.Random(seed)
+        return " ".join(rng.choice(common) if rng.random() < 0.3 else "w" + "".join(rng.choices("abcdefghij", k=6)) for _ in range(300))
+
+    a, b = [f"the{c}" for c in "abcdefghij"], [f"les{c}" for c in "abcdefghij"]
+    rows = [(k, "a", text(k, a)) for k in range(40)] + [(100 + k, "b", text(100 + k, b)) for k in range(40)] + [(200, "a", text(200, b))]
+    kept = {r.doc_id for r in quality.keep_good(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert kept == {r[0] for r in rows} - {200}
+
+
 # --- sanitisation ---------------------------------------------------------------------------------------------------
 
 PRIVATE = [

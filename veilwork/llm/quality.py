@@ -51,6 +51,11 @@ class QualityRules:
     guard_words: int = 100  # fewer words: common words are not judged
     max_class_distance: float = 0.33
     max_word_distance: float = 0.5
+    #: For texts with under half of their language's share of common words, at most this share of the distance of a text
+    #: without any, where at least ``guard_common`` common words are to be expected; None for the constant alone.  Labelled
+    #: good texts of sf0.1 reach a share of 0.80.
+    max_word_share: float | None = 0.85
+    guard_common: int = 20
     word_share: float = 1 / 500
 
 
@@ -168,7 +173,7 @@ def judge(text: str, ref, rules: QualityRules) -> tuple:
     chars = int(bins.sum() - bins[0x80:0xC0].sum())
     n_repeat = repeated_words(words, rules.window)
     failed = len(words) < rules.min_words or 100 * n_repeat > rules.max_repeat_percent * len(words)
-    far = [None, None]
+    far, word_limit = [None, None], rules.max_word_distance
     if ref is not None:
         classes, places, shares = ref
         if chars >= rules.guard_chars:
@@ -179,7 +184,11 @@ def judge(text: str, ref, rules: QualityRules) -> tuple:
             for k, n in Counter(map(places.get, raw.lower().split())).items():
                 seen[-1 if k is None else k] = n
             far[1] = js_distance(seen / len(words), shares)
-    kept = not failed and (far[0] or 0) <= rules.max_class_distance and (far[1] or 0) <= rules.max_word_distance
+            rest = shares[-1]
+            few = 1 - seen[-1] / len(words) < (1 - rest) / 2  # chance alone moves the sum of many rare words little
+            if rules.max_word_share is not None and few and len(words) * (1 - rest) >= rules.guard_common:
+                word_limit = min(word_limit, rules.max_word_share * js_distance(np.array([0.0, 1.0]), np.array([1 - rest, rest])))
+    kept = not failed and (far[0] or 0) <= rules.max_class_distance and (far[1] or 0) <= word_limit
     return (len(words), chars - int(bins[BLANKS].sum()), int(bins[SYMBOLS].sum()), repeated_lines(text), n_repeat, failed, *far, kept)
 
 
