@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import aba_checksum
 from ..functions.spans import clean_markers, empty, find_all, run_stages
 from .fields import line_breaks, line_numbers
+from .history import carry
 
 FINANCIAL = ["bank.routing", "bank.specific", "bank.generic"]
 
@@ -229,44 +230,26 @@ def link_members(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     ).distinct()
 
 
-def asof_source_join(events: DataFrame, changes: DataFrame, by: str, ts: str, source: str, hours: int = 24) -> DataFrame:
-    """For each event the latest source change of its key at or before it.
+def asof_source_join(events: DataFrame, changes: DataFrame, by: str, ts: str, source: str) -> DataFrame:
+    """For each event the latest source change of its key at or before it (of several at one time, the largest source).
 
-    Events and changes are ordered inside (key, stretch of time), and each stretch gets the last change
-    of earlier stretches, so no task holds the whole history of a key.
+    Events and changes are laid in one order and scanned by ranges, so no task holds the whole history of a key.
     """
-    stretch = F.floor(F.unix_seconds(F.col(ts)) / (hours * 3600))
     both = events.withColumn("_e", F.lit(1)).unionByName(
-        changes.select(by, ts, source).withColumn("_e", F.lit(0)), allowMissingColumns=True
-    ).withColumn("_s", stretch)
-    w = Window.partitionBy(by, "_s").orderBy(ts, "_e").rowsBetween(Window.unboundedPreceding, 0)
-    inside = both.withColumn("_in", F.last(F.when(F.col("_e") == 0, F.col(source)), ignorenulls=True).over(w))
-    last = changes.withColumn("_s", stretch).groupBy(by, "_s").agg(F.max_by(source, ts).alias("_c"))
-    all_stretches = both.select(by, "_s").distinct().join(last, [by, "_s"], "left")
-    earlier = Window.partitionBy(by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    carry = all_stretches.withColumn("_before", F.last("_c", ignorenulls=True).over(earlier)).select(by, "_s", "_before")
-    return (
-        inside.where("_e = 1").join(carry, [by, "_s"])
-        .withColumn(source, F.coalesce("_in", "_before")).drop("_in", "_before", "_e", "_s")
-    )
+        changes.select(by, ts, source).withColumn("_e", F.lit(0)), allowMissingColumns=True)
+    change = F.when(F.col("_e") == 0, F.struct(F.col(source).alias("s")))
+    found = carry(both, [by], [ts, "_e", source], {"_found": ("last", change)})
+    return found.where("_e = 1").withColumn(source, F.col("_found")["s"]).drop("_found", "_e")
 
 
 def grant_match(findings: DataFrame, grants: DataFrame, on: list[str], order: list[str]) -> DataFrame:
     """One-time exemptions: of the rows that match a grant, as many pass as the grant allows, in order.
 
-    Ranks inside (grant, bucket of the first order column) and adds the counts of earlier buckets, so a
-    grant with very many matches is not ranked in one task.
+    Matches are numbered by a scan over ranges, so a grant with very many matches is not ranked in one task.
     """
     allowed = grants.groupBy(*on).agg(F.sum("n").alias("_n"))
     hits = findings.join(allowed, on, "left")
-    bucket = F.floor(F.coalesce(F.col(order[0]), F.lit(0)) / 4096)
-    hits = hits.withColumn("_b", bucket)
-    with_grant = hits.where("_n is not null")
-    inside = F.row_number().over(Window.partitionBy(*on, "_b").orderBy(*order))
-    counts = with_grant.groupBy(*on, "_b").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*on).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_o", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    ranked = with_grant.withColumn("_r", inside).join(offsets, [*on, "_b"])
-    granted = ranked.withColumn("granted", F.col("_r") + F.col("_o") <= F.col("_n")).drop("_r", "_o")
+    ranked = carry(hits.where("_n is not null"), on, order, {"_r": ("sum", F.lit(1).cast("long"))})
+    granted = ranked.withColumn("granted", F.col("_r") <= F.col("_n")).drop("_r")
     rest = hits.where("_n is null").withColumn("granted", F.lit(False))
-    return granted.unionByName(rest).drop("_b", "_n")
+    return granted.unionByName(rest).drop("_n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions.text import text_sha256
 from ..sources.tables import VALID
-from .history import carry
+from .history import RANGE, carry, in_order
 
 # Lists a detector depends on; a detector without an entry is always ready.
 DETECTOR_LISTS = {"us.phone": ["us.npa"], "us.address": ["usps.suffix", "usps.state"]}
@@ -74,11 +74,12 @@ def residue(findings: DataFrame, output: DataFrame, text: str, key: str = "doc_i
 
 
 def changed_revisions(versions: DataFrame, key: str, order: str) -> DataFrame:
-    """Number the revisions of each text: a new one whenever the hash differs from the one before."""
+    """Number the revisions of each text: a new one whenever the hash differs from the one before.  Texts stay behind."""
     h = versions.withColumn("text_sha256", text_sha256(F.col("text")))
-    h = carry(h, [key], F.col(order), {"_before": ("previous", F.col("text_sha256"))})
+    h = in_order(h.drop("text"), [key], [order])
+    h = carry(h, [key], [order], {"_before": ("previous", F.col("text_sha256"))})
     h = h.withColumn("changed", ~F.coalesce(F.col("_before") == F.col("text_sha256"), F.lit(False))).drop("_before")
-    return carry(h, [key], F.col(order), {"rev": ("sum", F.col("changed").cast("long"))})
+    return carry(h, [key], [order], {"rev": ("sum", F.col("changed").cast("long"))}).drop(RANGE)
 
 
 def latest_wins(changes: DataFrame, key: str, order: str) -> DataFrame:
@@ -101,13 +102,14 @@ def status_history(attempts: DataFrame, source: str = "source", order: str = "se
     completed scan.
     """
     known = F.col("terminal").isNull() | F.col("terminal").isin([*COMPLETED, *FAILED, *UNSCANNED])
-    live = carry(attempts.where(known), [source], F.col(order), {"_newest": ("max_before", F.col("attempt_id"))})
+    live = in_order(attempts.where(known), [source], [order])
+    live = carry(live, [source], [order], {"_newest": ("max_before", F.col("attempt_id"))})
     live = live.where("_newest is null or attempt_id >= _newest").drop("_newest")
     completed = dims.lookup(COMPLETED, F.col("terminal"), "string")
     failed = dims.lookup(FAILED, F.col("terminal"), "string")
     # the standing failure: set by a failure, cleared by a completed scan
     mark = F.when(failed.isNotNull(), failed).when(completed.isNotNull(), F.lit("none"))
-    df = carry(live, [source], F.col(order), {"_mark": ("last", mark)})
+    df = carry(live, [source], [order], {"_mark": ("last", mark)})
     standing = F.when(F.coalesce("_mark", F.lit("none")) != "none", F.col("_mark"))
     status = (
         F.when(F.col("terminal").isNull(), "Scanning")
@@ -115,12 +117,12 @@ def status_history(attempts: DataFrame, source: str = "source", order: str = "se
         .when(failed.isNotNull(), failed)
         .otherwise(F.coalesce(standing, F.lit("Ready")))
     )
-    return df.withColumn("status", status).drop("_mark")
+    return df.withColumn("status", status).drop("_mark", RANGE)
 
 
 def warning_notify(history: DataFrame, source: str = "source", order: str = "seq") -> DataFrame:
     """Rows where a warning appears, or gets worse from Limited to Error."""
-    df = carry(history, [source], F.col(order), {"_before": ("previous", F.col("status"))})
+    df = carry(history, [source], [order], {"_before": ("previous", F.col("status"))})
     before = F.col("_before")
     fresh = before.isNull() | ~before.isin(WARNINGS) | ((before == "Limited") & (F.col("status") == "Error"))
     return df.where(F.col("status").isin(WARNINGS) & fresh).drop("_before")
