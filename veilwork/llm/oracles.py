@@ -123,3 +123,78 @@ from d
 """
 
 SQL = {"op1_decontaminate": OP1, "op2_warc": OP2, "op8_quality": _op8(), "op10_near_dedup": OP10}
+
+SQL["op12_mix"] = r"""
+with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+sent as (select *, sum(size) over (partition by source order by md5('mix:' || coalesce(cast(doc_id as varchar), '')), doc_id nulls first, size
+   rows unbounded preceding)::bigint as s from sized),
+src as (select source, source_size, rank, 1 + rank % 3 as w from (
+   select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rank from sized group by 1)),
+laid as (select *, sum(source_size) over () as total, sum(w) over () - coalesce(sum(w) over lower, 0) as w_left,
+   coalesce(sum(3 * source_size) over lower, 0) as full_below from src
+   window lower as (order by source_size / w range between unbounded preceding and current row exclude group)),
+full_ as (select *, w * ((total - full_below) / w_left) > 3 * source_size as is_full from laid),
+dealt as (select source, source_size, rank, case when is_full then (3 * source_size)::double
+   else ((total - coalesce(sum(case when is_full then 3 * source_size end) over (), 0)) * w)::double
+        / (sum(case when is_full then 0 else w end) over ())::double end as target, total from full_),
+placed as (select doc_id, size, s, source_size, target, rank, total from sent join dealt on sent.source is not distinct from dealt.source),
+line as (select *, sum(size) over (order by finish, rank, e, s rows unbounded preceding) as run from (
+   select *, (e * source_size + s)::double / target as finish from placed, range(3) t(e) where size > 0 and target > 0)),
+gave as (select doc_id, rank, s, sum(case when run <= total then size when run - size < total then total - (run - size) else 0 end)::bigint as taken
+   from line group by all)
+select p.doc_id, p.size, p.source_size, p.target, coalesce(g.taken, 0)::bigint as taken
+from placed p left join gave g on p.size > 0 and p.rank = g.rank and p.s = g.s"""
+
+#: The table of the byte-wise CRC-32, and the checksum over a list of bytes.
+_CRC_TABLE = """select list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+   lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t"""
+
+
+def _crc(octets: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+SQL["op13_spelling"] = rf"""
+with recursive tab as ({_CRC_TABLE}),
+runs as (select doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w, count(*) as n
+   from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as w from documents) group by all),
+summed as (select w, n, {_crc("""flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || w, ''),
+     lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195::bigint, unicode(c)::bigint - 64] end))""")} as h from runs, tab),
+words as (select word, sum(n)::bigint as n from (select n, case when h % 97 = 0
+     then left(w, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word from summed)
+   where length(word) >= 5 group by 1 having sum(n) >= 3),
+cuts as (select word, n, i, left(word, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(length(word)))::int as i from words)),
+near as (select distinct a.word, b.word as other, b.n from cuts a join cuts b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+   union select c.word, w.word, w.n from cuts c join words w on c.rest = w.word
+   union select w.word, c.word, c.n from cuts c join words w on c.rest = w.word),
+best as (select word, count(*) as n_near, max(n) as top from near group by 1),
+forms as (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near,
+     case when top >= 2 * w.n then (select min(other) from near where near.word = w.word and near.n = b.top) end as form,
+     case when top >= 2 * w.n then top end as form_n from words w left join best b using (word)),
+follow as (select word, word as root from forms union all select f.word, g.form from follow f join forms g on f.root = g.word where g.form is not null)
+select word, form, arg_max(root, n) as root, any_value(n_word) as n, any_value(n_near) as n_near, any_value(form_n) as form_n
+from (select f.word, f.form, f.n as n_word, f.n_near, f.form_n, x.root, y.n from forms f join follow x using (word) join words y on y.word = x.root)
+group by word, form"""
+
+SQL["op11_prefix_trie"] = rf"""
+with tab as ({_CRC_TABLE}),
+t as (select conv_id, strlen(coalesce(text, '')) as bytes, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as id,
+   row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as pos from conversations where conv_id is not null),
+convs as (select conv_id, n, {_crc("list_transform(string_split(conv_id::varchar, ''), lambda c: unicode(c)::bigint)")} % 9 as h
+   from (select conv_id, count(*) as n from t group by 1), tab),
+info as (select c.conv_id, c.conv_id - c.conv_id % 5 as base, c.h, least(c.h, coalesce(b.n, 0)) as k, c.n
+   from convs c left join convs b on b.conv_id = c.conv_id - c.conv_id % 5),
+rebuilt as (select i.conv_id, t.pos + 1 as d, id, bytes from info i join t on t.conv_id = i.base and t.pos < i.h
+   union all select i.conv_id, t.pos - h + k + 1, id, bytes from info i join t on t.conv_id = i.conv_id and t.pos >= i.h),
+ways as (select conv_id, 0 as d, '' as way, 0 as bytes from convs union all
+   select conv_id, d, md5(string_agg(id, '') over (partition by conv_id order by d rows unbounded preceding)), bytes from rebuilt),
+named as (select *, min(conv_id) over (partition by d, way) as r, max(d) over (partition by conv_id) as size from ways),
+nodes as (select r, d, count(*) as n_convs, any_value(bytes) as bytes,
+   sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where size = d), '')) as ends_sha256 from named group by r, d),
+family as (select x.*, p.r as parent from nodes x left join named p on p.conv_id = x.r and p.d = x.d - 1),
+kids as (select parent, d - 1 as d, count(*) as n from family where parent is not null group by all),
+full_ as (select f.*, coalesce(k.n, 0) as n_children from family f left join kids k on k.parent = f.r and k.d = f.d),
+below as (select up.r, up.d, sum(case when x.n_children = 0 then 1 else 0 end) as n_leaves, sum((x.n_convs - 1) * x.bytes) as saved_tokens
+   from full_ x join named up on up.conv_id = x.r and up.d <= x.d group by all)
+select r as conv_id, d::bigint as depth, parent as parent_conv_id, n_convs::bigint as n_convs, n_children::bigint as n_children,
+   n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, ends_sha256 from full_ join below using (r, d)"""

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_repair, chunk_dedup, fm_index, near_dedup, piece_codec, quality, sanitize, secrets, token_store, warc
+from . import (
+    chat_repair, chunk_dedup, fm_index, mixing, near_dedup, piece_codec, prefix_trie, quality, sanitize, secrets, spelling, token_store,
+    warc,
+)
 from .common import shared_path
 from .oracles import SQL  # noqa: F401  re-exported for the registry
 
@@ -71,6 +74,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(docs).withColumnRenamed("id", "doc_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).drop("finish").withColumnRenamed("id", "doc_id")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_warc, op3_chunk_dedup, op4_chat, op5_pieces, op6_secrets, op7_token_store, op8_quality, op9_sanitize,
-    op10_near_dedup)}
+    op10_near_dedup, op11_prefix_trie, op12_mix, op13_spelling)}
