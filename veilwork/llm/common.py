@@ -22,10 +22,13 @@ SUB_BATCH_BYTES = 1 << 20
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    Without that setting only a local session, whose executors are the driver itself, gets a folder of its own; a cluster
+    session is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veilwork-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/veilwork-{name}-{uuid.uuid4().hex}"
