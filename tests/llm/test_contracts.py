@@ -281,14 +281,36 @@ def test_chunks_change_no_total():
         text = "".join(rng.choice(["the ", "a", "  ", "☃", "漢", "there", "ing", "\n", "x", "tion", "."]) for _ in range(rng.choice([1, 17, 60, 200])))
         n, size = piece_codec.normal(text), rng.choice([16, 17, 23, 50])
         cut = [(n[a:a + size], n[a + size:a + size + it.longest - 1]) for a in range(0, len(n), size)]
-        tables = [it.transfer(*c) for c in cut]
+        parts = [it.parts(*c) for c in cut]
+        middles = [[it.segment(s) for s in it.split(m)] for _, m, _, _ in parts]
+        tables = [it.matrix(h, t, own, sum(s for s, _ in m)) for (h, _, t, own), m in zip(parts, middles)]
         states = piece_codec.border_states(tables)
         total = sum(int(m[a, b]) for m, a, b in zip(tables, states, states[1:]))
         assert total == sum(it.segment(x)[0] for x in it.split(n))
-        ids = [i for c, a, b in zip(cut, states, states[1:]) for i in it.path(*c, a, b)]
+        ids = []
+        for (h, _, t, own), m, a, b in zip(parts, middles, states, states[1:]):
+            first, last, same = it.ways(h, t, own, a, b)
+            assert same
+            ids += first + [i for _, found in m for i in found] + last
         assert it.decode(ids) == text
 
 
+@pytest.mark.parametrize("cache, run", [(300_000, 1 << 22), (30, 40)])
+def test_flat_rows_equal_single_segments(monkeypatch, cache, run):
+    monkeypatch.setattr(piece_codec, "CACHE", cache)
+    monkeypatch.setattr(piece_codec, "RUN_BYTES", run)
+    it = piece_codec.pieces(MODEL, "rank")
+    known, rng = piece_codec.Known(it), random.Random(9)
+    texts = AWKWARD + ["  two  blanks ", "▁mark", "\U0001f600x ☃", prose(2, 300)] + [
+        "".join(rng.choice(["the", " ", "  ", "é", "☃", "ing", "\n"]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    for _ in range(2):
+        ids, scores, fine = known.rows(pa.array(texts, pa.string()), True)
+        assert fine.all() and [len(x) for x in ids.to_pylist()] == [len(it.encode(t or "")) for t in texts]
+        assert ids.to_pylist() == [it.encode(t or "") for t in texts]
+        assert scores.tolist() == [sum(it.segment(x)[0] for x in it.split(piece_codec.normal(t or ""))) for t in texts]
+    assert len(known.rows(pa.array([], pa.string()), True)[0]) == 0
+
+
 def test_encode_and_decode(frame):
     texts = [t for t in AWKWARD] + [prose(1, 400), "▁ under", "the" * 700, " " * 200]
     rules = piece_codec.PieceRules(chunk_chars=64)

@@ -26,16 +26,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, fresh, stored, texts
+from .common import add_columns, byte_runs, fresh, stored, texts
 
 BLANK = "▁"
 SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+_CUT = re.compile(f"(?<=[^{BLANK}]){BLANK}")
 NONE = -(1 << 60)
-CACHE = 300_000
-TOGETHER = 32  # segments of up to so many characters are searched together with others of their length
+CACHE = 300_000  # segments a worker remembers before it forgets the rarer half
+RUN_BYTES = 1 << 22  # text that is segmented at once
+TOGETHER = 32  # segments of up to so many characters are searched together, if many have their length
 _ROLL = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -96,7 +99,12 @@ class Pieces:
         # no piece has a blank after another character: a path cannot cross such a place
         self.cuts = not any(BLANK in p.lstrip(BLANK) for p in self.of)
         self.tables: list = []
-        self.cache: dict[str, tuple[int, tuple[int, ...]]] = {}
+        # last byte of a character and first byte of the next, side by side within a piece; a blank stands for its mark
+        self.inside = np.zeros((256, 256), bool)
+        for p in self.of:
+            chars = [c.encode() for c in p.replace(BLANK, " ")]
+            for a, b in zip(chars, chars[1:]):
+                self.inside[a[-1], b[0]] = True
 
     def forward(self, text: str, start: int, stop: int) -> tuple[list[int], list[int]]:
         """Best scores and piece starts at each end; pieces start in ``[start, stop)`` and may end beyond ``stop``."""
@@ -126,17 +134,10 @@ class Pieces:
             end = s
         return [i for ids in reversed(out) for i in ids]
 
-    def segment(self, text: str) -> tuple[int, tuple[int, ...]]:
-        """Score and ids of a string on its own, remembered."""
-        got = self.cache.get(text)
-        if got is None:
-            best, back = self.forward(text, 0, len(text))
-            got = best[-1], tuple(self.trace(text, back, 0, len(text)))
-            if len(text) <= 64:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[text] = got
-        return got
+    def segment(self, text: str) -> tuple[int, list[int]]:
+        """Score and ids of a string on its own."""
+        best, back = self.forward(text, 0, len(text))
+        return best[-1], self.trace(text, back, 0, len(text))
 
     def _tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By length: hashes of the pieces in order, their ids and scores."""
@@ -150,65 +151,70 @@ class Pieces:
                 self.tables.append((h[by], np.array([i for _, i, _ in mine], np.int64)[by], np.array([s for _, _, s in mine], np.int64)[by]))
         return self.tables
 
-    def learn(self, segments: set[str]) -> None:
-        """Find and remember the best segmentations of many short strings, those of a length at once."""
-        by_length: dict[int, list[str]] = {}
-        for x in segments:
-            if len(x) <= TOGETHER and x not in self.cache:
-                by_length.setdefault(len(x), []).append(x)
-        if len(self.cache) + sum(map(len, by_length.values())) > CACHE:
-            self.cache.clear()
-        tables = self._tables()
-        for n, group in by_length.items():
-            if len(group) < 8:
-                continue
-            m = len(group)
-            codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T.astype(np.uint64)
-            best, back, ids = np.full((n + 1, m), NONE, np.int64), np.zeros((n + 1, m), np.int8), np.full((n + 1, m), -1, np.int32)
-            best[0] = 0
-            for s in range(n):
-                h = np.zeros(m, np.uint64)
-                for e in range(s + 1, min(n, s + self.longest) + 1):
-                    h = h * _ROLL + codes[e - 1]
-                    keys, piece, score = tables[e - s - 1]
-                    if not len(keys):
-                        continue
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    hit = keys[at] == h
-                    if e > s + 1 and not hit.any():
-                        continue
-                    found = np.where(hit, score[at], self.unknown if e == s + 1 else NONE) + best[s]
-                    better = np.flatnonzero(found > best[e])
-                    best[e, better], back[e, better] = found[better], s
-                    ids[e, better] = np.where(hit[better], piece[at[better]], -1)
-            starts, pieces_, totals = back.T.tolist(), ids.T.tolist(), best[n].tolist()
-            for r, x in enumerate(group):
-                out, end = [], n
-                while end:
-                    begin, i = starts[r][end], pieces_[r][end]
-                    if i >= 0:
-                        out.append(i)
-                    else:
-                        out += [self.byte_ids[b] for b in reversed(x[begin:end].encode("utf-8", "surrogatepass"))]
-                    end = begin
-                self.cache[x] = totals[r], tuple(reversed(out))
+    def together(self, group: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``segments`` of many strings of one length, searched side by side."""
+        m, n, tables = len(group), len(group[0]), self._tables()
+        codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T.astype(np.uint64)
+        best, back, ids = np.full((n + 1, m), NONE, np.int64), np.zeros((n + 1, m), np.int64), np.full((n + 1, m), -1, np.int32)
+        best[0] = 0
+        for s in range(n):
+            h = np.zeros(m, np.uint64)
+            for e in range(s + 1, min(n, s + self.longest) + 1):
+                h = h * _ROLL + codes[e - 1]
+                keys, piece, score = tables[e - s - 1]
+                if not len(keys):
+                    continue
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[at] == h
+                if e > s + 1 and not hit.any():
+                    continue
+                found = np.where(hit, score[at], self.unknown if e == s + 1 else NONE) + best[s]
+                better = np.flatnonzero(found > best[e])
+                best[e, better], back[e, better] = found[better], s
+                ids[e, better] = np.where(hit[better], piece[at[better]], -1)
+        ways, end, all_ = [], np.full(m, n), np.arange(m)
+        while end.any():
+            ways.append(np.where(end > 0, ids[end, all_], -2))
+            end = np.where(end > 0, back[end, all_], 0)
+        way = np.array(ways[::-1]).T  # from the first piece to the last; -2: nothing, -1: a character without a piece
+        bare = np.flatnonzero((way == -1).any(axis=1))
+        if not len(bare):
+            return best[n], (way >= 0).sum(axis=1), way[way >= 0]
+        rows: list = [w[w >= 0] for w in way]
+        for r in bare.tolist():
+            rows[r] = np.array(self.segment(group[r])[1], np.int32)
+        return best[n], np.array([len(x) for x in rows]), np.concatenate(rows)
+
+    def segments(self, many: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, numbers of ids and ids of many different strings, in an order that is returned first."""
+        by_length: dict[int, list[int]] = {}
+        for k, x in enumerate(many):
+            by_length.setdefault(len(x), []).append(k)
+        order, scores, sizes, flat = [], [], [], []
+        for n, at in by_length.items():
+            group = [many[k] for k in at]
+            order += at
+            if 0 < n <= TOGETHER and len(at) >= 16 * min(n, self.longest):
+                found = self.together(group)
+            else:
+                alone = [self.segment(x) for x in group]
+                found = (np.array([x for x, _ in alone], np.int64), np.array([len(ids) for _, ids in alone]),
+                         np.array([i for _, ids in alone for i in ids], np.int32))
+            for values, more in zip((scores, sizes, flat), found):
+                values.append(more)
+        return np.array(order, np.int64), *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (scores, sizes, flat))
 
     def split(self, text: str) -> list[str]:
         return SEGMENT.findall(text) if self.cuts else [text] if text else []
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_many([text])[0]
-
-    def encode_many(self, many: list[str]) -> list[list[int]]:
-        out = []
-        for k in range(0, len(many), 512):
-            split = [self.split(normal(x)) for x in many[k:k + 512]]
-            if len(many) > 1:
-                self.learn({x for xs in split for x in xs})
-            out += [[i for x in xs for i in self.segment(x)[1]] for xs in split]
-        return out
+        return [i for x in self.split(normal(text)) for i in self.segment(x)[1]]
 
     def decode(self, ids) -> str:
+        return self.joined(ids)[1:]
+
+    def joined(self, ids) -> str:
+        """The pieces' text, blanks for their marks; a whole text has one in front."""
         out, raw = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
@@ -221,31 +227,33 @@ class Pieces:
             out.append(self.text[i])
         if raw:
             out.append(raw.decode("utf-8", "surrogatepass"))
-        return "".join(out).replace(BLANK, " ")[1:]
-
-    def _parts(self, body: str, ahead: str) -> tuple[str, list[str], str, int]:
-        """Text before the first forced cut, segments up to the last one, and the text from there on with what is ahead."""
-        cuts = [m.start() for m in re.finditer(f"(?<=[^{BLANK}]){BLANK}", body)] if self.cuts else []
-        if not cuts:
-            return body, [], "", -1
-        return body[:cuts[0]], self.split(body[cuts[0]:cuts[-1]]), body[cuts[-1]:] + ahead, len(body) - cuts[-1]
-
-    def transfer(self, body: str, ahead: str) -> np.ndarray:
-        """The chunk's matrix.  ``ahead``: the characters after it that a piece may reach."""
+        return "".join(out).replace(BLANK, " ")
+
+    def parts(self, body: str, ahead: str) -> tuple[str, str, str, int]:
+        """A chunk up to its first forced cut, from there to the last one, and from there on with what is ahead; last, how
+        much of the third part is the chunk's own (-1: no cut, the first part is the chunk, the third what is ahead)."""
+        first = _CUT.search(body) if self.cuts else None
+        if first is None:
+            return body, "", ahead, -1
+        last = body.rfind(BLANK)
+        while body[last - 1] == BLANK:
+            last = body.rfind(BLANK, 0, last)
+        return body[:first.start()], body[first.start():last], body[last:] + ahead, len(body) - last
+
+    def matrix(self, head: str, tail: str, size: int, total: int) -> np.ndarray:
+        """The chunk's matrix, given its parts and the score of the middle."""
         width = self.longest
         out = np.full((width, width), NONE, np.int64)
-        head, middle, tail, size = self._parts(body, ahead)
-        reach = min(width, len(ahead) + 1)
         if size < 0:
-            whole = body + ahead
-            for i in range(min(width, len(body) + 1)):
-                best, _ = self.forward(whole, i, len(body))
-                out[i, :reach] = best[len(body):len(body) + reach]
-                if i == len(body):
+            whole, reach = head + tail, min(width, len(tail) + 1)
+            for i in range(min(width, len(head) + 1)):
+                best, _ = self.forward(whole, i, len(head))
+                out[i, :reach] = best[len(head):len(head) + reach]
+                if i == len(head):
                     out[i, 1:] = NONE
             return out
-        total = sum(self.segment(x)[0] for x in middle)
         best, _ = self.forward(tail, 0, size)
+        reach = min(width, len(tail) - size + 1)
         last = np.array(best[size:size + reach], np.int64)
         for i in range(min(width, len(head) + 1)):
             first = self.forward(head, i, len(head))[0][len(head)]
@@ -253,16 +261,100 @@ class Pieces:
                 out[i, :reach] = np.where(last > NONE, last + first + total, NONE)
         return out
 
-    def path(self, body: str, ahead: str, entry: int, exit_: int) -> list[int]:
-        """Ids of the pieces that start in the chunk, between two given border states."""
-        head, middle, tail, size = self._parts(body, ahead)
+    def ways(self, head: str, tail: str, size: int, entry: int, exit_: int) -> tuple[list[int], list[int], bool]:
+        """Ids before and after the middle between two given border states, and whether they give their texts again."""
         if size < 0:
-            whole = body + ahead
-            return self.trace(whole, self.forward(whole, entry, len(body))[1], entry, len(body) + exit_)
-        out = self.trace(head, self.forward(head, entry, len(head))[1], entry, len(head))
-        for x in middle:
-            out += self.segment(x)[1]
-        return out + self.trace(tail, self.forward(tail, 0, size)[1], 0, size + exit_)
+            whole, end = head + tail, len(head) + exit_
+            ids = self.trace(whole, self.forward(whole, entry, len(head))[1], entry, end)
+            return ids, [], self.joined(ids) == whole[entry:end].replace(BLANK, " ")
+        first = self.trace(head, self.forward(head, entry, len(head))[1], entry, len(head))
+        last = self.trace(tail, self.forward(tail, 0, size)[1], 0, size + exit_)
+        same = self.joined(first) == head[entry:].replace(BLANK, " ") and self.joined(last) == tail[:size + exit_].replace(BLANK, " ")
+        return first, last, same
+
+
+class Known:
+    """Segmentations met so far in flat arrays, and the segmentation of many texts with them.
+
+    Segments are looked up with blanks for their marks, each different one once a run of text.  That a segment's ids give
+    it again is tested once, when it is learned.
+    """
+
+    def __init__(self, it: Pieces):
+        self.it = it
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sizes, self.scores, self.fine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.flat, self.met = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def learn(self, new: list[str]) -> None:
+        order, scores, sizes, flat = self.it.segments([x.replace(" ", BLANK) for x in new])
+        new = [new[k] for k in order.tolist()]
+        text, ids = self.it.text, flat.tolist()
+        if "".join([text[i] for i in ids]).replace(BLANK, " ") == "".join(new):
+            fine = np.ones(len(new), bool)
+        else:  # byte pieces among them
+            ends = np.cumsum(sizes).tolist()
+            fine = np.array([self.it.joined(ids[e - n:e]) == x for x, e, n in zip(new, ends, sizes.tolist())], bool)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.sizes, self.scores = np.append(self.sizes, sizes.astype(np.int64)), np.append(self.scores, scores)
+        self.fine, self.flat = np.append(self.fine, fine), np.append(self.flat, flat.astype(np.int32))
+        self.met = np.append(self.met, np.zeros(len(new), np.int32))
+
+    def forget(self) -> None:
+        keep = np.sort(np.argsort(-self.met, kind="stable")[:CACHE // 2])
+        names, n = list(self.known), self.sizes[keep]
+        self.flat = self.flat[np.repeat(np.cumsum(self.sizes)[keep] - np.cumsum(n), n) + np.arange(n.sum())]
+        self.sizes, self.scores, self.fine, self.met = n, self.scores[keep], self.fine[keep], self.met[keep]
+        self.known = {names[k]: i for i, k in enumerate(keep.tolist())}
+
+    def numbers(self, segments: list[str]) -> np.ndarray:
+        """The number of each of these different segments."""
+        look = self.known.get
+        out = np.array([look(x, -1) for x in segments], np.int64)
+        new = np.flatnonzero(out < 0)
+        if len(self.known) + len(new) > CACHE and self.known:
+            if len(self.known) > CACHE // 2:
+                self.forget()
+            else:
+                self.clear()
+            return self.numbers(segments)
+        self.learn([segments[k] for k in new.tolist()])
+        out[new] = [self.known[segments[k]] for k in new.tolist()]
+        self.met[out] += 1
+        return out
+
+    def rows(self, column: pa.Array, led: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """``(ids, score, fine)`` of each row.  ``led``: rows get the blank in front that a whole text has."""
+        column = pc.replace_substring(column.fill_null(""), BLANK, " ")
+        flats, counts, scores, fines = [], [], [], []
+        for _, raw, at in byte_runs(column, RUN_BYTES):
+            filled = np.diff(at) > 0
+            if led:
+                raw = np.insert(raw, at[:-1][filled], 0x20)
+                at = at + np.append(0, np.cumsum(filled))
+            # a path cannot go on across two characters that no piece holds side by side
+            first = np.ones(len(raw), bool)
+            first[1:] = ~self.it.inside[raw[:-1], raw[1:]] & ((raw[1:] & 0xC0) != 0x80)
+            first[at[:-1][filled]] = True
+            starts = np.flatnonzero(first)
+            coded = pa.Array.from_buffers(pa.large_string(), len(starts), [
+                None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+            number = self.numbers(coded.dictionary.to_pylist())
+            which = number[coded.indices.to_numpy()] if len(number) else number
+            n = self.sizes[which]
+            flats.append(self.flat[np.repeat((np.cumsum(self.sizes) - self.sizes)[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            border = np.searchsorted(starts, at)
+            per_row = lambda values: np.diff(np.append(0, np.cumsum(values))[border])
+            counts.append(per_row(n))
+            scores.append(per_row(self.scores[which]))
+            fines.append(per_row(~self.fine[which]) == 0)
+        join = lambda many, kind: np.concatenate(many) if many else np.zeros(0, kind)
+        offsets = np.append(0, np.cumsum(join(counts, np.int64))).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(join(flats, np.int32), pa.int32()))
+        return ids, join(scores, np.int64), join(fines, bool)
 
 
 def normal(text: str) -> str:
@@ -303,78 +395,94 @@ def border_states(matrices: list[np.ndarray]) -> list[int]:
     return states
 
 
+_WORKER: dict[tuple, Known] = {}
+
+
+def worker_known(raw: bytes, scores: str) -> Known:
+    """The model and the segments met so far (at most ``CACHE``) of this Python worker, kept from task to task."""
+    key = (hash(raw), scores)
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = Known(Pieces(raw, scores))
+    return _WORKER[key]
+
+
 def encode(docs: DataFrame, rules: PieceRules = PieceRules(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, ids array<int>, n_tokens, n_chunks, round_trip)`` of each row."""
     # the model file is read where the driver is and sent to the tasks: 0.5 MB, whatever the data
     with open(rules.model, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
-    made: dict = {}
 
-    def model() -> Pieces:
-        if "it" not in made:
-            made["it"] = Pieces(raw.value, rules.scores)
-        return made["it"]
+    def worker() -> Known:
+        return worker_known(raw.value, rules.scores)
 
-    named = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    whole, giant = named.filter(F.length("text") <= rules.chunk_chars), named.filter(F.length("text") > rules.chunk_chars)
+    named = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    size = F.coalesce(F.length("text"), F.lit(0))
+    whole, giant = named.filter(size <= rules.chunk_chars), named.filter(size > rules.chunk_chars)
     outputs = [("ids", "array<int>"), ("n_tokens", "long"), ("n_chunks", "long"), ("round_trip", "boolean")]
 
     def encode_rows(batches):
-        it = model()
+        known = worker()
         for (column,) in batches:
-            source = texts(column)
-            ids = it.encode_many(source)
-            yield [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array([1] * len(ids), pa.int64()),
-                   pa.array([it.decode(i) == x.replace(BLANK, " ") for i, x in zip(ids, source)], pa.bool_())]
+            ids, _, fine = known.rows(column, True)
+            yield [ids, pc.cast(pc.list_value_length(ids), pa.int64()), pa.array(np.ones(len(ids), np.int64)), pa.array(fine)]
 
     short = add_columns(whole, ["text"], outputs, encode_rows, ["id"])
     kind = named.schema["id"].dataType.simpleString()
 
     def cut(batches):
-        size, reach = rules.chunk_chars, model().longest - 1
+        step, reach = rules.chunk_chars, worker().it.longest - 1
         for b in batches:
-            for row, i, x in zip(b.column(0).to_pylist(), b.column(1), texts(b.column(2))):
-                x = normal(x)
-                at = range(0, len(x), size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * len(at), pa.int64()), pa.array([i.as_py()] * len(at), b.column(1).type), pa.array(range(len(at)), pa.int64()),
-                     pa.array([x[a:a + size] for a in at], pa.string()), pa.array([x[a + size:a + size + reach] for a in at], pa.string())],
-                    names=["row", "id", "k", "body", "ahead"])
-
-    chunks = stored(
-        giant.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-        .mapInArrow(cut, f"row long, id {kind}, k long, body string, ahead string").repartition("row", "k"), "chunks")
-
-    def matrices(batches):
-        it = model()
+            for i in range(b.num_rows):
+                row, id, x = b.column(0)[i], b.column(1)[i], normal(b.column(2)[i].as_py())
+                for first in range(0, len(x), 8 * step):
+                    at = range(first, min(len(x), first + 8 * step), step)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row.as_py()] * len(at), pa.int64()), pa.array([id.as_py()] * len(at), b.column(1).type),
+                         pa.array([a // step for a in at], pa.int64()), pa.array([x[a:a + step] for a in at], pa.string()),
+                         pa.array([x[a + step:a + step + reach] for a in at], pa.string())], names=["row", "id", "k", "body", "ahead"])
+
+    def measure(batches):
+        known = worker()
         for bodies, ahead in batches:
-            yield [pa.array([it.transfer(x, y).tobytes() for x, y in zip(bodies.to_pylist(), ahead.to_pylist())], pa.binary())]
+            columns: tuple[list, ...] = ([], [], [], [], [], [])
+            for at in range(0, len(bodies), 64):
+                parts = [known.it.parts(x, y) for x, y in zip(bodies[at:at + 64].to_pylist(), ahead[at:at + 64].to_pylist())]
+                middle, scores, fine = known.rows(pa.array([p[1] for p in parts], pa.string()), False)
+                tables = [known.it.matrix(head, tail, own, total).tobytes() for (head, _, tail, own), total in zip(parts, scores.tolist())]
+                for values, more in zip(columns, (
+                        pa.array([p[0] for p in parts], pa.string()), pa.array([p[2] for p in parts], pa.string()),
+                        pa.array([p[3] for p in parts], pa.int64()), pa.array(tables, pa.binary()), middle, pa.array(fine))):
+                    values.append(more)
+            yield [pa.concat_arrays(values) for values in columns]
+
+    pieces_ = giant.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(
+        cut, f"row long, id {kind}, k long, body string, ahead string").repartition("row", "k")
+    chunks = stored(add_columns(pieces_, ["body", "ahead"], [
+        ("head", "string"), ("tail", "string"), ("own", "long"), ("matrix", "binary"), ("middle", "array<int>"), ("fine", "boolean")],
+        measure, ["row", "id", "k"]), "chunks")
 
     def states(group: pa.Table) -> pa.Table:
         group = group.sort_by("k")
-        width = model().longest
+        width = worker().it.longest
         s = border_states([np.frombuffer(x, np.int64).reshape(width, width) for x in group["matrix"].to_pylist()])
         return pa.table({"row": group["row"], "k": group["k"], "entry": pa.array(s[:-1], pa.int64()), "exit": pa.array(s[1:], pa.int64())})
 
     # a document has one matrix of 2 KB for each chunk, so a group is smaller than the row its text came in
-    borders = add_columns(chunks, ["body", "ahead"], [("matrix", "binary")], matrices, ["row", "k"]).groupBy("row").applyInArrow(
-        states, "row long, k long, entry long, exit long")
+    borders = chunks.select("row", "k", "matrix").groupBy("row").applyInArrow(states, "row long, k long, entry long, exit long")
 
     def paths(batches):
-        it = model()
-        for bodies, ahead, entry, exit_, k in batches:
-            ids, same = [], []
-            for x, y, a, b, first in zip(*(c.to_pylist() for c in (bodies, ahead, entry, exit_, k))):
-                ids.append(it.path(x, y, a, b))
-                got = it.decode(ids[-1] if not first else [it.of[BLANK][0], *ids[-1]])
-                same.append(got == (x + y)[a:len(x) + b].replace(BLANK, " ")[not first:])
-            yield [pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
-
-    parts = add_columns(chunks.join(borders, ["row", "k"]), ["body", "ahead", "entry", "exit", "k"],
-                        [("ids", "array<int>"), ("same", "boolean")], paths, ["row", "id", "k"])
+        it = worker().it
+        for heads, tails, own, entry, exit_ in batches:
+            found = [it.ways(*x) for x in zip(*(c.to_pylist() for c in (heads, tails, own, entry, exit_)))]
+            yield [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_()))]
+
+    ends = add_columns(chunks.select("row", "k", "head", "tail", "own").join(borders, ["row", "k"]), ["head", "tail", "own", "entry", "exit"],
+                       [("first", "array<int>"), ("last", "array<int>"), ("same", "boolean")], paths, ["row", "k"])
+    parts = chunks.select("row", "id", "k", "middle", "fine").join(ends, ["row", "k"])
     long = parts.groupBy("row").agg(
-        F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"),
-        F.count("*").alias("n_chunks"), F.bool_and("same").alias("round_trip")
+        F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("k", F.concat("first", "middle", "last").alias("ids")))).alias("parts"),
+        F.count("*").alias("n_chunks"), F.bool_and(F.col("same") & F.col("fine")).alias("round_trip")
     ).select("id", F.flatten("parts.ids").alias("ids"), F.lit(0).alias("n_tokens"), "n_chunks", "round_trip").withColumn(
         "n_tokens", F.size("ids").cast("long"))
     return short.unionByName(long)
@@ -386,7 +494,7 @@ def decode(encoded: DataFrame, rules: PieceRules = PieceRules(), ids: str = "ids
         raw = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def make(batches):
-        it = Pieces(raw.value, rules.scores)
+        it = worker_known(raw.value, rules.scores).it
         for (column,) in batches:
             yield [pa.array([it.decode(x or []) for x in column.to_pylist()], pa.string())]
 
