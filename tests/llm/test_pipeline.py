@@ -25,7 +25,7 @@ def con():
 
 def test_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -46,7 +46,8 @@ def test_pipeline(spark, con):
         con.execute(f"create or replace temp table step as select {columns} from step join verdict using (doc_id) where {where}")
 
     apply(queries.SQL["op8_quality"], "kept")
-    apply(queries.SQL["op10_near_dedup"], "kept")
+    # a stage on shingles takes 0.8 or more; the 85 is the contract of the thin query
+    apply(queries.SQL["op10_near_dedup"].replace(">= 85 *", ">= 80 *"), "kept")
     apply(queries.SQL["op1_decontaminate"], "not contaminated")
     it = piece_codec.pieces(piece_codec.PieceRules().model, "rank")
     want = {}
@@ -72,12 +73,3 @@ def test_near_copies_of_four_fifths_go(spark):
     rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate([words, near])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [0]
-
-
-def test_near_dedup_stage_against_sql_at_80(spark, con):
-    """test_pipeline above holds the stage to op10's own 85, which keeps documents 145 and 177 (0.833 and 0.830 to others)."""
-    sql = queries.SQL["op10_near_dedup"].replace(">= 85 *", ">= 80 *")
-    want = {d for d, kept in con.execute(f"select doc_id, kept from ({sql})").fetchall() if kept}
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == want
-    assert not {145, 177} & want
