@@ -462,3 +462,52 @@ def resolve_decisions(docs: DataFrame, decided: DataFrame, decisions: DataFrame,
         .otherwise(F.col("disposition"))
     )
     return overlaid.withColumn("disposition", new).drop("choice")
+
+
+# --- release after review --------------------------------------------------------------------
+
+
+def release_decisions(docs: DataFrame, decided: DataFrame, decisions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Settle reviewed texts: ``(key, redacted, text_sha256, n_protect, n_pending, n_kept, status)`` of each text with an item to decide.
+
+    A text is released as a whole or not at all.  ``waiting``: an item is not settled, or was settled for another version
+    of the text.  ``stale``: a choice of this very version names an item that does not wait for one; the review saw other
+    findings.  Else every protected value, chosen or not, is numbered anew over the whole text and replaced:
+    ``released``, or ``released_partly`` if the reviewer kept an item; ``kept`` if nothing is protected and the text stays.
+    ``ambiguous`` and ``error`` as in ``redact_rows``.  ``text_sha256`` is that of the resulting text.
+
+    Only texts with such an item meet their edits; the others are not read again.
+    """
+    c = F.col
+    items = decision_items(decided, key)
+    current = docs.select(key, text_sha256(c("text")).alias("text_sha256")).join(items.select(key).distinct(), key, "left_semi")
+    known = items.select(key, *item_key()).withColumn("_known", F.lit(True))
+    stray = decisions.join(current, [key, "text_sha256"]).join(known, [key, *item_key()], "left").where("_known is null")
+    stray = stray.select(key).distinct().withColumn("_stray", F.lit(True))
+    wait = docs.join(items.select(key).distinct(), key, "left_semi")
+    mine = decided.join(items.select(key).distinct(), key, "left_semi")
+    settled = resolve_decisions(wait, mine, decisions, key)
+    asked = mine.where(c("disposition") == ASK).select(key, "start", "detector_id").withColumn("_asked", F.lit(True))
+    kept = settled.join(asked, [key, "start", "detector_id"]).where(c("disposition") == BYPASS).groupBy(key).agg(
+        F.count("*").cast("int").alias("n_kept"))
+    out = redact_rows(wait, assign_aliases(settled, key), [key])
+    out = out.join(kept, key, "left").join(stray, key, "left").fillna(0, ["n_kept"])
+    status = (
+        F.when(c("_stray"), "stale").when(c("status").isin("ambiguous", "error"), c("status"))
+        .when(c("n_pending") > 0, "waiting").when(c("n_protect") == 0, "kept").when(c("n_kept") > 0, "released_partly").otherwise("released")
+    )
+    out = out.withColumn("status", status)
+    text = F.when(c("status").isin("released", "released_partly"), c("redacted")).otherwise(c("text"))
+    return out.withColumn("redacted", text).select(
+        key, "redacted", text_sha256(c("redacted")).alias("text_sha256"), "n_protect", "n_pending", "n_kept", "status")
+
+
+def mint_grants(released: DataFrame, decided: DataFrame, decisions: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One pass for each kept item of risk 1 in a text that was released or kept, bound to the resulting text:
+    ``(key, text_sha256, detector_id, canonical, n)``.  Kept items of risk 3 give none."""
+    committed = released.where(F.col("status").isin("released", "released_partly", "kept")).select(key, "text_sha256")
+    asked = decided.where((F.col("disposition") == ASK) & (F.col("risk") == 1)).join(committed.select(key), key, "left_semi")
+    settled = resolve_decisions(docs.join(committed.select(key), key, "left_semi"), asked, decisions, key)
+    kept = settled.where((F.col("disposition") == BYPASS) & F.col("detector_id").isNotNull() & F.col("canonical").isNotNull())
+    return kept.select(key, "detector_id", "canonical").distinct().join(committed, key).withColumn("n", F.lit(1)).select(
+        key, "text_sha256", "detector_id", "canonical", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -16,6 +17,7 @@ from . import flagship
 from . import oracle as O
 from .decision_queries import SQL as DECISION_SQL
 from .decision_queries import _adjusted_sql, spans
+from .shape import new_folder
 from .texts import case, documents, pad, sql_over, table, text_rows
 from .us_queries import SQL as US_SQL
 
@@ -298,18 +300,20 @@ def _attempts(spark, sf):
         f"case when event_id % 4 = 1 then null when event_id % 7 = 0 then 'UnauthorizedTarget' else {_terminals} end as terminal")
 
 
-_status_sql = f"""
+_status_marks = f"""
   (with a as (select user_id::varchar as source, event_id as seq, case when event_id % 9 = 0 then 0 else event_id // 2 end as attempt_id,
       case when event_id % 4 = 1 then null when event_id % 7 = 0 then 'UnauthorizedTarget' else {_terminals} end as terminal from events),
-  b as (select * from (select *, max(attempt_id) over (partition by source order by seq rows between unbounded preceding and 1 preceding) as newest from a) where newest is null or attempt_id >= newest),
-  m as (select *, case when terminal in ('ProcessingException') then 'Error' when terminal in ('ReadRejected') then 'Limited' when terminal in ('Success', 'NoActionRequired', 'DecisionPending') then 'none' end as mark from b),
-  s as (select *, last_value(mark ignore nulls) over (partition by source order by seq rows between unbounded preceding and current row) as standing from m)
-  select source, seq, attempt_id, case when terminal is null then 'Scanning' when terminal = 'Success' then 'Verified' when terminal = 'NoActionRequired' then 'Ready' when terminal = 'DecisionPending' then 'NeedsDecision'
-     when terminal = 'ProcessingException' then 'Error' when terminal = 'ReadRejected' then 'Limited' else case when coalesce(standing, 'none') = 'none' then 'Ready' else standing end end as status from s)"""
+  b as (select * from (select *, max(attempt_id) over (partition by source order by seq rows between unbounded preceding and 1 preceding) as newest from a) where newest is null or attempt_id >= newest)
+  select source, seq, attempt_id, terminal, case when terminal in ('ProcessingException') then 'Error' when terminal in ('ReadRejected') then 'Limited' when terminal in ('Success', 'NoActionRequired', 'DecisionPending') then 'none' end as mark from b)"""
+_status_of = """case when terminal is null then 'Scanning' when terminal = 'Success' then 'Verified' when terminal = 'NoActionRequired' then 'Ready' when terminal = 'DecisionPending' then 'NeedsDecision'
+     when terminal = 'ProcessingException' then 'Error' when terminal = 'ReadRejected' then 'Limited' else case when coalesce(standing, 'none') = 'none' then 'Ready' else standing end end"""
+_status_sql = f"""
+  (with s as (select *, last_value(mark ignore nulls) over (partition by source order by seq rows between unbounded preceding and current row) as standing from {_status_marks})
+  select source, seq, attempt_id, {_status_of} as status from s)"""
 
 
-@query("status_stream", f"select source, seq, attempt_id, status from {_status_sql}")
-def status_stream(spark, sf):
+@query("status_history", f"select source, seq, attempt_id, status from {_status_sql}")
+def status_history(spark, sf):
     return reports.status_history(_attempts(spark, sf)).select("source", "seq", "attempt_id", "status")
 
 
@@ -319,19 +323,104 @@ def warning_notify(spark, sf):
     return reports.warning_notify(reports.status_history(_attempts(spark, sf))).select("source", "seq", "status")
 
 
-@query("grant_stream", "select event_id, row_number() over (partition by user_id, event_type order by event_id) <= 1 as granted from events")
+def run_stream(spark, name: str, parts: list, job, schema=None):
+    """Run a job over a table that arrives in parts: one run up to now after each, all from one checkpoint, into one table.
+
+    Each part is one micro-batch, whatever its number of files, so the parts arrive in their order.
+    """
+    folder = new_folder(spark, name)
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        source = S.stream_source(spark, f"{folder}/in", part.schema, 1_000_000)
+        with jobs.state_store(spark):
+            run = job(source).writeStream.format("parquet").option("path", f"{folder}/out").option(
+                "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def _by_range(df, column: str, n: int) -> list:
+    """The table in ``n`` parts by ranges of a column; the last one is open."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    step = ((high or 0) - (low or 0)) // n + 1
+    edges = [(low or 0) + i * step for i in range(n)]
+    return [df.where((F.col(column) >= a) if i == n - 1 else (F.col(column) >= a) & (F.col(column) < a + step)) for i, a in enumerate(edges)]
+
+
+# events of a user every minute or so, so that some scans end within half a minute
+@query("status_stream", f"""
+  with e as (select source, seq, attempt_id, status, mark, terminal from (
+      select *, case when terminal is null then 'Scanning' end as status from {_status_marks})),
+  n as (select *, lead(seq) over (partition by source order by seq) as next from e),
+  late as (select source, seq + 0.5 as ord, -1 as seq, attempt_id, 'Limited' as mark, 'Timeout' as terminal from n
+     where terminal is null and coalesce(next * 400 >= seq * 400 + 30000, (select max(event_id) * 400 - 10100 > n.seq * 400 + 30000 from events))),
+  u as (select source, seq * 1.0 as ord, seq, attempt_id, mark, terminal from e union all select * from late),
+  s as (select *, last_value(mark ignore nulls) over (partition by source order by ord rows between unbounded preceding and current row) as standing from u),
+  t as (select *, {_status_of} as status from s),
+  w as (select *, lag(status, 1, 'Ready') over (partition by source order by ord) as before from t)
+  select source, seq, attempt_id, status, status in ('Limited', 'Error') and (before not in ('Limited', 'Error') or (before = 'Limited' and status = 'Error')) as warn from w""")
+def status_stream(spark, sf):
+    events = _attempts(spark, sf).withColumn("ts", F.timestamp_millis(F.col("seq") * 400 + 86_400_000))
+    job = lambda source: jobs.status_stream(source.withWatermark("ts", "10100 milliseconds"), ts="ts")
+    return run_stream(spark, "status", _by_range(events, "seq", 3), job)
+
+
+# one event in five mints one or two passes, the others are matches, one in eleven of them of risk 3
+_grants_sql = """(select user_id as doc_id, event_id as seq, event_id // 3000 as rev, event_type as detector_id, event_type as canonical,
+   case when event_id % 11 = 0 then 3 else 1 end as risk, case when event_id % 5 = 0 then 1 + event_id % 2 else 0 end as n from events)"""
+
+
+@query("grant_stream", f"""
+  with g as (select *, case when n > 0 then n when risk = 1 then -1 else 0 end as step from {_grants_sql}),
+  s as (select *, coalesce(sum(step) over w, 0) as total from g
+     window w as (partition by doc_id, rev, detector_id order by seq rows between unbounded preceding and 1 preceding)),
+  m as (select *, least(0, coalesce(min(total + step) over (partition by doc_id, rev, detector_id order by seq rows between unbounded preceding and 1 preceding), 0)) as low from s)
+  select doc_id, seq, risk = 1 and total - low > 0 as granted from m where n = 0""")
 def grant_stream(spark, sf):
-    ev = sql_over(spark, sf, "events", "user_id", "event_type", "event_id")
-    grants = ev.select("user_id", "event_type").distinct().withColumn("n", F.lit(1))
-    return joins.grant_match(ev, grants, ["user_id", "event_type"], ["event_id"]).select("event_id", "granted")
+    events = sql_over(spark, sf, "events", "user_id as doc_id", "event_id as seq", "cast(floor(event_id / 3000) as bigint) as rev", "event_type as detector_id",
+                      "event_type as canonical", "case when event_id % 11 = 0 then 3 else 1 end as risk",
+                      "case when event_id % 5 = 0 then cast(1 + event_id % 2 as int) else 0 end as n")
+    return run_stream(spark, "grants", _by_range(events, "seq", 2), jobs.grant_stream)
+
+
+@query("revision_stream", SQL["changed_revisions"])
+def revision_stream(spark, sf):
+    out = run_stream(spark, "revisions", _by_range(_versions(spark, sf), "seq", 2), jobs.revision_stream)
+    return out.select("doc_id", "seq", "changed", "rev")
+
+
+_old = "'old mail a@b.co'"
 
 
-@query("stream_scan", f"""with x as ({DECISION_SQL["redact_corpus"].strip()}) select doc_id, redacted_md5, status from x""")
+@query("stream_scan", f"""with x as ({DECISION_SQL["redact_corpus"].strip()})
+  select doc_id, 0::bigint as seq, md5('old mail [이메일1]') as text_md5, 'protected' as status from documents where doc_id % 2 = 0
+  union all select doc_id, 1::bigint, redacted_md5, status from x where status = 'protected' and doc_id % 2 = 1
+  union all select doc_id, 2::bigint, redacted_md5, status from x where status = 'protected'""")
 def stream_scan(spark, sf):
-    # two versions of each text arrive in one batch; only the newer one counts
-    docs = documents(spark, sf).selectExpr("doc_id", "text", "explode(array(0, 1)) as seq")
-    changes = docs.selectExpr("doc_id", "cast(seq as bigint) as seq", "case when seq = 0 then 'old' else text end as text")
-    return jobs.scan_batch(changes).select("doc_id", F.md5("redacted").alias("redacted_md5"), "status")
+    """Two versions of each text, then our own rewrites.  The run is lost once after it has committed its second batch,
+    so that this batch is run again."""
+    docs, folder, seen = documents(spark, sf).select("doc_id", "text"), new_folder(spark, "scan"), []
+    sink = jobs.scan_sink(spark, f"{folder}/out")
+
+    def lost(number):
+        seen.append(number)
+        if number == 1 and seen.count(1) == 1:
+            raise RuntimeError("lost after the commit")
+
+    first = docs.selectExpr("doc_id", "doc_id % 2 as seq", f"if(doc_id % 2 = 0, {_old}, text) as text")
+    for changes in (lambda: first, lambda: docs.selectExpr("doc_id", "cast(2 as bigint) as seq", "text"),
+                    lambda: sink.rows().selectExpr("doc_id", "cast(3 as bigint) as seq", "text")):
+        part = changes()
+        part.write.mode("append").parquet(f"{folder}/in")
+        source = S.stream_source(spark, f"{folder}/in", part.schema, 1_000_000)
+        for _ in range(2):
+            try:
+                jobs.stream_scan(source, f"{folder}/out", f"{folder}/checkpoint", once=True, written=lost).awaitTermination()
+                break
+            except StreamingQueryException:
+                if seen.count(1) > 1:
+                    raise
+    return sink.rows().select("doc_id", "seq", F.md5("text").alias("text_md5"), "status")
 
 
 # --- the chain with the US pack --------------------------------------------------------------

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -19,16 +20,27 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute once what several branches of a plan read; survives the loss of executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Uses the shared checkpoint folder of the cluster.  Without one only a local session, whose executors are the
-    driver itself, gets a folder of its own; a cluster session is an error.
+    Without that setting only a local session, whose executors are the driver itself, gets a folder of its own; a
+    cluster session is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veilwork-"))
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once what several branches of a plan read, in the shared folder; survives the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
