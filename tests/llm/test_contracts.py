@@ -131,6 +131,27 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_warc_of_others(spark, tmp_path):
+    """Packed archives by member, header names in any case, no digest and no payload length; no file is passed over."""
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>\xe2\x98\x83</p>"
+    record = lambda kind, url, block, mime: (f"WARC/1.0\r\nwarc-type: {kind}\r\nWarc-Target-Uri: {url}\r\ncontent-type: {mime}\r\n"
+                                             f"content-length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    records = [record("warcinfo", "", b"software: x", "application/warc-fields"), record("response", "http://a\u00a0", http, "application/http; msgtype=response"),
+               record("resource", "http://b", b"data", "text/plain")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "b.warc").write_bytes(b"".join(records))
+    rows = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    want = [("resource", "http://b", 4, None), ("response", "http://a\u00a0", len("<p>\u2603</p>".encode()), "<p>\u2603</p>"), ("warcinfo", "", 11, None)]
+    assert sorted((r.record_type, r.url, r.payload_bytes, r.payload) for r in rows) == sorted(2 * want)
+    only = warc.read_warc(spark, f"file://{tmp_path}", "record_type string, payload_bytes long").filter(F.col("record_type") == "response")
+    assert [r.payload_bytes for r in only.collect()] == 2 * [len("<p>\u2603</p>".encode())]
+    (tmp_path / "notes.txt").write_text("x")
+    with pytest.raises(Exception, match="no WARC archive"):
+        warc.read_warc(spark, f"file://{tmp_path}").count()
+
+
 def test_warc_reads_by_range(spark):
     pages = spark.range(300).selectExpr("id as page_id", "concat('u', id) as url", "repeat(cast(id as string), 200) as html").coalesce(1)
     path = shared_path(spark, "warc-range")

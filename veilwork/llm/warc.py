@@ -7,7 +7,10 @@ Reading: the driver plans partitions from the index (an archive without one is a
 headers of a record first.  Predicates on the record type and on header fields are pushed down and tested on them; the
 payload of a record that fails, or whose payload no wanted column needs, is skipped with a seek and never decoded.
 
-Archives are reached through Arrow's file systems, so a path may be local, on HDFS or in an object store.
+Archives are reached through Arrow's file systems, so a path may be local, on HDFS or in an object store.  Archives of
+others are read as well: plain ones, and ``.warc.gz`` (one partition each, since their members have no index); header names
+count in any case, and a payload without a length of its own has that of its block.  A file that is no archive is an error,
+never passed over.
 
 Defined results: a null html is an empty payload; a null page id is read back as null; a null url has no target header;
 records with equal payloads and equal smallest ids are all responses; an empty table gives no archive and reads as empty.
@@ -16,6 +19,7 @@ records with equal payloads and equal smallest ids are all responses; an empty t
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -32,9 +36,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from .common import shared_path, stored
 
-FIELDS = {  # column: header field
-    "record_type": "WARC-Type", "record_id": "WARC-Record-ID", "url": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest",
-    "payload_bytes": "WARC-Payload-Length", "refers_to": "WARC-Refers-To",
+FIELDS = {  # column: header field, as names are compared
+    "record_type": "warc-type", "record_id": "warc-record-id", "url": "warc-target-uri", "payload_digest": "warc-payload-digest",
+    "payload_bytes": "warc-payload-length", "refers_to": "warc-refers-to",
 }
 SCHEMA = "page_id long, record_type string, record_id string, url string, payload_bytes long, payload_digest string, refers_to long, payload string"
 ID = "urn:page:"
@@ -115,6 +119,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, path: str, schema, verify: bool):
         self.path, self.columns, self.verify = path, [(f.name, f.dataType.simpleString()) for f in schema.fields], verify
         self.tests: list[tuple[str, str, object]] = []
+        self.wants_length = any(n == "payload_bytes" for n, _ in self.columns)
 
     def pushFilters(self, filters):
         """Take predicates on header columns; the others stay with Spark."""
@@ -131,8 +136,10 @@ class WarcReader(DataSourceReader):
         found = {x.path: x.size for x in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if not posixpath.basename(x.path).startswith("_")}
         out = []
         for name, size in sorted(found.items()):
-            if not name.endswith(".warc"):
+            if name.endswith(".index") and name.removesuffix(".index") in found:
                 continue
+            if not name.endswith((".warc", ".warc.gz")):
+                raise ValueError(f"{name} is no WARC archive")
             marks = [0, size]
             if f"{name}.index" in found:
                 with system.open_input_stream(f"{name}.index") as index:
@@ -157,29 +164,34 @@ class WarcReader(DataSourceReader):
             system, _ = fs.FileSystem.from_uri(self.path)
             with system.open_input_file(partition.file) as raw:
                 raw.seek(partition.start)
-                f = io.BufferedReader(raw, 1 << 18)
+                packed = partition.file.endswith(".gz")
+                f = io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else raw, 1 << 18)
                 at = partition.start
-                while at < partition.end:
+                while packed or at < partition.end:
                     line = f.readline()
+                    if packed and not line:
+                        break
                     at += len(line)
                     if not line.startswith(b"WARC/"):
                         raise ValueError(f"no record at {at - len(line)} of {partition.file}")
                     header: dict[str, str] = {}
-                    while (line := f.readline()) != b"\r\n":
+                    while (line := f.readline()).strip(b"\r\n"):
                         at += len(line)
                         name, _, value = line.decode("utf-8", "surrogatepass").partition(":")
-                        header[name] = value.strip()
-                    length = int(header["Content-Length"])
-                    at += 2 + length + 4
+                        header[name.lower()] = value.strip(" \t\r\n")
+                    length = int(header["content-length"])
+                    at += len(line) + length + 4
                     payload = None
-                    full = header.get("WARC-Type") == "response"
+                    full = header.get("warc-type") == "response"
+                    http = header.get("content-type", "").lower().startswith("application/http")
                     if self._passes(header):
-                        if full and (wants_payload or self.verify):
+                        rest = length + 4
+                        if full and (wants_payload or self.verify or (http and self.wants_length and FIELDS["payload_bytes"] not in header)):
                             block = f.read(length)
-                            payload = block[block.index(b"\r\n\r\n") + 4:]
-                            f.seek(4, io.SEEK_CUR)
-                        else:
-                            f.seek(length + 4, io.SEEK_CUR)
+                            payload = block[block.index(b"\r\n\r\n") + 4:] if http else block
+                            rest = 4
+                        f.seek(rest, io.SEEK_CUR)
+                        header.setdefault(FIELDS["payload_bytes"], str(length if payload is None else len(payload)))
                         rows.append(self._row(header, payload, wants_payload))
                         size += length if payload is not None else 200
                     else:
@@ -192,13 +204,13 @@ class WarcReader(DataSourceReader):
     def _row(self, header: dict[str, str], payload: bytes | None, wants_payload: bool) -> dict:
         number = lambda x: int(x[1 + len(ID):-1]) if x and x != f"<{ID}>" and x.startswith(f"<{ID}") else None
         out = {
-            "page_id": number(header.get("WARC-Record-ID")), "record_type": header.get("WARC-Type"), "record_id": header.get("WARC-Record-ID"),
-            "url": header.get("WARC-Target-URI"), "payload_bytes": int(header.get("WARC-Payload-Length", 0)),
-            "payload_digest": header.get("WARC-Payload-Digest", "").removeprefix("sha1:"), "refers_to": number(header.get("WARC-Refers-To")),
+            "page_id": number(header.get(FIELDS["record_id"])), "record_type": header.get(FIELDS["record_type"]), "record_id": header.get(FIELDS["record_id"]),
+            "url": header.get(FIELDS["url"]), "payload_bytes": int(header[FIELDS["payload_bytes"]]),
+            "payload_digest": header.get(FIELDS["payload_digest"], "").removeprefix("sha1:"), "refers_to": number(header.get(FIELDS["refers_to"])),
         }
         if payload is not None and self.verify:
             found = {"payload_bytes": len(payload), "payload_digest": digest(payload)}
-            if any(out[k] != v for k, v in found.items()):
+            if any(out[k] not in (v, "") for k, v in found.items()):
                 raise ValueError(f"payload of {out['record_id']} does not match its digest")
         if wants_payload:
             out["payload"] = None if payload is None else payload.decode("utf-8", "surrogatepass")
