@@ -606,6 +606,35 @@ def test_near_duplicates(frame, forest):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want)
 
 
+def test_hot_region_loses_no_class(frame):
+    """Copies of one text with changes of their own: whatever fits into a task, the classes are those of brute force."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+
+    def changed(n):
+        out = list(words)
+        for at in rng.sample(range(300), n):
+            out[at] = f"x{rng.randrange(10 ** 6)}"
+        return out
+
+    rows = [words] + [changed(rng.choice([1, 2, 3, 4, 5, 6, 7, 8])) for _ in range(150)]
+    sets = [{tuple(w[i:i + 5]) for i in range(296)} for w in rows]
+    component = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both) and component[i] != component[j]:
+                low, high = sorted((component[i], component[j]))
+                component = [low if c == high else c for c in component]
+    docs = frame([" ".join(w) for w in rows])
+    for forest in (near_dedup.Forest(), near_dedup.Forest(near=4, task_sets=16)):
+        assert {i: r.component_id for i, r in rows_of(near_dedup.near_duplicates(docs, forest), "id").items()} == dict(enumerate(component))
+    for percent, orders in ((85, 24), (80, 36)):
+        first = near_dedup.Forest(percent=percent, orders=orders)
+        s, more = percent / 100, first.deeper()
+        assert (1 - s ** 8) ** (orders + more.orders) <= (1 - s ** 5) ** orders and more.first_order == orders
+
+
 def test_near_duplicates_edges(frame):
     docs = frame(["a b c d e f", "a b c d e f"])
     twice = near_dedup.near_duplicates(docs.union(docs))

@@ -9,8 +9,12 @@ of ``min_depth`` values in an order form a region; neighbours there are candidat
 * a region too large for a task goes one value deeper, up to ``max_depth``;
 * one that is still too large at full depth is cut into blocks, and every pair of blocks is a task, so nothing is lost.
 
-Links are confirmed on full sets: ``100 * intersection >= percent * union``.  No candidate list is capped.  With 24
-orders, a pair at 0.85 misses all regions of depth 5 with probability 1e-6 (and of depth 8 with 5e-4).
+Fewer pairs share a longer prefix, so the sets of a region that went deeper also stand in further orders, of full depth: as
+many as make the chance to miss a pair there no larger than in the first orders at ``min_depth``.  How large a region is
+thus changes the way of the search, not its recall: with 24 orders, a pair at 0.85 misses all regions of depth 5 with
+probability 8e-7, and all of depth 8 in 24 + 21 orders with 6e-7.
+
+Links are confirmed on full sets: ``100 * intersection >= percent * union``.  No candidate list is capped.
 
 Defined results: null or blank text: no shingles, linked with nothing; a text of fewer than five words is one shingle;
 repeated rows are copies of each other; rows that share an id but not the text each take the component of their own
@@ -20,7 +24,8 @@ text; a null id never links.  An empty table gives an empty result; other column
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +48,18 @@ class Forest:
     near: int = 16  # sets in a region whose neighbours are paired directly
     task_sets: int = 2048  # sets and shingles that one task compares
     task_shingles: int = 2_000_000
+    first_order: int = 0  # number of the first order; every order has its own hash functions
 
     def multipliers(self) -> np.ndarray:
-        return mix(np.arange(1, self.orders * self.max_depth + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+        first = self.first_order * self.max_depth + 1
+        return mix(np.arange(first, first + self.orders * self.max_depth, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+
+    def deeper(self) -> "Forest":
+        """Further orders of full depth, for sets whose regions are too large at ``min_depth``."""
+        s = self.percent / 100
+        miss = lambda depth: math.log1p(-s ** depth) if s < 1 else -math.inf
+        needed = math.ceil(self.orders * miss(self.min_depth) / miss(self.max_depth)) if s < 1 else 0
+        return replace(self, orders=max(0, needed - self.orders), min_depth=self.max_depth, first_order=self.first_order + self.orders)
 
 
 def shingle_sets(column: pa.Array):
@@ -105,7 +119,7 @@ def forest_rows(representatives: DataFrame, forest: Forest) -> DataFrame:
             ids, n = b.column(0), b.column(1)
             sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(b.num_rows, forest.orders, forest.max_depth)
             for tree in range(forest.orders):
-                h = np.full(b.num_rows, mix(np.array([tree + 1], np.uint64))[0])
+                h = np.full(b.num_rows, mix(np.array([forest.first_order + tree + 1], np.uint64))[0])
                 keys = []
                 for d in range(forest.max_depth):
                     h = mix(h * U64(0x9E3779B97F4A7C15) + sig[:, tree, d])
@@ -118,10 +132,10 @@ def forest_rows(representatives: DataFrame, forest: Forest) -> DataFrame:
         make, f"id {kind}, n long, " + ", ".join(f"k{d} long" for d in depths))
 
 
-def regions(rows: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]:
-    """Split the forest rows by the size of their region: rows of small ones ``(region, id)``, and rows of large ones
-    ``(region, id)``, each of a size that one task can compare."""
-    small, large = None, []
+def regions(rows: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Split the forest rows by the size of their region: rows of small ones ``(region, id)``, rows of large ones
+    ``(region, id)``, each of a size that one task can compare, and the ids of those too large at ``min_depth``."""
+    small, large, deep = None, [], None
     rest = rows
     for d in range(forest.min_depth, forest.max_depth + 1):
         key = f"k{d}"
@@ -135,6 +149,8 @@ def regions(rows: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]:
         fits = (F.col("m") <= forest.task_sets) & (F.col("w") <= forest.task_shingles)
         large.append(sized.filter(fits).select(F.col(key).alias("region"), F.lit(0).alias("i"), F.lit(0).alias("j"), "id"))
         rest = sized.filter(~fits)
+        if d == forest.min_depth:
+            deep = rest.select("id").distinct()
         if d < forest.max_depth:
             rest = rest.drop("m", "w")
     blocks = F.greatest(F.ceil(F.col("m") / (forest.task_sets // 2)), F.ceil(F.col("w") / (forest.task_shingles // 2))).cast("int")
@@ -146,7 +162,7 @@ def regions(rows: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]:
     out = large[0]
     for x in large[1:]:
         out = out.union(x)
-    return small, out
+    return small, out, deep
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -190,15 +206,27 @@ def links_within(ids: list, sets: list[np.ndarray], percent: int) -> list[tuple]
     return out
 
 
-def links(docs: DataFrame, representatives: DataFrame, forest: Forest, key: str, text: str) -> DataFrame:
-    """Confirmed links ``(a, b)`` between different sets, enough of them to keep every class together."""
-    kind = representatives.schema["id"].dataType.simpleString()
-    small, large = regions(forest_rows(representatives, forest), forest)
+def neighbours(small: DataFrame, forest: Forest) -> DataFrame:
+    """Pairs ``(a, b)`` of sets that stand side by side in a small region, in the order of their longer prefixes."""
     order = Window.partitionBy("region").orderBy(*(f"k{d}" for d in range(forest.min_depth + 1, forest.max_depth + 1)), "id")
     after = F.collect_list("id").over(order.rowsBetween(1, forest.near - 1))
-    pairs = small.select("id", after.alias("next")).select("id", F.explode("next").alias("with")).filter(
+    return small.select("id", after.alias("next")).select("id", F.explode("next").alias("with")).filter(
         F.col("id") != F.col("with")).select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).distinct()
-    pairs, large = stored(pairs, "pairs"), stored(large, "large")
+
+
+def links(docs: DataFrame, representatives: DataFrame, forest: Forest, key: str, text: str) -> DataFrame:
+    """Confirmed links ``(a, b)`` between different sets, enough of them to keep every class together."""
+    kind = representatives.schema["id"].dataType.simpleString()
+    key_of_deep, = fresh(docs.columns, "deep")
+    small, large, deep = regions(forest_rows(representatives, forest), forest)
+    pairs, deeper = neighbours(small, forest), forest.deeper()
+    deep = stored(deep, "deep")
+    if deeper.orders and deep.take(1):
+        again = sketches(docs.join(deep.withColumnRenamed("id", key_of_deep), F.col(f"`{key}`") == F.col(key_of_deep), "left_semi"), deeper, key, text)
+        own = representatives.join(deep, "id", "left_semi").select("id", "digest")
+        small, more, _ = regions(forest_rows(stored(again.join(own, ["id", "digest"]).dropDuplicates(["id", "digest"]), "deeper"), deeper), deeper)
+        pairs, large = pairs.union(neighbours(small, deeper)), large.union(more)
+    pairs, large = stored(pairs.distinct(), "pairs"), stored(large, "large")
     wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct(), "wanted")
 
     def make(batches):
