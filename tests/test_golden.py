@@ -3,7 +3,7 @@
 from veilwork.operators.base_rules import explode_findings, scan_arrays
 import pytest
 
-from veilwork.operators.decide import Policy, finding_rows, redact_corpus, redact_rows, scan_marked
+from veilwork.operators.decide import Policy, finding_rows, redact_corpus, redact_rows, redact_tenants, scan_marked, tenant_masks
 from veilwork.operators.us_rules import RefLists, scan_us_arrays
 from veilwork.plans import flagship
 
@@ -178,7 +178,7 @@ def test_redaction(docs):
 
 def test_redaction_with_the_us_pack(spark, docs):
     texts = ["SSN: 321-54-9876 and Phone: 212-555-1212", "Phone: 212-555-1212", "Phone: 416-555-1212", "none", None]
-    lists = RefLists(area_codes=["212"])
+    lists = RefLists(area_codes=["212"], without=frozenset({"us.address"}))
     trust = Policy(trusted=spark.createDataFrame([("Phone", "none")], "pii_type string, value string"))
     for policy in (Policy(), trust):  # inside the row, and with a joined list
         got = {r.doc_id: r for r in redact_corpus(docs(texts), policy, us=lists).collect()}
@@ -196,6 +196,43 @@ def test_address_needs_its_lists(docs):
     assert [len(got[i]) for i in (0, 1)] == [1, 1]
 
 
+def test_missing_lists_leave_texts_unscanned(spark, docs):
+    texts = ["Phone: 212-555-1212", "a@b.co"]
+    for policy in (Policy(), Policy(trusted=spark.createDataFrame([("Phone", "x")], "pii_type string, value string"))):
+        got = {r.doc_id: (r.redacted, r.status) for r in redact_corpus(docs(texts), policy, us=RefLists(area_codes=["212"])).collect()}
+        assert got == {0: (texts[0], "not_scanned"), 1: (texts[1], "not_scanned")}
+
+
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_lists_as_tables(spark, docs, most):
+    """Suffixes set beside the texts, and suffixes met in a join."""
+    table = [("us.npa", "212 NY"), ("us.npa", "2125"), ("us.npa", "415"), ("usps.suffix", "CV"), ("usps.suffix", "XING"), ("usps.state", "NV"), ("x", "AVE")]
+    lists = RefLists.from_table(spark.createDataFrame(table, "list_id string, record string"))
+    lists.most_in_row = most
+    texts = ["at 12 Oak Grove Cv, Reno, NV 89501", "Address: 5 Oak Xing Apt 5B", "at 12 Oak Ave, Reno, NV 89501", "at 12 Oak Cv, Reno, CA 89501",
+             "Phone: 212-555-1212", "Phone: 416-555-1212", "x 415-555-1212", None, "at 12 Oak Grove Cv, Reno, NV 89501"]
+    df = scan_us_arrays(docs(texts), ["us.phone", "us.address"], lists)
+    got = rows_of(df, "us_findings")
+    assert [[f.canonical for f in got[i]] if texts[i] else [] for i in range(len(texts))] == [
+        ["12 Oak Grove Cv, Reno, NV 89501"], ["5 Oak Xing Apt 5B"], [], [], ["2125551212"], [], ["4155551212"], [], ["12 Oak Grove Cv, Reno, NV 89501"]]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "XING" not in plan and "212 NY" not in plan
+
+
+def test_tenants_in_one_pass(spark, docs):
+    us, kr = "SSN: 321-54-9876", "연락처 010-1234-5678 SSN: 321-54-9876"
+    gates = spark.createDataFrame([("on", "OptedIn", True), ("off", "OptedIn", False), ("late", "OptedIn", True), ("shut", "Unavailable", False)],
+                                  "tenant string, gate string, in_scope boolean")
+    ready = spark.createDataFrame([("on", "us.phone", "Ready"), ("late", "us.phone", "ValidationFailed")], "scope string, detector_id string, state string")
+    rows = [(i, t, x) for i, (t, x) in enumerate((t, x) for t in ("on", "off", "late", "shut", "new") for x in (us, kr))]
+    df = spark.createDataFrame(rows, "doc_id long, tenant string, text string")
+    got = {(r.tenant, r.doc_id % 2): (r.redacted, r.status) for r in redact_tenants(df, tenant_masks(gates, ready), us=RefLists.stand_in()).collect()}
+    hidden = "연락처 [전화번호1] SSN: 321-54-9876"
+    assert got == {("on", 0): (us, "needs_decision"), ("on", 1): (kr, "needs_decision"), ("off", 0): (us, "no_findings"), ("off", 1): (hidden, "protected"),
+                   ("late", 0): (us, "not_scanned"), ("late", 1): (kr, "not_scanned"), ("shut", 0): (us, "not_scanned"), ("shut", 1): (kr, "not_scanned"),
+                   ("new", 0): (us, "no_findings"), ("new", 1): (hidden, "protected")}
+
+
 def test_unsafe_edits_leave_the_text(spark, docs):
     found = "doc_id long, start int, len int, disposition string, alias string"
     texts = ["abc 010-1 def", "abc 010-1 def", "abc 010-1 def", "abc 010-1 def"]
@@ -215,7 +252,7 @@ def test_ambiguous_document_is_kept_back(docs):
 
 
 def test_us_pack_tie_is_held_back(docs):
-    rows = {r.doc_id: r for r in flagship.scan_resolved_us(docs(["SSN: 321-54-9876", "plain"])).collect()}
+    rows = {r.doc_id: r for r in flagship.scan_resolved_us(docs(["SSN: 321-54-9876", "plain"]), RefLists.stand_in()).collect()}
     assert [f.detector_id for f in rows[0].findings] == ["us.ssn"] and not rows[0].ambiguous
     assert rows[1].findings == []
 

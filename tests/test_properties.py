@@ -10,6 +10,7 @@ from veilwork.operators import resolve as R
 from veilwork.operators.base_rules import explode_findings, scan_arrays
 from veilwork.operators.decide import Policy, assign_aliases, decide_rows, redact_corpus, redact_rows, scan_resolved
 from veilwork.operators.fields import field_pattern, label_pattern
+from veilwork.operators.us_rules import RefLists
 from veilwork.functions import dims
 from veilwork.plans import flagship
 
@@ -28,7 +29,7 @@ def fragments(n, seed=7):
 
 def test_spans_are_inside_and_winners_do_not_overlap(docs):
     texts = fragments(300)
-    for df in (scan_resolved(docs(texts)), flagship.scan_resolved_us(docs(texts))):
+    for df in (scan_resolved(docs(texts)), flagship.scan_resolved_us(docs(texts), RefLists.stand_in())):
         for r in df.collect():
             at = 0
             for f in r.findings:
@@ -46,7 +47,7 @@ def test_row_form_equals_column_form(docs):
     assert by_rows.exceptAll(by_columns).count() == 0 and by_columns.exceptAll(by_rows).count() == 0
     us = flagship.us_candidate_rows(df)
     rows = R.resolve_candidates(us).select(*cols)
-    columns = flagship.scan_findings_us(df).select(*cols)
+    columns = flagship.scan_findings_us(df, RefLists.stand_in()).select(*cols)
     assert rows.exceptAll(columns).count() == 0 and columns.exceptAll(rows).count() == 0
 
 

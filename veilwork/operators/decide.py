@@ -229,11 +229,11 @@ def redact_rows(docs: DataFrame, numbered: DataFrame, keys: list[str], text: str
     """Rewrite texts from numbered finding rows.  Documents without findings pass through.
 
     Only the edits travel to the join; the texts are shuffled on the document key once.  Rows may carry
-    ``ambiguous`` (see ``finding_rows``).
+    ``ambiguous`` and ``not_scanned`` (see ``finding_rows``).
     """
     c = F.col
     edit = F.struct("start", "len", c("alias").alias("token"))
-    tied = c("ambiguous") if "ambiguous" in numbered.columns else F.lit(False)
+    mark = lambda name: c(name) if name in numbered.columns else F.lit(False)
     per_doc = (
         numbered.groupBy(*keys)
         .agg(
@@ -241,22 +241,23 @@ def redact_rows(docs: DataFrame, numbered: DataFrame, keys: list[str], text: str
             F.count("start").cast("int").alias("n_candidates"),
             F.count_if(c("disposition") == PROTECT).cast("int").alias("n_protect"),
             F.count_if(c("disposition") == ASK).cast("int").alias("n_pending"),
-            F.max(tied).alias("_tied"),
+            F.max(mark("ambiguous")).alias("_tied"),
+            F.max(mark("not_scanned")).alias("_unread"),
         )
     )
     counts = ["n_candidates", "n_protect", "n_pending"]
-    joined = docs.join(per_doc, keys, "left").fillna(0, counts).fillna(False, "_tied")
+    joined = docs.join(per_doc, keys, "left").fillna(0, counts).fillna(False, ["_tied", "_unread"])
     due = (c("n_protect") > 0) & (c("n_pending") == 0)
     safe = safe_edits(c(text), c("_edits"), c("n_protect"))
     return (
         joined.withColumn("redacted", F.when(due & safe, rewrite(c(text), c("_edits"))).otherwise(c(text)))
-        .withColumn("status", _status(c("_tied"), due & ~safe, *[c(n) for n in counts]))
-        .drop("_edits", "_tied")
+        .withColumn("status", _status(c("_unread"), c("_tied"), due & ~safe, *[c(n) for n in counts]))
+        .drop("_edits", "_tied", "_unread")
     )
 
 
-def _status(ambiguous: Column, unsafe: Column, *counts: Column) -> Column:
-    return F.when(ambiguous, "ambiguous").when(unsafe, "error").otherwise(doc_status(*counts))
+def _status(unread: Column, ambiguous: Column, unsafe: Column, *counts: Column) -> Column:
+    return F.when(unread, "not_scanned").when(ambiguous, "ambiguous").when(unsafe, "error").otherwise(doc_status(*counts))
 
 
 # --- in-row form -----------------------------------------------------------------------------
@@ -349,44 +350,58 @@ def scan_resolved(docs: DataFrame, rules=None, text: str = "text", out: str = "f
     return fence(run_stages(df, [stages], docs.columns, [out]), docs.columns, [out])
 
 
+# columns of a text's tenant: whether the US pack is on for it, and which of the pack's detectors are not ready
+US_ON, US_MISSING = "_us_on", "_us_missing"
+
+
 def scan_resolved_us(docs: DataFrame, lists: RefLists | None = None, detectors=None, text: str = "text",
                      rules=None) -> DataFrame:
-    """Add ``findings`` and ``ambiguous`` with the US pack on, all inside the row.
+    """Add ``findings``, ``ambiguous`` and ``not_scanned`` with the US pack on, all inside the row.
 
-    A document with an unresolvable tie has no findings and is marked, so that callers hold its text back.
+    A document with an unresolvable tie has no findings and is marked ambiguous; one that a detector of the pack should
+    have read but could not is marked as not scanned.  Callers hold both back.  With the columns of ``tenant_masks``
+    each row is scanned by the rules of its tenant, in the same pass.
     """
     keep = docs.columns
+    lists = lists or RefLists()
+    on = F.coalesce(F.col(US_ON), F.lit(False)) if US_ON in keep else F.lit(True)
+    missing = F.lit(bool(lists.not_ready() & set(detectors or lists.not_ready())))
+    if US_MISSING in keep:
+        missing = missing | (F.coalesce(F.size(US_MISSING), F.lit(0)) > 0)
     df = scan_us_arrays(scan_arrays(docs, rules, text), detectors, lists, text)
-    df = df.select(*keep, F.concat("candidates", "us_findings").alias("_both"))
+    unread = on & missing
+    both = F.when(unread, empty(FINDINGS)).when(on, F.concat("candidates", "us_findings")).otherwise(F.col("candidates"))
+    df = df.select(*keep, unread.alias("not_scanned"), both.alias("_both"))
     resolved = remembered(lambda: resolve_candidates_in_row("_w", F.col("_both")), "us_resolved")
-    df = run_stages(df, [resolved], keep, ["_w"])
+    df = run_stages(df, [resolved], [*keep, "not_scanned"], ["_w"])
     # a null text has no candidates and is not a tie
     tied = F.col("_w").isNull() & F.col(text).isNotNull()
-    df = df.select(*keep, tied.alias("ambiguous"), F.coalesce("_w", empty(FINDINGS)).alias("_w"))
+    df = df.select(*keep, "not_scanned", tied.alias("ambiguous"), F.coalesce("_w", empty(FINDINGS)).alias("_w"))
     context = remembered(lambda: adjust_context("findings", text, "_w"), "us_context", text)
-    df = run_stages(df, [context], [*keep, "ambiguous"], ["findings"])
-    return fence(df, keep, ["ambiguous", "findings"])
+    marks = ["not_scanned", "ambiguous"]
+    df = run_stages(df, [context], [*keep, *marks], ["findings"])
+    return fence(df, keep, [*marks, "findings"])
 
 
 def scan_marked(docs: DataFrame, rules=None, us: RefLists | None = None, text: str = "text") -> DataFrame:
-    """Add ``findings`` and ``ambiguous``: the base rules, and the US pack when its lists are given."""
+    """Add ``findings``, ``ambiguous`` and ``not_scanned``: the base rules, and the US pack when its lists are given."""
     if us is None:
-        return scan_resolved(docs, rules, text).withColumn("ambiguous", F.lit(False))
+        return scan_resolved(docs, rules, text).withColumns({"ambiguous": F.lit(False), "not_scanned": F.lit(False)})
     return scan_resolved_us(docs, us, None, text, rules)
 
 
 def finding_rows(scanned: DataFrame, *keys: str) -> DataFrame:
-    """Finding rows of ``scan_marked``; an ambiguous document gives one row without a finding, so that it is not lost."""
-    rows = scanned.select(*keys, "ambiguous", F.inline_outer("findings"))
-    return rows.where(F.col("start").isNotNull() | F.col("ambiguous"))
+    """Finding rows of ``scan_marked``; a document that is held back gives one row without a finding, so that it is not lost."""
+    rows = scanned.select(*keys, "ambiguous", "not_scanned", F.inline_outer("findings"))
+    return rows.where(F.col("start").isNotNull() | F.col("ambiguous") | F.col("not_scanned"))
 
 
 def redact_in_row(docs: DataFrame, settings: dict[str, bool] | None = None, rules=None, text: str = "text",
                   us: RefLists | None = None) -> DataFrame:
     """Scan, decide and rewrite in one narrow pass over the texts, for a policy without lists."""
     keep = docs.columns
-    scanned = scan_marked(docs, rules, us, text).withColumnsRenamed({"findings": "_f", "ambiguous": "_tied"})
-    df = scanned.select(*keep, "_tied", decide_in_row(F.col("_f"), settings or ALL_ON).alias("findings"))
+    scanned = scan_marked(docs, rules, us, text).withColumnsRenamed({"findings": "_f", "ambiguous": "_tied", "not_scanned": "_unread"})
+    df = scanned.select(*keep, "_tied", "_unread", decide_in_row(F.col("_f"), settings or ALL_ON).alias("findings"))
     n = lambda cond: F.size(F.filter("findings", cond))
     df = df.select(
         "*",
@@ -400,12 +415,12 @@ def redact_in_row(docs: DataFrame, settings: dict[str, bool] | None = None, rule
     df = run_stages(df, [remembered(lambda: number_in_row("_edits", "_fired"), "numbers")], cols, ["_edits"])
     df = df.select("*", (due & safe_edits(F.col(text), F.col("_edits"), F.col("n_protect"))).alias("_fire"))
     new_text = memo(lambda: rewrite(F.col(text), F.col("_edits")), "rewrite", text)
-    computed = [c for c in cols if c not in keep and c != "_tied"]
+    computed = [c for c in cols if c not in keep and c not in ("_tied", "_unread")]
     counts = [F.col(c) for c in ("n_candidates", "n_protect", "n_pending")]
     df = df.select(
-        *[c for c in cols if c != "_tied"],
+        *[c for c in cols if c not in ("_tied", "_unread")],
         F.when(F.col("_fire"), new_text).otherwise(F.col(text)).alias("redacted"),
-        _status(F.col("_tied"), due & ~F.col("_fire"), *counts).alias("status"),
+        _status(F.col("_unread"), F.col("_tied"), due & ~F.col("_fire"), *counts).alias("status"),
     )
     return fence(df, keep, [*computed, "redacted", "status"])
 
@@ -425,6 +440,29 @@ def redact_corpus(docs: DataFrame, policy: Policy | None = None, rules=None, key
     return redact_rows(docs, numbered, [key], text).select(*cols)
 
 
+def tenant_masks(gates: DataFrame, readiness: DataFrame) -> DataFrame:
+    """``(tenant, _us_on, _us_missing)`` from ``gates(tenant, gate, in_scope)`` and ``readiness(scope, detector_id, state)``.
+
+    A gate that is unavailable does not switch the pack off, it leaves its texts unread.
+    """
+    missing = readiness.where("state <> 'Ready'").groupBy(F.col("scope").alias("tenant")).agg(F.collect_set("detector_id").alias(US_MISSING))
+    shut = F.when(F.col("gate") == "Unavailable", F.array(F.lit("gate")))
+    return gates.join(missing, "tenant", "left").select(
+        "tenant", (F.col("in_scope") | (F.col("gate") == "Unavailable")).alias(US_ON),
+        F.coalesce(shut, US_MISSING, F.array().cast("array<string>")).alias(US_MISSING))
+
+
+def redact_tenants(docs: DataFrame, masks: DataFrame, policy: Policy | None = None, rules=None, key: str = "doc_id",
+                   text: str = "text", us: RefLists | None = None) -> DataFrame:
+    """Redact the texts of many tenants in one pass, each by its own rules.
+
+    A tenant with the pack off, or without a row in ``masks``, gets the base rules; one whose required lists are missing
+    or invalid gets ``not_scanned`` and unchanged texts, never a clean result.
+    """
+    masked = docs.join(masks.select("tenant", US_ON, US_MISSING), "tenant", "left")
+    return redact_corpus(masked, policy, rules, key, text, us or RefLists()).drop(US_ON, US_MISSING)
+
+
 def protect_all(decided: DataFrame) -> DataFrame:
     """Every pending item becomes protected."""
     d = F.col("disposition")

@@ -66,22 +66,34 @@ MBI_LETTERS = "ACDEFGHJKMNPQRTUVWXY"
 MBI_POSITIONS = "1LADLADLLDD"
 
 
+CODES, STATES, SUFFIXES = "_us_codes", "_us_states", "_us_suffixes"  # columns of list records beside the text
+
+
 @dataclass
 class RefLists:
-    """Reference lists for phone and address.  Records are short codes; their number is bounded by the code space.
+    """Reference lists for phone and address: Python lists, or tables ``(record)`` of any size.
 
-    Without area codes the phone detector is not ready, without suffixes and states the address detector.
+    Without area codes the phone detector is not ready, without suffixes and states the address detector; a text that was
+    not read by a detector that is neither ready nor in ``without`` counts as not scanned.  Rules read the lists from columns (``attach``): area codes are three digits and states two letters, so there are at most 1000 and 676
+    of them; suffixes are counted first, and a long list meets the words of the texts in a join instead.
     """
 
-    area_codes: list[str] = field(default_factory=list)
-    suffixes: list[str] = field(default_factory=list)
-    states: list[str] = field(default_factory=list)
+    area_codes: list[str] | DataFrame = field(default_factory=list)
+    suffixes: list[str] | DataFrame = field(default_factory=list)
+    states: list[str] | DataFrame = field(default_factory=list)
+    without: frozenset[str] = frozenset()  # detectors that are left out knowingly
+    most_in_row: int = 20_000  # suffixes that are set beside every text
+    _has: dict[str, bool] = field(default_factory=dict, repr=False)
 
-    MAX_RECORDS = 10_000
+    def _any(self, name: str) -> bool:
+        if name not in self._has:
+            records = getattr(self, name)
+            self._has[name] = bool(records.take(1) if isinstance(records, DataFrame) else records)
+        return self._has[name]
 
     def not_ready(self) -> set[str]:
-        phone = set() if self.area_codes else {"us.phone"}
-        return phone | (set() if self.suffixes and self.states else {"us.address"})
+        phone = set() if self._any("area_codes") else {"us.phone"}
+        return (phone | (set() if self._any("suffixes") and self._any("states") else {"us.address"})) - self.without
 
     @classmethod
     def stand_in(cls) -> "RefLists":
@@ -93,11 +105,28 @@ class RefLists:
     @classmethod
     def from_table(cls, ref_lists: DataFrame) -> "RefLists":
         """From ``ref_lists(list_id, record)``; an area-code record may carry a jurisdiction after the code."""
-        rows = ref_lists.select("list_id", "record").distinct().limit(3 * cls.MAX_RECORDS + 1).collect()
-        if len(rows) > 3 * cls.MAX_RECORDS:
-            raise ValueError("reference lists are code lists; these are too long")
-        pick = lambda name: sorted(r["record"] for r in rows if r["list_id"] == name)
-        return cls([r[:3] for r in pick("us.npa")], pick("usps.suffix"), pick("usps.state"))
+        pick = lambda name, shape, value=F.col("record"): ref_lists.where(
+            (F.col("list_id") == name) & F.col("record").rlike(shape)).select(value.alias("record")).distinct()
+        return cls(pick("us.npa", "^[0-9]{3}($| )", F.substring("record", 1, 3)), pick("usps.suffix", "."), pick("usps.state", "^[A-Z]{2}$"))
+
+    def attach(self, df: DataFrame, text: str) -> DataFrame:
+        """Add the list columns.  A table's records become a column by a subquery when the scan runs."""
+        def column(records: list[str] | DataFrame) -> Column:
+            if isinstance(records, DataFrame):
+                return F.coalesce(records.agg(F.collect_set("record")).scalar(), empty("array<string>"))
+            return F.array(*map(F.lit, records)).cast("array<string>")
+
+        df = df.select("*", column(self.area_codes).alias(CODES), column(self.states).alias(STATES))
+        if not isinstance(self.suffixes, DataFrame) or self.suffixes.limit(self.most_in_row + 1).count() <= self.most_in_row:
+            return df.select("*", column(self.suffixes).alias(SUFFIXES))
+        # the words that may close a street, by text, narrowed to those of the list; equal texts have equal words
+        after = F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{Nd}}-])[1-9][0-9]{{0,5}}[A-Za-z]? (?=([^\r\n]{{0,210}}))"), F.lit(1))
+        bare = lambda w: ascii_upper(F.regexp_extract(w, "^[0-9A-Za-z.'-]*+", 0))
+        words = F.array_distinct(F.flatten(F.transform(after, lambda x: F.transform(F.slice(F.split(x, " ", 6), 1, 5), bare))))
+        rows = df.select(F.sha2(text, 256).alias("_h"), F.explode(words).alias("record")).distinct()
+        known = rows.join(self.suffixes.select("record"), "record", "left_semi").groupBy("_h").agg(F.collect_set("record").alias(SUFFIXES))
+        joined = df.join(known, F.sha2(text, 256) == F.col("_h"), "left").drop("_h")
+        return joined.withColumn(SUFFIXES, F.coalesce(SUFFIXES, empty("array<string>")))
 
 
 def attempt(detector_id, start, length, evidence, outcome, reason=None, position=None, canonical=None) -> Column:
@@ -636,14 +665,14 @@ def phone_pattern(compact: bool) -> str:
     return rf"{phone_forms(compact)}(?: ?(?i:extension|ext|x) ?([0-9]++){bound}|{bound})"
 
 
-def us_phone(out: str, text: str, fields: str, area_codes: list[str]) -> Stages:
+def us_phone(out: str, text: str, fields: str) -> Stages:
     def national(number: Column) -> Column:
         return F.right(F.regexp_replace(number, "[^0-9]", ""), F.lit(10))
 
     def make(start: Column, whole: Column, number: Column, extension: Column, evidence: int) -> Column:
         n = national(number)
         canonical = F.when(extension != "", F.concat(n, F.lit("x"), extension)).otherwise(n)
-        return F.when(F.substring(n, 1, 3).isin(area_codes), us_finding("us.phone", start, F.length(whole), canonical, whole, evidence, 2))
+        return F.when(F.array_contains(F.col(CODES), F.substring(n, 1, 3)), us_finding("us.phone", start, F.length(whole), canonical, whole, evidence, 2))
 
     def labelled(f: Column) -> Column:
         v, p = trimmed(f), "^" + phone_pattern(True)
@@ -666,16 +695,17 @@ _TOKEN = "[0-9A-Za-z][0-9A-Za-z.'-]{0,39}(?![0-9A-Za-z.'-])"
 _UNIT = " (?i:APT|STE|UNIT) [0-9A-Za-z-]{1,10}(?![0-9A-Za-z-])"
 
 
-def us_address(out: str, text: str, fields: str, lists: RefLists) -> Stages:
+def us_address(out: str, text: str, fields: str) -> Stages:
     """Street addresses under an address label, or complete with city, state and ZIP on one line."""
     head = r"[1-9][0-9]{0,5}(?![0-9])[A-Za-z]?"
     box = "(?:PO Box|(?:RR|HC) [1-9][0-9]{0,3} Box) [0-9A-Za-z-]{1,10}(?![0-9A-Za-z-])"
     sep = "(?:, ?+(?! )| (?! ))"
     city = "[A-Za-z][A-Za-z.'-]{0,39}(?![A-Za-z.'-])"
     rest = (
-        rf"^{sep}{city}(?: {city}){{0,3}}?{sep}(?:{'|'.join(lists.states) or '(?!)'}) [0-9]{{5}}(?:-[0-9]{{4}})?"
+        rf"^{sep}{city}(?: {city}){{0,3}}?{sep}[A-Z]{{2}} [0-9]{{5}}(?:-[0-9]{{4}})?"
         r"(?![\p{L}\p{Nd}-])"
     )
+    listed = lambda tail: F.array_contains(F.col(STATES), F.regexp_extract(tail, "([A-Z]{2}) [0-9]{5}(?:-[0-9]{4})?$", 1))
 
     def street(s: Column) -> Column:
         """Length of the street at the start of ``s`` (with its unit), or NULL."""
@@ -686,7 +716,7 @@ def us_address(out: str, text: str, fields: str, lists: RefLists) -> Stages:
             def through(k: int) -> Column:
                 return lead + F.length(F.array_join(F.slice(tokens, 1, k + 1), " "))
 
-            known = lambda k: ascii_upper(F.get(tokens, F.lit(k))).isin(lists.suffixes)
+            known = lambda k: F.array_contains(F.col(SUFFIXES), ascii_upper(F.get(tokens, F.lit(k))))
             base = F.coalesce(*[F.when(known(k), through(k)) for k in (1, 2, 3, 4)])
             return let(
                 base,
@@ -716,7 +746,7 @@ def us_address(out: str, text: str, fields: str, lists: RefLists) -> Stages:
             lambda n: let(
                 F.regexp_extract(F.substring(s, n + 1, F.length(s)), rest, 0),
                 lambda tail: F.when(
-                    (tail != "") & (n + F.length(tail) <= 160),
+                    (tail != "") & listed(tail) & (n + F.length(tail) <= 160),
                     us_finding(
                         "us.address", m["start"], n + F.length(tail), F.left(s, n + F.length(tail)),
                         F.left(s, n + F.length(tail)), dims.EV_SJP, 2,
@@ -789,7 +819,7 @@ def scan_us_arrays(docs: DataFrame, detectors: list[str] | None = None, lists: R
     unready = lists.not_ready()
     if unready & set(detectors or ()):
         raise ValueError("required detectors are not ready: " + ", ".join(sorted(unready & set(detectors))))
-    chosen = detectors or [d for d in dims.US_DETECTORS if d not in unready]
+    chosen = detectors or [d for d in dims.US_DETECTORS if d not in unready | lists.without]
     chosen = [d for d in chosen if d in dims.US_DETECTORS and dims.DETECTOR_TYPE[d]]
     keep = docs.columns
     inputs = {}
@@ -804,16 +834,17 @@ def scan_us_arrays(docs: DataFrame, detectors: list[str] | None = None, lists: R
     in_lines = any(d in chosen for d in ("us.passport", "us.driver_state_id"))
     if in_lines or "us.bank_account" in chosen:
         inputs["_breaks"] = memo(lambda: line_breaks(text), "breaks", text)
-    df = docs.select("*", *[c.alias(n) for n, c in inputs.items()])
+    listed = lists.attach(docs, text) if {"us.phone", "us.address"} & set(chosen) else docs
+    df = listed.select("*", *[c.alias(n) for n, c in inputs.items()])
     if in_lines:
         df = df.select("*", memo(lambda: jurisdiction_marks(text, F.col("_all")), "marks", text).alias("_marks"))
         df = run_stages(df, [line_numbers("_marked", F.col("_marks"), F.col("_breaks"))], df.columns, ["_marked"])
 
     stages, attempts, found = [], [], []
 
-    def run(names: list[str], out: str, make, *key) -> None:
+    def run(names: list[str], out: str, make) -> None:
         names.append(out)
-        stages.append(remembered(make, "us", out, text, *key))
+        stages.append(remembered(make, "us", out, text))
 
     family = [d for d in chosen if d in TAX]
     if family and (single or len(family) < 3):
@@ -831,15 +862,14 @@ def scan_us_arrays(docs: DataFrame, detectors: list[str] | None = None, lists: R
         "us.i94": lambda o: one_stage(o, i94("_all")),
         "us.driver_state_id": lambda o: driver_state_id(o, text, "_all", "_breaks", "_marked"),
         "us.bank_account": lambda o: bank_account(o, "_all", "_breaks"),
-        "us.phone": lambda o: us_phone(o, text, "_all", lists.area_codes),
-        "us.address": lambda o: us_address(o, text, "_all", lists),
+        "us.phone": lambda o: us_phone(o, text, "_all"),
+        "us.address": lambda o: us_address(o, text, "_all"),
         "us.name": lambda o: us_name(o, text, "_all"),
     }
-    key = (tuple(lists.area_codes or ()), tuple(lists.suffixes), tuple(lists.states))
     for d in chosen:
         if d in makers:
             out = f"_d{d[3:]}"
-            run(found, out, lambda d=d, out=out: makers[d](out), key)
+            run(found, out, lambda d=d, out=out: makers[d](out))
     df = run_stages(df, stages, keep, attempts + found)
     joined = (F.concat(*attempts) if attempts else empty(ATTEMPTS)).cast(ATTEMPTS)
     df = df.select(*keep, *found, joined.alias("us_attempts"))

@@ -36,14 +36,15 @@ def us_candidate_rows(docs: DataFrame, lists: RefLists | None = None, detectors=
 
 def scan_findings_us(docs: DataFrame, lists: RefLists | None = None, detectors=None, key: str = "doc_id",
                      text: str = "text") -> DataFrame:
-    """Finding rows with the US pack on.  Documents held back for a tie are in ``held_back_us``."""
+    """Finding rows with the US pack on.  Documents held back, for a tie or for a missing list, are in ``held_back_us``."""
     return explode_findings(scan_resolved_us(docs, lists, detectors, text), "findings", key)
 
 
 def held_back_us(docs: DataFrame, lists: RefLists | None = None, detectors=None, key: str = "doc_id",
                  text: str = "text") -> DataFrame:
-    """Keys of documents whose findings cannot be told apart; they give no finding rows and are not clean."""
-    return scan_resolved_us(docs, lists, detectors, text).where("ambiguous").select(key)
+    """Keys of documents whose findings cannot be told apart, or that a detector could not read: they give no finding rows
+    and are not clean."""
+    return scan_resolved_us(docs, lists, detectors, text).where("ambiguous or not_scanned").select(key)
 
 
 def decided_conversations(turns: DataFrame, policy: Policy | None = None, rules=None,

@@ -19,7 +19,7 @@ from .decision_queries import SQL as DECISION_SQL
 from .decision_queries import _adjusted_sql, spans
 from .shape import new_folder
 from .texts import case, documents, pad, sql_over, table, text_rows
-from .us_queries import SQL as US_SQL
+from .us_queries import STAND_IN_PHONES
 
 QUERIES, SQL = {}, {}
 
@@ -424,8 +424,7 @@ def stream_scan(spark, sf):
 
 
 # --- the chain with the US pack --------------------------------------------------------------
-_us_phone = US_SQL["scan_us_phone"]
-_us_docs = _us_phone[_us_phone.rindex(" union all ") + 11:]
+_us_docs = STAND_IN_PHONES
 
 
 @query("scan_findings_us", f"""select doc_id, start, len, canonical, risk, pii_type from {_adjusted_sql}
@@ -445,3 +444,22 @@ def redact_corpus_us(spark, sf):
 
     out = redact_corpus(documents(spark, sf), us=RefLists.stand_in())
     return out.select("doc_id", F.md5("redacted").alias("redacted_md5"), "n_candidates", "n_protect", "n_pending", "status")
+
+
+# tenants 0 and 4 have the US pack (4 with a damaged setting), 1 never chose it, 2 switched it off, 3 has a broken list
+@query("redact_tenants", f"""with kr as ({DECISION_SQL["redact_corpus"]}), us as ({SQL["redact_corpus_us"]})
+  select * from kr where doc_id % 5 in (1, 2) union all select * from us where doc_id % 5 in (0, 4)
+  union all select doc_id, md5(text), 0, 0, 0, 'not_scanned' from documents where doc_id % 5 = 3""")
+def redact_tenants(spark, sf):
+    from ..operators.decide import redact_tenants, tenant_masks
+
+    tenants = sql_over(spark, sf, "region", "r_regionkey as tenant")
+    choices = tenants.where("tenant <> 1").selectExpr("tenant", "'activation' as kind", "'On' as state", "1 as revision").unionByName(
+        tenants.where("tenant in (2, 4)").selectExpr("tenant", "'setting' as kind", "if(tenant = 2, 'Off', 'Corrupt') as state", "1 as revision"))
+    states = tenants.selectExpr("tenant as scope", "explode(array('us.npa', 'usps.suffix', 'usps.state')) as list_id").selectExpr(
+        "scope", "list_id", f"if(scope = 3 and list_id = 'us.npa', '{S.LIST_STATES['hash']}', '{S.VALID}') as state")
+    gates = S.country_gate(tenants, choices, tenants.selectExpr("tenant", "true as usable"))
+    masks = tenant_masks(gates, reports.detector_readiness(states))
+    docs = documents(spark, sf).withColumn("tenant", F.col("doc_id") % 5)
+    out = redact_tenants(docs, masks, us=RefLists.stand_in())
+    return out.select("doc_id", F.md5("redacted").alias("redacted_md5"), "n_candidates", "n_protect", "n_pending", "status")

@@ -182,17 +182,39 @@ _ph_text = case(_k, [
     f"'Tel: ' || {_npa} || '.' || {_nxx} || '.' || {_line} || ' ext 42'", f"{_nat}", f"'a' || {_npa} || '-' || {_nxx} || '-' || {_line}",
     f"'+1' || {_nat} || ' ok'", f"{_npa} || ' ' || {_nxx} || '-' || {_line}",
 ])
+# lists as tables: some codes, some suffixes among many others, every second state
+_lists = {
+    "us.npa": ("supplier", "concat(cast(200 + (s_suppkey * 7) % 800 as string), ' NY')"),
+    "usps.suffix": ("part", "case p_partkey when 1 then 'ST' when 2 then 'AVE' else concat('SFX', p_partkey) end"),
+    "usps.state": ("nation", f"substr('{''.join(_codes)}', cast(n_nationkey * 4 + 1 as int), 2)"),
+}
+
+
+def list_tables(spark, sf):
+    parts = [sql_over(spark, sf, t, f"'{li}' as list_id", f"{record} as record") for li, (t, record) in _lists.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_listed = "substr({0}, 1, 3) in (select cast(200 + (s_suppkey * 7) % 800 as varchar) from supplier)"
 QUERIES["scan_us_phone"] = lambda spark, sf: us_rows(
     text_rows(spark, sf, "orders", f"-1 - {_k}", _ph_text).unionByName(documents(spark, sf).select("doc_id", "text")),
-    "us.phone", lists=RefLists.stand_in()).select(*OUT)
+    "us.phone", lists=RefLists.from_table(list_tables(spark, sf))).select(*OUT)
+
+
+def _phones_in_documents(valid: str) -> str:
+    return f"""select doc_id, {O.ints(start='st', len='length(m)')}, right(regexp_replace(m, '[^0-9]', '', 'g'), 10) as canonical,
+   {O.ints(risk=2, conf=3, evidence=2)} from {O.matches("documents", r"\+1 \([2-9][0-9]{2}\) [2-9][0-9]{2}-[0-9]{4}")}
+   where not regexp_matches(prev_c, '[[:alnum:].+-]') and not regexp_matches(next_2, '^([[:alnum:]-]|[.][0-9])')
+     and {valid.format("right(regexp_replace(m, '[^0-9]', '', 'g'), 10)")}"""
+
+
 SQL["scan_us_phone"] = rows_sql("orders", _k, [
     (5, 12, _nat, 2, "true", 2, 3), (7, 10, _nat, 5, "true", 2, 3), (0, 17, _nat, 2, "true", 2, 3),
     (5, 19, f"{_nat} || 'x42'", 5, "true", 2, 3), None, None, (0, 12, _nat, 2, "true", 2, 3), None,
-], _valid.format(_npa)).replace(f"cast({_k} as bigint) as doc_id", f"cast(-1 - {_k} as bigint) as doc_id") + f"""
- union all select doc_id, {O.ints(start='st', len='length(m)')}, right(regexp_replace(m, '[^0-9]', '', 'g'), 10) as canonical,
-   {O.ints(risk=2, conf=3, evidence=2)} from {O.matches("documents", r"\+1 \([2-9][0-9]{2}\) [2-9][0-9]{2}-[0-9]{4}")}
-   where not regexp_matches(prev_c, '[[:alnum:].+-]') and not regexp_matches(next_2, '^([[:alnum:]-]|[.][0-9])')
-     and {_valid.format("right(regexp_replace(m, '[^0-9]', '', 'g'), 10)")}"""
+], _listed.format(_npa)).replace(f"cast({_k} as bigint) as doc_id", f"cast(-1 - {_k} as bigint) as doc_id") + f"""
+ union all {_phones_in_documents(_listed)}"""
+#: numbers in the documents by the numbering-plan rule, for the queries with the stand-in lists
+STAND_IN_PHONES = _phones_in_documents(_valid)
 
 # --- address
 _no = f"cast({_k} % 999 + 1 as string)"
@@ -206,12 +228,22 @@ _addr_text = case(_k, [
     f"'x ' || {_street} || ', New York, ZZ ' || {_zip}", f"'Home Address: Oak Grove'", f"{_street}",
     f"'at ' || {_street} || ' Ste 9 Reno NV ' || {_zip} || '-1234'",
 ])
-QUERIES["scan_us_address"] = lambda spark, sf: us_rows(
-    text_rows(spark, sf, "orders", _k, _addr_text), "us.address", lists=RefLists.stand_in()).select(*OUT)
+
+
+def _addresses(spark, sf):
+    lists = RefLists.from_table(list_tables(spark, sf))
+    lists.most_in_row = 100  # so that the suffixes meet the words of the texts in a join
+    return us_rows(text_rows(spark, sf, "orders", _k, _addr_text), "us.address", lists=lists).select(*OUT)
+
+
+QUERIES["scan_us_address"] = _addresses
+_sfx_ok, _state_ok = f"{_k} % 3 < 2", f"{_state} in (select {_lists['usps.state'][1].replace('cast(n_nationkey * 4 + 1 as int)', '(n_nationkey * 4 + 1)::int')} from nation)"
+_nv_ok = "true" if _codes.index("NV") % 2 == 0 and _codes.index("NV") < 50 else "false"
 SQL["scan_us_address"] = rows_sql("orders", _k, [
     (8, f"length({_full})", _full, 4, "true", 2, 3), (9, f"length({_street}) + 7", f"{_street} || ' Apt 5B'", 5, "true", 2, 3),
     (17, f"length({_no}) + 7", f"'PO Box ' || {_no}", 5, "true", 2, 3), None, None, None,
-    (3, f"length({_street}) + length(' Ste 9 Reno NV ') + 10", f"{_street} || ' Ste 9 Reno NV ' || {_zip} || '-1234'", 4, "true", 2, 3)])
+    (3, f"length({_street}) + length(' Ste 9 Reno NV ') + 10", f"{_street} || ' Ste 9 Reno NV ' || {_zip} || '-1234'", 4, "true", 2, 3)],
+    f"case {_k} % 7 when 0 then {_sfx_ok} and {_state_ok} when 1 then {_sfx_ok} when 6 then {_sfx_ok} and {_nv_ok} else true end")
 
 # --- name
 _first = f"('An' || lower({letter(_k)}))"
