@@ -316,7 +316,7 @@ def test_chunks_change_no_total():
         assert it.decode(ids) == text
 
 
-@pytest.mark.parametrize("cache, run", [(300_000, 1 << 22), (30, 40)])
+@pytest.mark.parametrize("cache, run", [(150_000, 1 << 21), (30, 40)])
 def test_flat_rows_equal_single_segments(monkeypatch, cache, run):
     monkeypatch.setattr(piece_codec, "CACHE", cache)
     monkeypatch.setattr(piece_codec, "RUN_BYTES", run)

@@ -36,8 +36,8 @@ BLANK = "▁"
 SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 _CUT = re.compile(f"(?<=[^{BLANK}]){BLANK}")
 NONE = -(1 << 60)
-CACHE = 300_000  # segments a worker remembers before it forgets the rarer half
-RUN_BYTES = 1 << 22  # text that is segmented at once
+CACHE = 150_000  # segments a task remembers before it forgets the rarer half
+RUN_BYTES = 1 << 21  # text that is segmented at once
 TOGETHER = 32  # segments of up to so many characters are searched together, if many have their length
 _ROLL = np.uint64(0x5851F42D4C957F2D)
 
@@ -399,11 +399,12 @@ _WORKER: dict[tuple, Known] = {}
 
 
 def worker_known(raw: bytes, scores: str) -> Known:
-    """The model and the segments met so far (at most ``CACHE``) of this Python worker, kept from task to task."""
+    """The model of this Python worker, kept from task to task; the segments of the task before are forgotten."""
     key = (hash(raw), scores)
     if key not in _WORKER:
         _WORKER.clear()
         _WORKER[key] = Known(Pieces(raw, scores))
+    _WORKER[key].clear()
     return _WORKER[key]
 
 
@@ -426,6 +427,7 @@ def encode(docs: DataFrame, rules: PieceRules = PieceRules(), key: str = "doc_id
         for (column,) in batches:
             ids, _, fine = known.rows(column, True)
             yield [ids, pc.cast(pc.list_value_length(ids), pa.int64()), pa.array(np.ones(len(ids), np.int64)), pa.array(fine)]
+        known.clear()  # the worker lives on beside those of other stages
 
     short = add_columns(whole, ["text"], outputs, encode_rows, ["id"])
     kind = named.schema["id"].dataType.simpleString()
@@ -455,6 +457,7 @@ def encode(docs: DataFrame, rules: PieceRules = PieceRules(), key: str = "doc_id
                         pa.array([p[3] for p in parts], pa.int64()), pa.array(tables, pa.binary()), middle, pa.array(fine))):
                     values.append(more)
             yield [pa.concat_arrays(values) for values in columns]
+        known.clear()
 
     pieces_ = giant.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(
         cut, f"row long, id {kind}, k long, body string, ahead string").repartition("row", "k")
