@@ -44,6 +44,15 @@ def test_html_table_rows(spark):
     assert [(r.id, r.cells) for r in rows] == [(1, ["&lt; y &copy;", ""])]
 
 
+def test_html_tables_nested_and_unclosed(spark):
+    pages = ["<table><tr><td>a<table><td>in<tr><td>second</table> tail<td>b</table></table></td><table><tr><tr><td>c",
+             "no table </table><td>x</td>", None, "<!-- <table><td>no --><table><th>h</th>between<th>i<script>'<td>'</script></table>" * 2,
+             "<table>" * 3000 + "<td>deep"]
+    got = sorted((r.id, r.table, r.row, r.cells) for r in S.html_tables(spark.createDataFrame(list(enumerate(pages)), "id int, html string"), "id", "html").collect())
+    assert got == [(0, 0, 0, ["a tail", "b"]), (0, 1, 0, ["in"]), (0, 1, 1, ["second"]), (0, 2, 1, ["c"]), (3, 0, 0, ["h", "i"]), (3, 1, 0, ["h", "i"]),
+                   (4, 2999, 0, ["deep"])]
+
+
 def test_required_detectors(spark):
     ready = spark.createDataFrame([("us.ssn", "Ready"), ("us.phone", "NotProvided")], "detector_id string, state string")
     S.require_detectors(["us.ssn"], ready)

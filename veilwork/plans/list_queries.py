@@ -62,6 +62,18 @@ def html_text_source(spark, sf):
     return S.html_cells(table(spark, sf, "pages"), "page_id", "html", ["h1", "li", "p"])
 
 
+_page = ("concat('<table class=x><tr><th>id<th>', url, '</tr><tr><td>', page_id, '</td><td>a &amp; <b>b</b> <table><tr><td>in', page_id % 7, '</table> tail</td></table>', "
+         "html, '</table></td><TABLE><td>z', page_id % 3, '<tr><td><!-- <td> -->y')")
+
+
+@query("html_tables", """with u as (select page_id, 'in' || page_id % 7 as n, 'z' || page_id % 3 as z, trim(url) as url from pages)
+  select page_id, 0 as "table", 0 as row, 'id|' || url as cells from u union all select page_id, 0, 1, page_id || '|a & b tail' from u
+  union all select page_id, 1, 0, n from u union all select page_id, 2, 0, z from u union all select page_id, 2, 1, 'y' from u""")
+def html_tables(spark, sf):
+    pages = sql_over(spark, sf, "pages", "page_id", "url", f"{_page} as html")
+    return S.html_tables(pages, "page_id", "html").select("page_id", "table", "row", F.array_join("cells", "|").alias("cells"))
+
+
 _codes = "".join(dims.JURISDICTION_CODES)
 _loc = f"substr('{_codes}', cast(c_nationkey as int) * 2 + 1, 2)"
 _assigned = ["cast(200 + c_custkey % 800 as string) as NPA_ID", f"{_loc} as LOCATION", "case when c_custkey % 2 = 0 then 'US' else 'CA' end as COUNTRY",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import dims
+from ..functions.spans import Stages, fence, prefix_scan, run_stages, running_max, running_sum
 
 ADDABLE_TYPES = ["Phone", "Email"]
 
@@ -56,20 +57,63 @@ def html_cells(df: DataFrame, key: str, html: str, tags: list[str] = ("td", "th"
     return rows.where(F.col("tag").isNotNull()).withColumn("cell", cell_text(F.col("cell")))
 
 
-def html_table_rows(df: DataFrame, key: str, html: str, index: int) -> DataFrame:
-    """Rows of the ``index``-th table of a page, each as an array of cell texts; other columns are dropped.
+def html_tables(df: DataFrame, key: str, html: str) -> DataFrame:
+    """Rows of all tables of a page: ``(key, table, row, cells)``; other columns are dropped.
 
-    Pages are cut at the tags that open a table, a row and a cell; what follows the closing tag is left out.
-    A page without that table gives no rows.
+    The tags of tables, rows and cells are read once, as an automaton with a stack: the depth of a tag is the number of
+    tables open there, and what stands at one depth belongs to the table that was opened there last.  Tables are numbered
+    by their opening tags, nested ones too, whose text is no part of the cell around them.  A cell ends at the next cell
+    or row of its table, a row at the next row, a table where the page ends, whether they are closed or not; an end tag
+    without a beginning is passed over; cells before the first row form a row.  Comments, scripts and styles are left out.
+    A page without a table gives no rows, nor does a null.
     """
-    def inside(markup: Column, tag: str) -> Column:
-        parts = F.split(markup, rf"(?i)<{tag}(?=[\s>])[^>]*+>")
-        return F.transform(
-            F.slice(parts, 2, F.size(parts)), lambda p: F.get(F.split(p, rf"(?i)</{tag}\s*+>", 2), F.lit(0))
-        )
-
-    rows = df.select(key, F.posexplode(inside(F.get(inside(F.col(html), "table"), F.lit(index)), "tr")).alias("row", "_r"))
-    return rows.select(key, "row", F.transform(inside(F.col("_r"), "t[dh]"), cell_text).alias("cells"))
+    tag = r"(?i)<(/?(?:table|tr|td|th))(?=[\s>/])[^>]*+>"
+    shown = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)", " ")
+    event = "struct<level:int,pos:int,name:string,no:int,text:string>"
+
+    def stages() -> Stages:
+        yield {"_tags": F.transform(F.regexp_extract_all("_shown", F.lit(tag), F.lit(1)), F.lower), "_texts": F.split("_shown", tag, -1)}
+        step = lambda x: F.when(x == "table", 1).when(x == "/table", -1).otherwise(0)
+        yield {"_steps": F.transform("_tags", step), "_opens": F.transform("_tags", lambda x: (x == "table").cast("int"))}
+        yield {"_sum": running_sum(F.col("_steps")), "_no": running_sum(F.col("_opens"))}
+        total = lambda i: F.get("_sum", i) + F.get("_steps", i)
+        # end tags too many leave the depth at nothing: the sum less its lowest value so far
+        yield {"_low": prefix_scan(F.transform("_steps", lambda x, i: total(i)), lambda x, y: F.least(x, y), 0), "_all": F.transform("_steps", lambda x, i: total(i))}
+        depth = lambda i: F.get("_all", i) - F.least(F.lit(0), F.get("_low", i), F.get("_all", i))
+        yield {"_events": F.array_sort(F.transform("_tags", lambda x, i: F.struct(
+            depth(i).cast("int").alias("level"), i.alias("pos"), x.alias("name"), F.get("_no", i).alias("no"), F.get("_texts", i + 1).alias("text")).cast(event)))}
+        is_ = lambda *names: lambda x: x["name"].isin(*names)
+        mark = lambda test: F.transform("_events", lambda x, i: F.when(test(x), i).otherwise(F.lit(-1)))
+        count = lambda test: F.transform("_events", lambda x: test(x).cast("int"))
+        yield {"_mt": mark(is_("table")), "_mr": mark(is_("table", "tr")), "_mc": mark(is_("table", "tr", "td", "th", "/td", "/th", "/tr")),
+               "_nr": count(is_("tr")), "_nc": count(is_("td", "th"))}
+        yield {"_t": running_max(F.col("_mt")), "_r": running_max(F.col("_mr")), "_c": running_max(F.col("_mc")),
+               "_rows": running_sum(F.col("_nr")), "_cells": running_sum(F.col("_nc"))}
+        last = lambda found, marks, i: F.greatest(F.get(found, i), F.get(marks, i))
+
+        def piece(x: Column, i: Column) -> Column:
+            table, row, state = last("_t", "_mt", i), last("_r", "_mr", i), last("_c", "_mc", i)
+            upto = lambda sums, ones, j: F.get(sums, j) + F.get(ones, j)
+            number = upto("_rows", "_nr", i) - F.get("_rows", table)  # 0: before the first row tag of the table
+            cell = upto("_cells", "_nc", i) - upto("_cells", "_nc", row)
+            inside = (x["level"] > 0) & (table >= 0) & F.get("_events", state)["name"].isin("td", "th")
+            return F.when(inside, F.struct(F.get("_events", table)["no"].alias("table"), number.alias("row"), cell.alias("cell"), x["pos"].alias("pos"), x["text"].alias("text")))
+
+        yield {"_pieces": F.filter(F.transform("_events", piece), lambda x: x.isNotNull())}
+
+    pieces = run_stages(df.select(F.col(key), shown.alias("_shown")), [stages()], [key], ["_pieces"])
+    rows = fence(pieces, [key], ["_pieces"]).select(key, F.inline("_pieces"))
+    cells = rows.groupBy(key, "table", "row", "cell").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("markup"))
+    rows = cells.groupBy(key, "table", "row").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("cell", cell_text(F.col("markup")).alias("text")))), lambda x: x["text"]).alias("cells"))
+    first = F.min("row").over(Window.partitionBy(key, "table"))
+    return rows.select(key, "table", (F.col("row") - F.when(first == 0, 0).otherwise(1)).alias("row"), "cells")
+
+
+def html_table_rows(df: DataFrame, key: str, html: str, index: int) -> DataFrame:
+    """``(key, row, cells)`` of the ``index``-th table of each page; a page without that table gives no rows."""
+    return html_tables(df, key, html).where(F.col("table") == index).select(key, "row", "cells")
 
 
 # --- reference lists -------------------------------------------------------------------------
