@@ -6,6 +6,7 @@ import pytest
 from veilwork.operators.decide import Policy, finding_rows, redact_corpus, redact_rows, redact_tenants, scan_marked, tenant_masks
 from veilwork.operators.us_rules import RefLists, scan_us_arrays
 from veilwork.plans import flagship
+from veilwork.plans.decision_queries import user_rule_set
 
 # text -> detector|canonical|start:len|confidence, in detector order
 BASE = [
@@ -260,3 +261,17 @@ def test_us_pack_tie_is_held_back(docs):
 def test_explode_keeps_every_finding(docs):
     df = scan_arrays(docs([t for t, _ in BASE]))
     assert explode_findings(df, "candidates", "doc_id").count() == sum(len(w) for _, w in BASE)
+
+
+def test_rules_of_the_user(spark, docs):
+    rules = user_rule_set()
+    texts = ["TKT-000123 and 010-1234-5678, TKT-000124 TKT-000123 TKT-000100", "Note-4 note-4 host-x", "host-x a@b.co", None, ""]
+    want = ["[티켓1] and [전화번호1], [티켓2] [티켓1] TKT-000100", "[메모1] [메모1] [메모2]", "host-x [이메일1]", None, ""]
+    trust = Policy(trusted=spark.createDataFrame([("Ticket", "TKT-000124")], "pii_type string, value string"), renderer=rules.render)
+    assert [r.redacted for r in sorted(redact_corpus(docs(texts), Policy(renderer=rules.render), rules).collect())] == want
+    want[0] = "[티켓1] and [전화번호1], TKT-000124 [티켓1] TKT-000100"
+    assert [r.redacted for r in sorted(redact_corpus(docs(texts), trust, rules).collect())] == want
+    for wrong in (lambda: rules.type("Phone", "x"), lambda: rules.pattern("kr.phone", "Ticket", "x"), lambda: rules.pattern("my.x", "Nothing", "x"),
+                  lambda: rules.pattern("No Id", "Ticket", "x")):
+        with pytest.raises(ValueError):
+            wrong()

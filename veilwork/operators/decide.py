@@ -10,6 +10,7 @@ findings cannot be told apart (US pack) stays as it is, with status ``ambiguous`
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +52,7 @@ class Policy:
     exceptions: DataFrame | None = None
     user_exceptions: DataFrame | None = None
     settings: dict[str, bool] = field(default_factory=lambda: dict(ALL_ON))
+    renderer: Callable[[Column, Column], Column] = dims.alias_token  # type and number to a placeholder
 
     def has_lists(self) -> bool:
         return any(df is not None for df in (self.trusted, self.exceptions, self.user_exceptions))
@@ -131,7 +133,7 @@ def decide_rows(findings: DataFrame, policy: Policy) -> DataFrame:
     return user_exception_match(df, policy.user_exceptions)
 
 
-def assign_aliases(decided: DataFrame, scope: str = "doc_id") -> DataFrame:
+def assign_aliases(decided: DataFrame, scope: str = "doc_id", renderer: Callable[[Column, Column], Column] = dims.alias_token) -> DataFrame:
     """Number distinct protected values per type by first appearance; repeats share the number.
 
     For a scope that is one document.  A scope of many rows goes through ``assign_aliases_over``.
@@ -143,12 +145,13 @@ def assign_aliases(decided: DataFrame, scope: str = "doc_id") -> DataFrame:
     return (
         decided.withColumn("_first", first)
         .withColumn("alias_no", F.when(named, rank))
-        .withColumn("alias", dims.alias_token(F.col("pii_type"), F.col("alias_no")))
+        .withColumn("alias", renderer(F.col("pii_type"), F.col("alias_no")))
         .drop("_first")
     )
 
 
-def assign_aliases_over(decided: DataFrame, scope: str, position: str, width: int = 1024) -> DataFrame:
+def assign_aliases_over(decided: DataFrame, scope: str, position: str, width: int = 1024,
+                        renderer: Callable[[Column, Column], Column] = dims.alias_token) -> DataFrame:
     """``assign_aliases`` for a scope of any number of rows, such as a conversation.
 
     ``position`` orders the rows of a scope (whole numbers).  Distinct values are found by a
@@ -179,7 +182,7 @@ def assign_aliases_over(decided: DataFrame, scope: str, position: str, width: in
     out = decided.join(numbers, [scope, "pii_type", "canonical"], "left")
     return (
         out.withColumn("alias_no", F.when(named, F.col("_number")))
-        .withColumn("alias", dims.alias_token(F.col("pii_type"), F.col("alias_no")))
+        .withColumn("alias", renderer(F.col("pii_type"), F.col("alias_no")))
         .drop("_number")
     )
 
@@ -276,7 +279,7 @@ def decide_in_row(findings: Column, settings: dict[str, bool]) -> Column:
     return F.transform(findings, one)
 
 
-def number_in_row(out: str, decided: str) -> Stages:
+def number_in_row(out: str, decided: str, renderer: Callable[[Column, Column], Column] = dims.alias_token) -> Stages:
     """Edits with placeholders for the protected findings of one document, sorted by start.
 
     Sorting by value finds each value's first place; sorting by first place numbers the values.
@@ -329,7 +332,7 @@ def number_in_row(out: str, decided: str) -> Stages:
                 lambda x, i: F.struct(
                     x["start"].alias("start"),
                     x["len"].alias("len"),
-                    dims.alias_token(
+                    renderer(
                         x["pii_type"], at(c, i) + at(w, i) - F.greatest(at(bm, i), at(b, i))
                     ).alias("token"),
                 ),
@@ -397,7 +400,7 @@ def finding_rows(scanned: DataFrame, *keys: str) -> DataFrame:
 
 
 def redact_in_row(docs: DataFrame, settings: dict[str, bool] | None = None, rules=None, text: str = "text",
-                  us: RefLists | None = None) -> DataFrame:
+                  us: RefLists | None = None, renderer: Callable[[Column, Column], Column] = dims.alias_token) -> DataFrame:
     """Scan, decide and rewrite in one narrow pass over the texts, for a policy without lists."""
     keep = docs.columns
     scanned = scan_marked(docs, rules, us, text).withColumnsRenamed({"findings": "_f", "ambiguous": "_tied", "not_scanned": "_unread"})
@@ -412,7 +415,7 @@ def redact_in_row(docs: DataFrame, settings: dict[str, bool] | None = None, rule
     due = (F.col("n_protect") > 0) & (F.col("n_pending") == 0)
     cols = df.columns
     df = df.select("*", F.when(due, F.col("findings")).otherwise(F.slice("findings", 1, 0)).alias("_fired"))
-    df = run_stages(df, [remembered(lambda: number_in_row("_edits", "_fired"), "numbers")], cols, ["_edits"])
+    df = run_stages(df, [remembered(lambda: number_in_row("_edits", "_fired", renderer), "numbers", renderer)], cols, ["_edits"])
     df = df.select("*", (due & safe_edits(F.col(text), F.col("_edits"), F.col("n_protect"))).alias("_fire"))
     new_text = memo(lambda: rewrite(F.col(text), F.col("_edits")), "rewrite", text)
     computed = [c for c in cols if c not in keep and c not in ("_tied", "_unread")]
@@ -434,9 +437,9 @@ def redact_corpus(docs: DataFrame, policy: Policy | None = None, rules=None, key
     policy = policy or Policy()
     cols = docs.columns + ["redacted", "n_candidates", "n_protect", "n_pending", "status"]
     if not policy.has_lists():
-        return redact_in_row(docs, policy.settings, rules, text, us).select(*cols)
+        return redact_in_row(docs, policy.settings, rules, text, us, policy.renderer).select(*cols)
     rows = finding_rows(scan_marked(docs, rules, us, text), key)
-    numbered = assign_aliases(decide_rows(rows, policy), key)
+    numbered = assign_aliases(decide_rows(rows, policy), key, policy.renderer)
     return redact_rows(docs, numbered, [key], text).select(*cols)
 
 
@@ -505,7 +508,8 @@ def resolve_decisions(docs: DataFrame, decided: DataFrame, decisions: DataFrame,
 # --- release after review --------------------------------------------------------------------
 
 
-def release_decisions(docs: DataFrame, decided: DataFrame, decisions: DataFrame, key: str = "doc_id") -> DataFrame:
+def release_decisions(docs: DataFrame, decided: DataFrame, decisions: DataFrame, key: str = "doc_id",
+                      renderer: Callable[[Column, Column], Column] = dims.alias_token) -> DataFrame:
     """Settle reviewed texts: ``(key, redacted, text_sha256, n_protect, n_pending, n_kept, status)`` of each text with an item to decide.
 
     A text is released as a whole or not at all.  ``waiting``: an item is not settled, or was settled for another version
@@ -528,7 +532,7 @@ def release_decisions(docs: DataFrame, decided: DataFrame, decisions: DataFrame,
     asked = mine.where(c("disposition") == ASK).select(key, "start", "detector_id").withColumn("_asked", F.lit(True))
     kept = settled.join(asked, [key, "start", "detector_id"]).where(c("disposition") == BYPASS).groupBy(key).agg(
         F.count("*").cast("int").alias("n_kept"))
-    out = redact_rows(wait, assign_aliases(settled, key), [key])
+    out = redact_rows(wait, assign_aliases(settled, key, renderer), [key])
     out = out.join(kept, key, "left").join(stray, key, "left").fillna(0, ["n_kept"])
     status = (
         F.when(c("_stray"), "stale").when(c("status").isin("ambiguous", "error"), c("status"))

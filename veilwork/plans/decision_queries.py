@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -10,6 +12,7 @@ from ..operators import decide as J
 from ..operators import joins, reports, us_rules
 from ..operators import resolve as R
 from ..operators.base_rules import explode_findings, scan_arrays, scan_rule
+from ..operators.user_rules import RuleSet
 from ..sources import sinks
 from . import flagship
 from . import oracle as O
@@ -530,3 +533,35 @@ def _with_values(spark, sf):
 def redact_conversations(spark, sf):
     return flagship.redact_conversations(_with_values(spark, sf)).select(
         "conv_id", "turn", F.md5("redacted").alias("redacted_md5"), "status")
+
+
+def _tickets(text: str):
+    return [(m.start(), len(m[0]), m[0].lower()) for m in re.finditer("[Nn]ote-[0-9]", text)]
+
+
+def user_rule_set() -> RuleSet:
+    """Two types of a user's own, one found by a pattern and one by a function; of hosts and addresses the address stays."""
+    rules = RuleSet()
+    rules.type("Ticket", "티켓")
+    rules.type("Note", "메모")
+    rules.pattern("my.ticket", "Ticket", r"TKT-[0-9]{6}(?![0-9])", valid=lambda x: ~x.endswith("00"))
+    rules.pattern("my.host", "Note", "host-[a-z]+")
+    rules.python("my.note", "Note", _tickets)
+    rules.arbiter(["my.host", "global.email"], lambda found: F.filter(
+        found, lambda f: (f["detector_id"] == "global.email") | ~F.exists(found, lambda g: g["detector_id"] == "global.email")))
+    return rules
+
+
+_user_text = """concat('see TKT-', lpad(cast(o_orderkey % 1000 as string), 6, '0'), ', TKT-', lpad(cast(o_orderkey % 3 as string), 6, '0'), ' Note-1 note-1 note-', o_orderkey % 5,
+   ' host-a', if(o_orderkey % 2 = 0, ' a@b.co', ''))"""
+
+
+@query("user_rules", """with k as (select o_orderkey as doc_id, o_orderkey % 1000 as a, o_orderkey % 3 as b, o_orderkey % 5 as n, o_orderkey % 2 = 0 as mail from orders),
+  t as (select *, a % 100 <> 0 as first, b <> 0 as second from k)
+  select doc_id, 'see ' || case when first then '[티켓1]' else 'TKT-' || lpad(a::varchar, 6, '0') end || ', ' ||
+    case when second then '[티켓' || case when first and a <> b then 2 else 1 end || ']' else 'TKT-000000' end || ' [메모1] [메모1] [메모' || case when n = 1 then 1 else 2 end || '] ' ||
+    case when mail then 'host-a [이메일1]' else '[메모' || case when n = 1 then 2 else 3 end || ']' end as redacted from t""")
+def user_rules(spark, sf):
+    rules = user_rule_set()
+    docs = text_rows(spark, sf, "orders", "o_orderkey", _user_text)
+    return J.redact_corpus(docs, J.Policy(renderer=rules.render), rules).select("doc_id", "redacted")

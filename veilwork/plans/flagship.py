@@ -50,9 +50,10 @@ def held_back_us(docs: DataFrame, lists: RefLists | None = None, detectors=None,
 def decided_conversations(turns: DataFrame, policy: Policy | None = None, rules=None,
                           us: RefLists | None = None) -> DataFrame:
     """Numbered finding rows of conversations: a value keeps its number across all turns of its conversation."""
+    policy = policy or Policy()
     rows = finding_rows(scan_marked(turns, rules, us), "conv_id", "turn")
     # numbering reads the rows three times; the texts must be scanned once, and raw surfaces are not written
-    return assign_aliases_over(materialize(decide_rows(rows, policy or Policy()).drop("surface")), "conv_id", "turn")
+    return assign_aliases_over(materialize(decide_rows(rows, policy).drop("surface")), "conv_id", "turn", renderer=policy.renderer)
 
 
 def redact_conversations(turns: DataFrame, policy: Policy | None = None, rules=None,
