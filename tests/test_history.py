@@ -51,3 +51,22 @@ def test_asof_ties_and_nulls(spark):
     changes = spark.createDataFrame([("a", 5, "y"), ("a", 5, "x"), ("a", 1, None), (None, 2, "n"), ("b", 2, "late")], "k string, ts long, s string")
     got = {r.e: r.s for r in joins.asof_source_join(events, changes, "k", "ts", "s").collect()}
     assert got == {1: "y", 2: None, 3: "n", 4: None}
+
+
+def test_records_of_a_long_cluster(spark):
+    """Greedy pairs by first and second field, against the plain loop over 4000 linked fields."""
+    rng = random.Random(6)
+    at, rows = 0, []
+    for _ in range(4000):
+        at += rng.randrange(1, 40)
+        rows.append((rng.choice("AB"), at))
+    pairs = sorted((a, b) for i, (r, a) in enumerate(rows) for s, b in rows[i + 1:i + 60] if r != s and b - a <= 64)
+    used, want = set(), []
+    for a, b in pairs:
+        if not {a, b} & used:
+            used |= {a, b}
+            want.append((a, b))
+    fields = spark.createDataFrame([(1, r, a, a, 0, 0) for r, a in rows], "doc_id long, role string, label_start int, val_start int, val_len int, line int")
+    docs = spark.createDataFrame([(1, " " * (at + 1))], "doc_id long, text string")
+    got = joins.group_logical_records(fields, docs, "A", "B", distance=64, barrier=False).collect()
+    assert sorted((min(r.a_start, r.b_start), max(r.a_start, r.b_start)) for r in got) == want

@@ -134,7 +134,9 @@ def group_logical_records(fields: DataFrame, docs: DataFrame, role_a: str, role_
 def _group_without_barrier(fields, docs, role_a, role_b, distance, key, text) -> DataFrame:
     """Pairs within the distance, chosen greedily: a band join on position buckets, then a fold per cluster.
 
-    A cluster is a stretch of fields without a gap wider than the distance; pairs never cross clusters.
+    A cluster is a stretch of fields without a gap wider than the distance; pairs never cross clusters.  Pairs come in the
+    order of their first field, so one can only share a field with pairs that began within the distance before it: the
+    fold looks back over that many, however long the cluster is.
     """
     f = fields.where(F.col("role").isin(role_a, role_b)).select(
         key, "role", "line", "label_start", (F.col("val_start") + F.col("val_len")).alias("stop")
@@ -156,11 +158,12 @@ def _group_without_barrier(fields, docs, role_a, role_b, distance, key, text) ->
     ).drop(text).unionByName(pairs.where(~same))
     pair = "struct<a:int,b:int,first_role:string,la:int,lb:int,stop:int>"
     arr = f"array<{pair}>"
+    recent = lambda acc: F.slice(acc, F.greatest(F.size(acc) - distance, F.lit(1)), F.lit(distance + 1))
     chosen = F.aggregate(
         F.array_sort("ps"),
         empty(arr),
         lambda acc, p: F.when(
-            F.exists(acc, lambda q: (q["a"] == p["a"]) | (q["b"] == p["b"]) | (q["a"] == p["b"]) | (q["b"] == p["a"])), acc
+            F.exists(recent(acc), lambda q: (q["a"] == p["a"]) | (q["b"] == p["b"]) | (q["a"] == p["b"]) | (q["b"] == p["a"])), acc
         ).otherwise(F.array_append(acc, p)).cast(arr),
     )
     grouped = checked.groupBy(key, "_cluster").agg(

@@ -344,6 +344,22 @@ def group_logical_records(spark, sf):
         "doc_id", "a_start", "b_start", "first_line", "last_line")
 
 
+_free_text = case(_k, [
+    f"'Routing Number: 1' || {_v} || chr(10) || 'Email: e | Account Number: 2' || {_v}", f"'Routing Number: 1' || {_v} || ' | Email: e | Account Number: 2' || {_v}",
+    f"'Routing Number: 1' || {_v} || chr(10) || 'Routing Number: 3' || {_v} || ' ; Account Number: 2' || {_v} || chr(10) || 'Account Number: 4' || {_v}",
+])
+
+
+@query("group_records_across_fields", " union all ".join(
+    f"select o_orderkey as doc_id, {O.ints(a_start=a, b_start=b, first_line=first, last_line=first + 1)} from orders where {_k} % 3 = {form}"
+    for form, a, b, first in ((0, "0", f"29 + {_lv}", 0), (2, "0", f"38 + 2 * {_lv}", 0), (2, f"18 + {_lv}", f"56 + 3 * {_lv}", 1))))
+def group_records_across_fields(spark, sf):
+    docs = text_rows(spark, sf, "orders", _k, _free_text)
+    fields = D.field_rows(docs, dims.ALL_LABELS)
+    return joins.group_logical_records(fields, docs, "bank.routing", "bank.generic", barrier=False).select(
+        "doc_id", "a_start", "b_start", "first_line", "last_line")
+
+
 @query("pair_adjacent_fields", _bank_rows.replace(f"{O.ints(risk=3, conf=3, evidence=1)}", "false as paired").replace(
     f"{O.ints(risk=3, conf=3, evidence=6)}", "true as paired"))
 def pair_adjacent_fields(spark, sf):
