@@ -8,14 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+MOST_SPREAD = 32  # partitions of a scan up to which its rows may be dealt anew
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a table of fewer files than cores one partition per core.
+    """Give a small table, which often is one row group that one task would read alone, one partition per core.
 
-    A small file often is a single row group, which one task would read and scan alone.  A table of
-    many files already has enough partitions and is left as it is, so large texts are never shuffled.
+    A scan of ``MOST_SPREAD`` partitions or more (4 GB at Spark's own size of a partition) is left as it is, so the texts
+    of a large table are never shuffled, however many cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if df.rdd.getNumPartitions() >= min(cores, MOST_SPREAD):
         return df
     return df.repartition(cores, *keys)
 
