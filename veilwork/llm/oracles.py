@@ -84,7 +84,7 @@ again as (select doc_id, count(distinct k) as r from (
           group by 1),
 base as (select v.*, coalesce(r, 0) as r, n < 10 or 100 * coalesce(r, 0) > 20 * n as failed from v left join again using (doc_id)),
 langs as (select lang, sum(n) as n from base group by 1),
-judged as (select lang, n from langs where n >= greatest(1, 0.005 * (select sum(n) from langs))),
+judged as (select lang, n from langs where n >= 1),
 class_ref as (select lang, list(s / t order by k) as q from (
                 select lang, k, s, sum(s) over (partition by lang) as t from (
                   select lang, k, sum(x)::double as s from (select lang, unnest(c) as x, generate_subscripts(c, 1) as k from base) group by 1, 2))
@@ -99,14 +99,16 @@ mine as (select b.doc_id, b.n, c.x, coalesce(k.m, 0) as m from base b join commo
 mine_all as (select doc_id, list_append(list(m / n order by x), (n - sum(m)) / n) as p from mine group by doc_id, n),
 far as (select b.*,
           case when length(t) >= 200 and j.n is not null then {_js("list_transform(c, lambda y: y / length(t))", "cr.q")} end as cd,
-          case when b.n >= 100 and j.n is not null then {_js("coalesce(p, [1.0])", "wr.q")} end as wd
+          case when b.n >= 100 and j.n is not null then {_js("coalesce(p, [1.0])", "wr.q")} end as wd,
+          coalesce(p, [1.0])[-1] as mine_rest, wr.q[-1] as rest
         from base b left join judged j on b.lang = j.lang left join class_ref cr on j.lang = cr.lang
         left join word_ref wr on j.lang = wr.lang left join mine_all a on a.doc_id = b.doc_id)
 select doc_id, cast(n as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
        cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
        cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(r as bigint) as n_repeat_words, failed as base_failed,
        round(cd, 6) as class_distance, round(wd, 6) as word_distance,
-       not failed and coalesce(cd, 0) <= 0.33 and coalesce(wd, 0) <= 0.5 as kept
+       not failed and coalesce(cd, 0) <= 0.33 and coalesce(wd, 0) <= case when 1 - mine_rest < (1 - rest) / 2 and n * (1 - rest) >= 20
+         then least(0.5, 0.85 * sqrt((log2(2 / (1 + rest)) + (1 - rest) + case when rest > 0 then rest * log2(2 * rest / (1 + rest)) else 0 end) / 2)) else 0.5 end as kept
 from far
 """
 
