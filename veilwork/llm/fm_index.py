@@ -6,8 +6,9 @@ suffixes that start with a numbered word are sorted by prefix doubling, their Bu
 wavelet matrix, and all phrases are searched backwards at once through its ranks.  Occurrences are located by walking
 to the next sampled suffix position, and the spans of a document are merged.
 
-The benchmark is read in blocks of at most ``block_words`` words, each a broadcast of a known size bound; every block
-is searched in every shard.  Words are told apart by 64-bit hashes of their bytes.
+The benchmark is cut into blocks of at most ``block_words`` words.  One block is a broadcast, whose size that bounds.  More
+are built by tasks and written to the shared folder; a shard is then searched for one block after another, so a task
+holds one of them, however large the benchmark is.  Words are told apart by 64-bit hashes of their bytes.
 
 Defined results: null texts and texts without words are hit by nothing and have no windows; a benchmark item shorter
 than the window is one window; items with equal texts are both named; a null item id is named by the empty string;
@@ -16,7 +17,9 @@ repeated documents are each searched; empty tables give empty results; other col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER_WORDS, LOWER, add_columns, byte_runs, byte_words, fresh, range_hashes
+from .common import LETTER_WORDS, LOWER, add_columns, byte_runs, byte_words, fresh, range_hashes, shared_path
 
 
 @dataclass(frozen=True)
@@ -168,6 +171,8 @@ class FMIndex:
 class Phrases:
     """Windows of one block of the benchmark, each with the items it stands in."""
 
+    ARRAYS = ("vocabulary", "lengths", "symbols", "owners", "owner_at")
+
     def __init__(self, ids: list[str], column: pa.Array, window: int):
         words = [h for h, _, _ in word_rows(column)]
         self.vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
@@ -186,6 +191,19 @@ class Phrases:
         self.owners = np.array([i for v in found.values() for i in v], np.int64)
         self.owner_at = np.concatenate([[0], np.cumsum([len(v) for v in found.values()])]).astype(np.int64)
 
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, ids=np.frombuffer(json.dumps(self.ids).encode(), np.uint8), **{n: getattr(self, n) for n in self.ARRAYS})
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, raw: bytes) -> "Phrases":
+        self, arrays = cls.__new__(cls), np.load(io.BytesIO(raw), allow_pickle=False)
+        self.ids = json.loads(arrays["ids"].tobytes())
+        for n in cls.ARRAYS:
+            setattr(self, n, arrays[n])
+        return self
+
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Symbols of words; 0 for a word that the block does not contain."""
         if not len(self.vocabulary):
@@ -238,11 +256,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def blocks(items: DataFrame, rule: Contamination, key: str, text: str) -> Iterator[Phrases]:
-    """The benchmark in blocks of about ``block_words`` words, one on the driver at a time.
+def blocks(items: DataFrame, rule: Contamination, key: str, text: str) -> tuple[int, Callable[[int], Phrases]]:
+    """The benchmark in blocks of about ``block_words`` words: their number, and a function that gives one in a task.
 
     Long items are cut into overlapping pieces first, so that no block outgrows its bound.
     """
+    spark = items.sparkSession
     named = items.select(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def cut(batches):
@@ -259,59 +278,81 @@ def blocks(items: DataFrame, rule: Contamination, key: str, text: str) -> Iterat
     pieces = named.mapInArrow(cut, "id string, text string")
     size = pieces.agg(F.sum(F.length("text"))).first()[0] or 0
     n = size // (rule.block_words * 4) + 1
-    for b in range(n):
-        rows = pieces.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b).toArrow() if n > 1 else pieces.toArrow()
-        yield Phrases(rows["id"].to_pylist(), rows["text"].combine_chunks(), rule.window)
+    if n == 1:
+        rows = pieces.toArrow()  # at most one block
+        only = spark.sparkContext.broadcast(Phrases(rows["id"].to_pylist(), rows["text"].combine_chunks(), rule.window))
+        return 1, lambda k: only.value
+
+    folder, window = shared_path(spark, "phrases"), rule.window
+
+    def write(group: pa.Table) -> pa.Table:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        block = Phrases(group["id"].to_pylist(), group["text"].combine_chunks().cast(pa.string()), window)
+        with system.open_output_stream(f"{path}/{group['b'][0].as_py()}") as out:
+            out.write(block.dump())
+        return pa.table({"b": group["b"][:1]})
+
+    placed = pieces.withColumn("b", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
+    made = {r.b for r in placed.groupBy("b").applyInArrow(write, "b int").collect()}  # one number a block
+
+    def read(k: int) -> Phrases:
+        from pyarrow import fs
+
+        if k not in made:
+            return Phrases([], pa.array([], pa.string()), window)
+        system, path = fs.FileSystem.from_uri(folder)
+        with system.open_input_stream(f"{path}/{k}") as f:
+            return Phrases.load(f.read())
+
+    return n, read
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, rule: Contamination = Contamination(), text: str = "text",
              item_key: str = "item_id", item_text: str = "text") -> tuple[DataFrame, list[str]]:
     """``docs`` with the columns ``n_words``, ``spans`` (merged word spans to remove) and ``items``; their names.
 
-    The documents are not shuffled and nothing is collected; each block of the benchmark is one narrow pass.
+    The documents are not shuffled and nothing is collected; all blocks of the benchmark are searched in one narrow pass.
     """
     names = fresh(docs.columns, "n_words", "spans", "items")
     types = ["long", "array<struct<start:long,end:long>>", "array<string>"]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    sc = docs.sparkSession.sparkContext
-    out, first = docs, True
-    for phrases in blocks(benchmark, rule, item_key, item_text):
-        shared = sc.broadcast(phrases)
-
-        def make(batches, shared=shared, first=first):
-            block, waiting, shard, size = shared.value, [], [], 0
-
-            def flush():
-                nonlocal shard, size
-                results = iter(search_shard(shard, block, rule.sample)) if shard else iter(())
-                for counts, old_spans, old_items in waiting:
-                    spans, items = [], []
-                    for i in range(len(counts)):
-                        s, found = next(results)
-                        s = [tuple(x) for x in s.tolist()]
-                        spans.append(merged([*s, *((x["start"], x["end"]) for x in old_spans[i])]) if old_spans else s)
-                        items.append(sorted({*found, *old_items[i]}) if old_items else sorted(set(found)))
-                    yield [pa.array(counts, pa.int64()),
-                           pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span_type),
-                           pa.array(items, pa.list_(pa.string()))]
-                waiting.clear()
-                shard, size = [], 0
-
-            for column, *old in batches:
-                counts = []
-                for h, _, _ in word_rows(column):
-                    counts.append(len(h))
-                    shard.append(block.number(h))
-                    size += len(h) + 1
-                waiting.append((counts, old[0].to_pylist() if old else None, old[1].to_pylist() if old else None))
-                if size >= rule.shard_words:
-                    yield from flush()
-            yield from flush()
-
-        # a later block merges its spans with those found so far
-        out = add_columns(out, [text] if first else [text, *names[1:]], list(zip(names, types)), make, docs.columns)
-        first = False
-    return out, names
+    n, block = blocks(benchmark, rule, item_key, item_text)
+
+    def make(batches):
+        waiting, shard, size = [], [], 0
+
+        def flush():
+            nonlocal shard, size
+            spans, items = [[] for _ in shard], [set() for _ in shard]
+            for k in range(n if shard else 0):
+                phrases = block(k)
+                for i, (s, found) in enumerate(search_shard([phrases.number(h) for h in shard], phrases, rule.sample)):
+                    spans[i] += [tuple(x) for x in s.tolist()]
+                    items[i].update(found)
+            first = 0
+            for counts in waiting:
+                rows = range(first, first + len(counts))
+                yield [pa.array(counts, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in merged(spans[i])] for i in rows], span_type),
+                       pa.array([sorted(items[i]) for i in rows], pa.list_(pa.string()))]
+                first += len(counts)
+            waiting.clear()
+            shard, size = [], 0
+
+        for (column,) in batches:
+            counts = []
+            for h, _, _ in word_rows(column):
+                counts.append(len(h))
+                shard.append(h)
+                size += len(h) + 1
+            waiting.append(counts)
+            if size >= rule.shard_words:
+                yield from flush()
+        yield from flush()
+
+    return add_columns(docs, [text], list(zip(names, types)), make, docs.columns), names
 
 
 def hit_words(spans: str) -> F.Column:
