@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork.llm import (
-    chat_repair, chunk_dedup, fm_index, near_dedup, piece_codec, quality, sanitize, secrets, token_store, warc,
+    chat_repair, chunk_dedup, common, fm_index, near_dedup, piece_codec, quality, sanitize, secrets, token_store, warc,
 )
 from veilwork.llm.common import shared_path
 
@@ -42,6 +42,25 @@ def ascii_lower(x):
     return x.translate({c: c + 32 for c in range(65, 91)})
 
 
+# --- helpers --------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("part", [1, 3, 40, 1 << 20])
+def test_words_of_giant_rows_in_parts(monkeypatch, part):
+    monkeypatch.setattr(common, "SUB_BATCH_BYTES", part)
+    rng = random.Random(part)
+    for _ in range(60):
+        rows = ["".join(rng.choice("aB é,.") for _ in range(rng.randrange(40))) for _ in range(rng.randrange(6))]
+        raw = np.frombuffer("".join(rows).encode(), np.uint8)
+        at = np.append(0, np.cumsum([len(r.encode()) for r in rows])).astype(np.int64)
+        for table, pattern in ((common.BLANK_WORDS, r"[^\s]+"), (common.LETTER_WORDS, "[^ ,.]+")):
+            starts, ends, row, hashes = common.hashed_words(raw, at, table)
+            want = [(i, w.lower() if w.isascii() else ascii_lower(w)) for i, r in enumerate(rows) for w in re.findall(pattern, r)]
+            got = [(i, raw[a:b].tobytes().decode()) for i, a, b in zip(row.tolist(), starts.tolist(), ends.tolist())]
+            assert [(i, ascii_lower(w)) for i, w in got] == want
+            assert len(set(hashes.tolist())) == len({w for _, w in want})
+
+
 # --- decontamination ------------------------------------------------------------------------------------------------
 
 

@@ -169,6 +169,27 @@ def byte_words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tupl
     return starts, ends, rows
 
 
+def hashed_words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``byte_words`` of lower-cased bytes (A-Z only) and the hash of each, in parts that end between words: the memory for
+    a giant row is a few bytes for each of its own."""
+    found, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + SUB_BATCH_BYTES)
+        while end < len(raw) and inside[LOWER[raw[end]]]:  # most often a few bytes; a single run is never cut
+            ahead = LOWER[raw[end:end + SUB_BATCH_BYTES]]
+            outside = np.flatnonzero(~inside[ahead])
+            end += int(outside[0]) if len(outside) else len(ahead)
+        part = LOWER[raw[at:end]]
+        low, high = np.searchsorted(offsets, [at, end], "right")
+        inner = offsets[low:high]
+        local = np.concatenate([[0], inner[(inner > at) & (inner < end)] - at, [end - at]])
+        starts, ends, _ = byte_words(part, local, inside)
+        found.append((starts + at, ends + at, range_hashes(part, starts, ends) if len(starts) else np.zeros(0, np.uint64)))
+        at = end
+    starts, ends, hashes = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1, hashes
+
+
 def byte_table(chars: bytes | range, value: bool = True) -> np.ndarray:
     out = np.full(256, not value)
     out[list(chars)] = value

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER_WORDS, LOWER, add_columns, byte_runs, byte_words, fresh, range_hashes, shared_path
+from .common import LETTER_WORDS, add_columns, byte_runs, fresh, hashed_words, shared_path
 
 
 @dataclass(frozen=True)
@@ -42,9 +42,7 @@ class Contamination:
 def word_rows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of each row: hashes, start bytes and end bytes of its words."""
     for _, raw, at in byte_runs(column):
-        raw = LOWER[raw]
-        starts, ends, rows = byte_words(raw, at, LETTER_WORDS)
-        hashes = range_hashes(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        starts, ends, rows, hashes = hashed_words(raw, at, LETTER_WORDS)
         cut = np.searchsorted(rows, np.arange(len(at)))
         for i in range(len(at) - 1):
             part = slice(cut[i], cut[i + 1])

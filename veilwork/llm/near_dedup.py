@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORDS, LOWER, U64, add_columns, byte_runs, byte_words, fresh, mix, range_hashes, stored
+from .common import BLANK_WORDS, U64, add_columns, byte_runs, fresh, hashed_words, mix, stored
 from .components import components
 
 SHINGLE = 5
@@ -65,9 +65,7 @@ class Forest:
 def shingle_sets(column: pa.Array):
     """Sorted distinct shingle hashes of each row of a batch, in order."""
     for _, raw, at in byte_runs(column):
-        raw = LOWER[raw]
-        starts, ends, rows = byte_words(raw, at, BLANK_WORDS)
-        words = range_hashes(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        _, _, rows, words = hashed_words(raw, at, BLANK_WORDS)
         n = len(words)
         grams = np.zeros(max(0, n - SHINGLE + 1), np.uint64)
         for k in range(SHINGLE):
