@@ -7,11 +7,13 @@ or the start of the next label.  Everything is an array column over the raw text
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..functions.spans import Stages, clean_markers, find_all, run_stages, running_max, running_sum
+from ..functions.spans import Stages, clean_markers, empty, find_all, run_stages, running_max, running_sum
 from ..functions.text import NEWLINE
 
 MAX_FIELD = 96
@@ -67,6 +69,12 @@ def field_pattern(labels: list[str]) -> str:
     )
 
 
+def label_words(labels: list[str]) -> list[str]:
+    """Words of which every label holds at least one, in capitals."""
+    longest = {max(re.findall("[A-Z0-9]+", label.upper()) or [label.upper()], key=len) for label in labels}
+    return sorted(w for w in longest if not any(v != w and v in w for v in longest))
+
+
 def role_of(label: Column) -> Column:
     pairs = {label_text.upper(): role for role, labels in dims.LABELS.items() for label_text in labels}
     return dims.lookup(pairs, label, "string")
@@ -113,7 +121,11 @@ def bind_fields(text: str, labels: list[str]) -> Column:
         ).cast(FIELD)
 
     hits = find_all(clean_markers(text), field_pattern(labels), (1, 2, 3, 4, 5, 6, 7), 1, 1)
-    return F.transform(hits, one)
+    some = F.lit(False)
+    for word in label_words(labels):
+        some = some | F.upper(F.col(text)).contains(word)
+    # most texts hold no word of a label, and finding that out is cheaper than searching for the labels
+    return F.when(some, F.transform(hits, one)).otherwise(empty(FIELDS))
 
 
 def trimmed(field: Column) -> Column:
