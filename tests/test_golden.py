@@ -246,7 +246,7 @@ def test_unsafe_edits_leave_the_text(spark, docs):
 
 
 def test_ambiguous_document_is_kept_back(docs):
-    df = scan_marked(docs(["a@b.co", "x"])).selectExpr("doc_id", "text", "findings", "doc_id = 1 as ambiguous")
+    df = scan_marked(docs(["a@b.co", "x"])).selectExpr("doc_id", "text", "findings", "doc_id = 1 as ambiguous", "not_scanned")
     rows = finding_rows(df, "doc_id").selectExpr("*", "'Protect' as disposition", "'[A1]' as alias")
     got = {r.doc_id: r for r in redact_rows(docs(["a@b.co", "x"]), rows.where("start is not null or ambiguous"), ["doc_id"]).collect()}
     assert (got[0].redacted, got[1].redacted, got[1].n_candidates, got[1].status) == ("[A1]", "x", 0, "ambiguous")

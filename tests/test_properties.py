@@ -45,7 +45,7 @@ def test_row_form_equals_column_form(docs):
     by_rows = R.resolve_overlaps(cand).select(*cols)
     by_columns = explode_findings(scan_resolved(df), "findings", "doc_id").select(*cols)
     assert by_rows.exceptAll(by_columns).count() == 0 and by_columns.exceptAll(by_rows).count() == 0
-    us = flagship.us_candidate_rows(df)
+    us = flagship.us_candidate_rows(df, RefLists.stand_in())
     rows = R.resolve_candidates(us).select(*cols)
     columns = flagship.scan_findings_us(df, RefLists.stand_in()).select(*cols)
     assert rows.exceptAll(columns).count() == 0 and columns.exceptAll(rows).count() == 0
