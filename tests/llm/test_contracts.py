@@ -371,6 +371,17 @@ SECRETS = [
 ]
 
 
+def test_texts_without_an_aim_have_no_literal(monkeypatch):
+    rng = random.Random(11)
+    parts = ["key", "token", "name", "db_", ".", "-", "--", "=", ":", " = ", ": ", " ", '"', "'", "<", ">", "</", "\n", "Abc123xyz789Qw", "=>", "9", "secret", "+"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(3, 25))) for _ in range(6000)]
+    rules = secrets.SecretRules(min_score=0.0, min_length=1)
+    skipped = [t for t in texts if not secrets.aims(t, t.lower())]
+    monkeypatch.setattr(secrets, "aims", lambda t, low: True)
+    assert len(skipped) > 500 and not any(secrets.literal_spans(t, t.lower(), rules) for t in skipped)
+
+
+
 def test_secret_base_spans(frame):
     texts = AWKWARD + SECRETS + [prose(3, 50)] * 2
     kinds = ((re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
@@ -397,7 +408,7 @@ def literals(text):
 def test_hint_lets_every_sensitive_name_pass(name):
     value = "Xy7Qw8Zr-9pLm3Nk2_vB5"
     assert secrets.name_weight(name) >= 0.5 and literals(f'{name} = "{value}"') == [value]
-    assert all(secrets._HINT.search(x) for x in secrets.SENSITIVE)
+    assert all(secrets.aims(f"{x} = y", f"{x} = y") for x in secrets.SENSITIVE)
 
 
 @pytest.mark.parametrize("name", ["password_of_the_db_user", "token_for_ci_deploy_bot", "secretForProdDbUser"])
