@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import runs_of, stored
 
 ROLES = ("system", "user", "assistant")
 START = 3  # state before the first turn; other states are the last turn's role
@@ -177,41 +177,26 @@ def repair(turns: DataFrame, rules: RepairRules = RepairRules(), conv: str = "co
     # a total order over all turns: a conversation of any length is spread over as many tasks as it needs
     ordered = named.repartitionByRange(*order, F.xxhash64("text", "role")).sortWithinPartitions(*order, "text", "role")
     rows = stored(ordered.mapInArrow(number, ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", part long, piece long, seq long"), "turns")
-    matrix = pa.list_(pa.list_(pa.list_(pa.int64())))
-
-    def tables(group: pa.Table) -> pa.Table:
-        roles = [role_number(r) for r in group.sort_by("seq")["role"].to_pylist()]
+    def tables(conv, part, piece, seq, role):
+        roles = [role_number(r) for r in role]
         table = [[None if x is None else list(x) for x in forward(roles, a, moves)[0]] for a in range(4)]
-        return pa.table({"conv": group["conv"][:1], "part": group["part"][:1], "piece": group["piece"][:1], "t": pa.array([table], matrix)})
-
-    pieces = rows.select("conv", "part", "piece", "seq", "role").groupBy("conv", "part", "piece").applyInArrow(
-        tables, f"conv {kinds['conv']}, part long, piece long, t array<array<array<long>>>")
+        return [(conv[0], part[0], piece[0], table)]
 
-    def borders(group: pa.Table) -> pa.Table:
+    def borders(conv, part, piece, table):
         # one small matrix for each piece of 4096 turns
-        group = group.sort_by([("part", "ascending"), ("piece", "ascending")])
-        found = combine(group["t"].to_pylist(), rules)
-        return pa.table({"conv": group["conv"], "part": group["part"], "piece": group["piece"],
-                         **{n: pa.array([x[i] for x in found], t) for i, (n, t) in enumerate(
-                             (("entry", pa.int64()), ("exit", pa.int64()), ("opened", pa.int64()), ("last", pa.bool_())))}})
-
-    known = stored(pieces.groupBy("conv").applyInArrow(
-        borders, f"conv {kinds['conv']}, part long, piece long, entry long, exit long, opened long, last boolean"), "borders")
-
-    def paths(group: pa.Table) -> pa.Table:
-        group = group.sort_by("seq")
-        first = {n: group[n][0].as_py() for n in ("entry", "exit", "opened", "last")}
-        given = group["role"].to_pylist()
+        return [(*key, *found) for key, found in zip(zip(conv, part, piece), combine(list(table), rules))]
+
+    def paths(conv, part, piece, seq, turn, given, text, entry, exit_, opened, last):
         roles = [role_number(r) for r in given]
-        steps = trace(forward(roles, first["entry"], moves)[1], first["exit"])
-        out = render(steps, group["text"].to_pylist(), first["opened"], first["exit"], first["last"], rules)
+        steps = trace(forward(roles, entry[0], moves)[1], exit_[0])
+        out = render(steps, list(text), opened[0], exit_[0], last[0], rules)
         action = [("relabel" if x[1] != r else "") + ("+" if x[1] != r and x[2] else "") + ("merge" if x[2] else "") or "keep" for r, x in zip(roles, out)]
-        return pa.table({
-            "conv": group["conv"], "turn": group["turn"], "out_turn": pa.array([x[0] for x in out], pa.int64()),
-            "role": pa.array([ROLES[x[1]] for x in out], pa.string()), "action": pa.array(action, pa.string()),
-            "inserted": pa.array([",".join(ROLES[e] for e in x[3]) for x in out], pa.string()), "fragment": pa.array([x[4] for x in out], pa.string())})
+        return [(c, t, x[0], ROLES[x[1]], a, ",".join(ROLES[e] for e in x[3]), x[4]) for c, t, x, a in zip(conv, turn, out, action)]
 
+    where = f"conv {kinds['conv']}, part long, piece long"
+    pieces = runs_of(rows.select("conv", "part", "piece", "seq", "role"), ["conv", "part", "piece"], ["seq"], f"{where}, t array<array<array<long>>>", tables)
+    known = stored(runs_of(pieces, ["conv"], ["part", "piece"], f"{where}, entry long, exit long, opened long, last boolean", borders), "borders")
     there = known.withColumnsRenamed({"conv": "conv_", "part": "part_", "piece": "piece_"})
     both = rows.join(there, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("part") == F.col("part_")) & (F.col("piece") == F.col("piece_")))
-    return both.groupBy("conv", "part", "piece").applyInArrow(
-        paths, f"conv {kinds['conv']}, turn {kinds['turn']}, out_turn long, role string, action string, inserted string, fragment string")
+    return runs_of(both.select("conv", "part", "piece", "seq", "turn", "role", "text", "entry", "exit", "opened", "last"), ["conv", "part", "piece"], ["seq"],
+                   f"conv {kinds['conv']}, turn {kinds['turn']}, out_turn long, role string, action string, inserted string, fragment string", paths)

@@ -44,7 +44,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Send rows to Python in batches of a few megabytes, so that a task's memory does not follow the length of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def vocabulary_file(name: str) -> str:
+    """Where this machine keeps a file of a public tokenizer."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def fresh(columns: Sequence[str], *names: str) -> list[str]:
@@ -95,6 +102,43 @@ def add_columns(df: DataFrame, inputs: Sequence[str], outputs: Sequence[tuple[st
     return df.select(*(f"`{c}`" for c in keep), *(f"`{c}`" for c in extra)).mapInArrow(run, schema)
 
 
+def runs_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], outputs: str, work: Callable[..., list[tuple]]) -> DataFrame:
+    """``work(*columns)`` for each group of bounded size, its rows in ``order``; it gives output rows.
+
+    The groups of a task come as one sorted stream, so many small ones cost no call into Arrow each.
+    """
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, *order)
+    schema, n = T._parse_datatype_string(outputs), len(keys)
+    bounded_batches(df.sparkSession)
+
+    def run(batches):
+        now, held, out = None, [], []
+
+        def batch():
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+            out.clear()
+            return made
+
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        types, names = arrow.types, arrow.names
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:n] != now:
+                    if held:
+                        out += work(*zip(*held))
+                        if len(out) > 10_000:
+                            yield batch()
+                    now, held = row[:n], []
+                held.append(row)
+        if held:
+            out += work(*zip(*held))
+        yield batch()
+
+    return dealt.mapInArrow(run, schema)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Strings of a batch; null counts as empty."""
     return [x or "" for x in column.to_pylist()]
