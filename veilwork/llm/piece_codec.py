@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 import struct
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, byte_runs, fresh, stored, texts
+from .common import add_columns, byte_runs, fresh, stored, texts, vocabulary_file
 
 BLANK = "▁"
 SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
@@ -44,7 +44,7 @@ _ROLL = np.uint64(0x5851F42D4C957F2D)
 
 @dataclass(frozen=True)
 class PieceRules:
-    model: str = "/opt/tokenizers/piece_bpe_32k.model"
+    model: str = field(default_factory=lambda: vocabulary_file("piece_bpe_32k.model"))
     scores: str = "rank"
     chunk_chars: int = 1 << 15  # longer than any piece
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, byte_runs, stored
+from .common import add_columns, byte_runs, stored, vocabulary_file
 
 BITS = 20  # the frequencies of a table sum to 2**BITS
 LOW = np.uint64(1 << 31)
@@ -34,7 +34,7 @@ CACHE = 600_000  # pieces a worker remembers before it forgets the rarer half
 
 @dataclass(frozen=True)
 class StoreRules:
-    tokenizer: str = "/opt/tokenizers/byte_bpe_50k.json"
+    tokenizer: str = field(default_factory=lambda: vocabulary_file("byte_bpe_50k.json"))
     end_id: int = 0
     block_ids: int = 1 << 18
     lanes: int = 512
