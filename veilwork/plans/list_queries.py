@@ -475,3 +475,16 @@ def redact_tenants(spark, sf):
     docs = documents(spark, sf).withColumn("tenant", F.col("doc_id") % 5)
     out = redact_tenants(docs, masks, us=RefLists.stand_in())
     return out.select("doc_id", F.md5("redacted").alias("redacted_md5"), "n_candidates", "n_protect", "n_pending", "status")
+
+
+@query("redact_conversations_us", """
+  with t as (select conv_id, turn, turn % 2 as p, turn % 3 as e, text from conversations),
+  pn as (select conv_id, p, rank() over (partition by conv_id order by min(turn)) as n from t group by conv_id, p),
+  en as (select conv_id, e, rank() over (partition by conv_id order by min(turn)) as n from t group by conv_id, e)
+  select conv_id, turn, md5('Phone: [전화번호' || pn.n || '] or [이메일' || en.n || '] ' || text) as redacted_md5, 'protected' as status
+  from t join pn using (conv_id, p) join en using (conv_id, e)""")
+def redact_conversations_us(spark, sf):
+    turns = table(spark, sf, "conversations").selectExpr(
+        "conv_id", "turn", "concat('Phone: 212-555-010', turn % 2, ' or u', turn % 3, '@mail.kr ', text) as text")
+    out = flagship.redact_conversations(turns, us=RefLists.stand_in())
+    return out.select("conv_id", "turn", F.md5("redacted").alias("redacted_md5"), "status")
