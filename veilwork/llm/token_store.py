@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, byte_runs, stored, vocabulary_file
+from .common import add_columns, bounded_batches, byte_runs, stored, vocabulary_file
 
 BITS = 20  # the frequencies of a table sum to 2**BITS
 LOW = np.uint64(1 << 31)
@@ -301,7 +301,9 @@ def _table(rows: pa.Table) -> Frequencies:
 def write_tokens(docs: DataFrame, path: str, rules: StoreRules = StoreRules(), key: str = "doc_id", text: str = "text") -> None:
     """Tokenize and write a store.  Ids are written once in between, because the table needs them all."""
     spark = docs.sparkSession
-    tokens, kind_of_id = stored(tokenize(docs, rules, key, text), "ids"), width(rules)
+    ids, kind_of_id = tokenize(docs, rules, key, text), width(rules)
+    bounded_batches(spark, 2000)  # enough text for whole runs
+    tokens = stored(ids, "ids")
 
     def count(batches):
         total = np.zeros(0, np.int64)
