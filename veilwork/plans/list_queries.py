@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions.text import scan_text
 from ..operators import joins, reports
-from ..operators.base_rules import gps_labelled_sides, nearest_pairs
+from ..operators.base_rules import gps_labelled_sides, nearest_pairs, scan_rule
 from ..sources import sinks
 from ..sources import tables as S
 from ..streaming import jobs
@@ -488,3 +488,20 @@ def redact_conversations_us(spark, sf):
         "conv_id", "turn", "concat('Phone: 212-555-010', turn % 2, ' or u', turn % 3, '@mail.kr ', text) as text")
     out = flagship.redact_conversations(turns, us=RefLists.stand_in())
     return out.select("conv_id", "turn", F.md5("redacted").alias("redacted_md5"), "status")
+
+
+_pages = "(select 'pages' as kind, page_id::varchar as doc_key, html as t from pages union all select 'conversations', conv_id::varchar || '/' || turn::varchar, text from conversations)"
+_label = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+
+
+@query("scan_text_sources", f"""select doc_key, {O.ints(start='st', len='length(m)')}, lower(m) as canonical
+   from {O.matches(_pages, "[A-Za-z0-9_+-]+(?:[.][A-Za-z0-9_+-]+)*@" + _label + "(?:[.]" + _label + ")*[.][A-Za-z]{2,}", "doc_key", "t")}
+   where not regexp_matches(prev_c, '[A-Za-z0-9_+.@-]') and not regexp_matches(next_c, '[0-9@-]')
+   union all select doc_key, {O.ints(start='st', len='length(m)')}, m from {O.matches(_pages, "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "doc_key", "t")}
+   where not regexp_matches(prev_c, '[0-9A-Za-z.]') and not regexp_matches(next_2, '^([0-9A-Za-z]|[.][0-9])')
+     and list_bool_and(list_transform(string_split(m, '.'), lambda o: o::int <= 255))""")
+def scan_text_sources(spark, sf):
+    """Addresses and hosts in raw pages and conversations, as they are."""
+    t = lambda n: table(spark, sf, n)
+    rows = S.text_source(t("pages"), "pages", ["page_id"], "html").unionByName(S.text_source(t("conversations"), "conversations", ["conv_id", "turn"], "text"))
+    return scan_rule(rows, "global.email", "global.ip", key="doc_key").select("doc_key", "start", "len", "canonical")
