@@ -423,6 +423,13 @@ def test_constants_are_followed_to_the_end(n):
     assert literals("circle_9X = circle_8Y\ncircle_8Y = circle_9X\npassword = circle_8Y + circle_9X + 'Xy7Qw8Zr9pLm'")[-1] == "Xy7Qw8Zr9pLm"
 
 
+@pytest.mark.parametrize("n", [4095, 4096, 4097, 200_000])
+def test_randomness_reads_values_of_any_length_alike(n):
+    assert secrets.randomness("a" * n) == 0 and literals(f'api_token = "{"ab" * n}"') == literals('api_token = "abababab"') == []
+    mixed = "Xy7Qw8Zr-9pLm3Nk2_vB5"
+    assert secrets.randomness(mixed * n) == pytest.approx(secrets.randomness(mixed))
+
+
 def test_lexer_is_linear_on_long_runs():
     import time
 

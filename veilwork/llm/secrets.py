@@ -75,7 +75,7 @@ def name_weight(name: str) -> float:
 def randomness(value: str) -> float:
     """0 for a plain word, towards 1 for long mixed values."""
     n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value[:4096]).values()) if n <= 4096 else 5.0
+    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, max(0.0, (bits - 2.0) / 2.5)) * (0.4 + 0.2 * min(3, kinds))
 
