@@ -8,12 +8,14 @@ or the start of the next label.  Everything is an array column over the raw text
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..functions.spans import Stages, clean_markers, empty, find_all, run_stages, running_max, running_sum
+from ..functions.spans import Stages, clean_markers, empty, find_all, let, run_stages, running_max, running_sum
 from ..functions.text import NEWLINE
 
 MAX_FIELD = 96
@@ -121,9 +123,8 @@ def bind_fields(text: str, labels: list[str]) -> Column:
         ).cast(FIELD)
 
     hits = find_all(clean_markers(text), field_pattern(labels), (1, 2, 3, 4, 5, 6, 7), 1, 1)
-    some = F.lit(False)
-    for word in label_words(labels):
-        some = some | F.upper(F.col(text)).contains(word)
+    # in capitals once for all words: the planner would write a derived text into each use
+    some = let(F.upper(F.col(text)), lambda u: reduce(or_, [u.contains(word) for word in label_words(labels)], F.lit(False)))
     # most texts hold no word of a label, and finding that out is cheaper than searching for the labels
     return F.when(some, F.transform(hits, one)).otherwise(empty(FIELDS))
 

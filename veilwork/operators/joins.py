@@ -101,7 +101,7 @@ def group_logical_records(fields: DataFrame, docs: DataFrame, role_a: str, role_
     near = two & (F.col("_o.line") - F.col("line") <= 1) & (F.col("_o.label_start") - F.col("label_start") <= distance)
     same_line = F.col("_o.line") == F.col("line")
     # the gap on one line may hold only separators
-    texts = docs.select(key, text)
+    texts = docs.select(key, text).hint("merge")  # never built whole, whatever the planner expects
     pairs = rows.where(near & same_line).join(texts, key).withColumn(
         "_gap",
         F.substring(
@@ -153,7 +153,7 @@ def _group_without_barrier(fields, docs, role_a, role_b, distance, key, text) ->
         & (F.col("o_label_start") - F.col("label_start") <= distance) & (F.col("o_line") - F.col("line") <= 1)
     )
     same = F.col("line") == F.col("o_line")
-    checked = pairs.where(same).join(docs.select(key, text), key).where(
+    checked = pairs.where(same).join(docs.select(key, text).hint("merge"), key).where(
         F.substring(F.col(text), F.col("stop") + 1, F.col("o_label_start") - F.col("stop")).rlike("^[ ,;\t|]*$")
     ).drop(text).unionByName(pairs.where(~same))
     pair = "struct<a:int,b:int,first_role:string,la:int,lb:int,stop:int>"

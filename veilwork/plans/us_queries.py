@@ -11,6 +11,7 @@ from ..operators.base_rules import explode_findings
 from ..operators.us_rules import RefLists, arbitrate_tax_family, scan_us_arrays
 from ..functions.spans import run_stages
 from . import oracle as O
+from .shape import materialize
 from .texts import case, documents, letter, pad, sql_over, table, text_rows
 
 QUERIES, SQL = {}, {}
@@ -339,7 +340,7 @@ _lv = f"length({_v})"
 ]))
 def group_logical_records(spark, sf):
     docs = text_rows(spark, sf, "orders", _k, _grp_text)
-    fields = D.field_rows(docs, dims.ALL_LABELS)
+    fields = materialize(D.field_rows(docs, dims.ALL_LABELS).select("doc_id", "role", "line", "label_start", "val_start", "val_len"))
     return joins.group_logical_records(fields, docs, "bank.routing", "bank.generic").select(
         "doc_id", "a_start", "b_start", "first_line", "last_line")
 
@@ -355,7 +356,7 @@ _free_text = case(_k, [
     for form, a, b, first in ((0, "0", f"29 + {_lv}", 0), (2, "0", f"38 + 2 * {_lv}", 0), (2, f"18 + {_lv}", f"56 + 3 * {_lv}", 1))))
 def group_records_across_fields(spark, sf):
     docs = text_rows(spark, sf, "orders", _k, _free_text)
-    fields = D.field_rows(docs, dims.ALL_LABELS)
+    fields = materialize(D.field_rows(docs, dims.ALL_LABELS).select("doc_id", "role", "line", "label_start", "val_start", "val_len"))
     return joins.group_logical_records(fields, docs, "bank.routing", "bank.generic", barrier=False).select(
         "doc_id", "a_start", "b_start", "first_line", "last_line")
 
