@@ -1,4 +1,4 @@
-"""What each row costs in resolution and numbering: no lambda for a comparison, no column computed again in a lambda."""
+"""What each row costs in resolution and numbering: no lambda for a comparison, no column computed again in a lambda, one shuffle."""
 
 from pyspark.sql import functions as F
 
@@ -45,3 +45,11 @@ def test_few_and_many_markers_agree(spark, capsys):
         df = run_stages(_arrays(spark, rows, text), [R.adjust_context("o", "text", "c")], ["doc_id"], ["o"])
         assert [(f.canonical, f.conf) for f in df.first().o] == [("clear", 3), ("near", 2), ("high", 3), ("after", 2), ("past", 3)]
         assert "array_sort(" not in _plan(df, capsys)
+
+
+def test_rows_are_dealt_once(spark, capsys):
+    rows = _found((0, 5, "a", 2), (0, 5, "a", 2), (3, 4, "b", 3), (9, 2, "c", 1)) + _found((0, 5, "a", 2), doc=2) + _found((0, 5, "a", 1), doc=None)
+    df = R.resolve_candidates(spark.createDataFrame(rows, COLS))
+    plan = _plan(df, capsys)
+    assert sorted((str(r.doc_id), r.canonical) for r in df.collect()) == [("1", "b"), ("1", "c"), ("2", "a"), ("None", "a")]
+    assert plan.count("Exchange hashpartitioning") == 1
