@@ -132,30 +132,29 @@ def group_logical_records(fields: DataFrame, docs: DataFrame, role_a: str, role_
 
 
 def _group_without_barrier(fields, docs, role_a, role_b, distance, key, text) -> DataFrame:
-    """Pairs within the distance, chosen greedily: a band join on position buckets, then a fold per cluster.
+    """Pairs within the distance, chosen greedily: each field with those in a window behind it, then a fold per cluster.
 
     A cluster is a stretch of fields without a gap wider than the distance; pairs never cross clusters.  Pairs come in the
     order of their first field, so one can only share a field with pairs that began within the distance before it: the
     fold looks back over that many, however long the cluster is.
+
+    The fields are dealt and sorted by document once.  They never meet in a join, which the planner would broadcast by the
+    size of the files that they were read from.
     """
-    f = fields.where(F.col("role").isin(role_a, role_b)).select(
+    f = fields.where(F.col("role").isin(role_a, role_b) & F.col(key).isNotNull()).select(
         key, "role", "line", "label_start", (F.col("val_start") + F.col("val_len")).alias("stop")
     )
     w = Window.partitionBy(key).orderBy("label_start")
+    behind = F.collect_list(F.struct(*[F.col(c).alias(f"o_{c}") for c in ("role", "line", "label_start", "stop")]))
     f = f.withColumn("_new", F.when(F.col("label_start") - F.lag("label_start").over(w) <= distance, 0).otherwise(1))
-    f = f.withColumn("_cluster", F.sum("_new").over(w)).withColumn("_bucket", F.floor(F.col("label_start") / (distance + 1)))
-    reach = f.select(
-        *[F.col(c).alias(f"o_{c}") for c in ("role", "line", "label_start", "stop")], F.col(key).alias("o_key"),
-        F.explode(F.array(F.col("_bucket"), F.col("_bucket") - 1)).alias("o_bucket"),
-    )
-    pairs = f.join(reach, (F.col(key) == F.col("o_key")) & (F.col("_bucket") == F.col("o_bucket"))).where(
-        (F.col("role") != F.col("o_role")) & (F.col("o_label_start") > F.col("label_start"))
-        & (F.col("o_label_start") - F.col("label_start") <= distance) & (F.col("o_line") - F.col("line") <= 1)
-    )
-    same = F.col("line") == F.col("o_line")
-    checked = pairs.where(same).join(docs.select(key, text).hint("merge"), key).where(
-        F.substring(F.col(text), F.col("stop") + 1, F.col("o_label_start") - F.col("stop")).rlike("^[ ,;\t|]*$")
-    ).drop(text).unionByName(pairs.where(~same))
+    f = f.withColumn("_cluster", F.sum("_new").over(w)).withColumn("_behind", behind.over(w.rangeBetween(1, distance)))
+    pairs = f.select(key, "role", "line", "label_start", "stop", "_cluster", F.explode("_behind").alias("_o")).select(
+        "*", "_o.*").drop("_o").where((F.col("role") != F.col("o_role")) & (F.col("o_line") - F.col("line") <= 1))
+    # the gap on one line may hold only separators; a pair that meets several texts of its key is the same pair to the fold
+    gap = F.substring(F.col(text), F.col("stop") + 1, F.col("o_label_start") - F.col("stop"))
+    checked = pairs.join(docs.select(key, text).hint("merge"), key, "left").where(
+        (F.col("line") != F.col("o_line")) | gap.rlike("^[ ,;\t|]*$")
+    ).drop(text)
     pair = "struct<a:int,b:int,first_role:string,la:int,lb:int,stop:int>"
     arr = f"array<{pair}>"
     recent = lambda acc: F.slice(acc, F.greatest(F.size(acc) - distance, F.lit(1)), F.lit(distance + 1))

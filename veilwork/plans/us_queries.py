@@ -356,7 +356,7 @@ _free_text = case(_k, [
     for form, a, b, first in ((0, "0", f"29 + {_lv}", 0), (2, "0", f"38 + 2 * {_lv}", 0), (2, f"18 + {_lv}", f"56 + 3 * {_lv}", 1))))
 def group_records_across_fields(spark, sf):
     docs = text_rows(spark, sf, "orders", _k, _free_text)
-    fields = materialize(D.field_rows(docs, dims.ALL_LABELS).select("doc_id", "role", "line", "label_start", "val_start", "val_len"))
+    fields = D.field_rows(docs, dims.ALL_LABELS).select("doc_id", "role", "line", "label_start", "val_start", "val_len")
     return joins.group_logical_records(fields, docs, "bank.routing", "bank.generic", barrier=False).select(
         "doc_id", "a_start", "b_start", "first_line", "last_line")
 
