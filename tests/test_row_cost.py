@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from veilwork.functions.spans import FINDING, run_stages
+from veilwork.operators import decide
 from veilwork.operators import resolve as R
 from veilwork.operators.decide import DECIDED, number_in_row
+from veilwork.operators.us_rules import RefLists
 
 COLS = "doc_id long, start int, len int, type_ord int, pii_type string, detector_id string, canonical string, surface string, risk int, conf int, rank int, evidence int, owner_claim boolean"
 
@@ -53,3 +55,28 @@ def test_rows_are_dealt_once(spark, capsys):
     plan = _plan(df, capsys)
     assert sorted((str(r.doc_id), r.canonical) for r in df.collect()) == [("1", "b"), ("1", "c"), ("2", "a"), ("None", "a")]
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_texts_of_tenants_are_not_dealt_by_tenant(spark, capsys, monkeypatch):
+    us, kr = "SSN: 321-54-9876", "연락처 010-1234-5678 SSN: 321-54-9876"
+    off = "_us_on boolean, _us_missing array<string>"
+    masks = spark.createDataFrame([(1, True, []), (2, False, []), (2, False, []), (3, True, ["us.phone"]), (4, None, None)], f"tenant long, {off}")
+    rows = [(i, t, x) for i, (t, x) in enumerate((t, x) for t in (1, 2, 3, 4, 5, None) for x in (us, kr, None))]
+    docs = spark.createDataFrame(rows, "doc_id long, tenant long, text string")
+    got = []
+    for most in (decide.MOST_SENT, 0):
+        monkeypatch.setattr(decide, "MOST_SENT", most)
+        out = decide.redact_tenants(docs, masks, us=RefLists.stand_in())
+        out.explain()
+        plan = capsys.readouterr().out
+        assert ("_salt" in plan, "SortMergeJoin" in plan) == (most == 0, most == 0)
+        # the pack reads the texts of the first tenant only
+        assert "_us_text" in plan
+        got.append(sorted((r.doc_id, r.redacted or "", r.status) for r in out.collect()))
+    assert got[0] == got[1]
+    hidden = "연락처 [전화번호1] SSN: 321-54-9876"
+    assert [r[1:] for r in got[0][:3]] == [(us, "needs_decision"), (kr, "needs_decision"), ("", "no_findings")]
+    plain = [(us, "no_findings"), (hidden, "protected"), ("", "no_findings")]
+    assert [r[1:] for r in got[0][3:9]] == [x for x in plain for _ in range(2)]  # its rules came twice
+    assert [r[1] for r in got[0][9:11]] == [us, kr] and {r[2] for r in got[0][9:12]} == {"not_scanned"}
+    assert [r[1:] for r in got[0][12:]] == plain * 3
